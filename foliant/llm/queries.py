@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import encoding
+from foliant.llm import encoding, packing
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -29,3 +29,13 @@ def p7_ids(spark, folder):
 @query("p7_round_trip")
 def p7_round_trip(spark, folder):
     return encoding.round_trip(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("p8_containers")
+def p8_containers(spark, folder):
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "pack_limits"))
+
+
+@query("p8_fill")
+def p8_fill(spark, folder):
+    return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "pack_limits"))
