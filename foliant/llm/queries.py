@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import encoding, packing
+from foliant.llm import encoding, packing, percentiles
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -39,3 +39,36 @@ def p8_containers(spark, folder):
 @query("p8_fill")
 def p8_fill(spark, folder):
     return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "pack_limits"))
+
+
+_LATENCIES = """
+WITH once AS (
+  SELECT DISTINCT lat_id, strategy, CAST(run_at AS DATE) AS day, latency_ms FROM latency
+  WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms >= 0
+), scoped AS (
+  SELECT 'day' AS scope, strategy, day, latency_ms FROM once
+  UNION ALL SELECT 'all', strategy, CAST(NULL AS DATE), latency_ms FROM once
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY scope, strategy, day ORDER BY latency_ms) AS rank, count(*) OVER (PARTITION BY scope, strategy, day) AS n FROM scoped
+), targets AS (SELECT unnest([10, 50, 250, 500, 750, 900, 950, 990, 999]) AS t),
+hit AS (SELECT scope, strategy, day, t, n, latency_ms, CAST(ceil(ln(latency_ms) / ln(1.005 / 0.995)) AS INTEGER) AS b FROM ranked JOIN targets ON rank = (n * t + 999) // 1000)
+"""
+
+
+@query(
+    "p3_percentiles",
+    _LATENCIES
+    + """SELECT scope, strategy, day, t / 1000 AS p, n,
+  round(2 * pow(1.005 / 0.995, b) / (1.005 / 0.995 + 1), 6) AS value, round(pow(1.005 / 0.995, b - 1), 6) AS low,
+  round(pow(1.005 / 0.995, b), 6) AS high, CAST(0.005 AS DOUBLE) AS error FROM hit""",
+)
+def p3_percentiles(spark, folder):
+    return percentiles.latency_percentiles(table(spark, folder, "latency", "lat_id", "strategy", "run_at", "latency_ms"))
+
+
+@query(
+    "p3_exact_percentiles",
+    _LATENCIES + "SELECT scope, strategy, day, t / 1000 AS p, n, latency_ms AS value, latency_ms AS low, latency_ms AS high, CAST(0 AS DOUBLE) AS error FROM hit",
+)
+def p3_exact_percentiles(spark, folder):
+    return percentiles.latency_percentiles(table(spark, folder, "latency", "lat_id", "strategy", "run_at", "latency_ms"), error=0.0)
