@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.llm import encoding, packing, percentiles
+from pyspark.sql import functions as F
+
+from foliant.llm import encoding, lookalikes, packing, percentiles
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -72,3 +74,19 @@ def p3_percentiles(spark, folder):
 )
 def p3_exact_percentiles(spark, folder):
     return percentiles.latency_percentiles(table(spark, folder, "latency", "lat_id", "strategy", "run_at", "latency_ms"), error=0.0)
+
+
+@query("p2_found")
+def p2_found(spark, folder):
+    pages = lookalikes.lookalike_pairs(table(spark, folder, "pages", "page_id", "markdown"), "page_id", "markdown")
+    corpus = lookalikes.lookalike_pairs(table(spark, folder, "corpus", "corpus_key", "text"), "corpus_key", "text")
+    return pages.select(F.lit("pages").alias("src"), "id_a", "id_b").unionByName(corpus.select(F.lit("corpus").alias("src"), "id_a", "id_b"))
+
+
+@query("p2_normalized")
+def p2_normalized(spark, folder):
+    pages = lookalikes.normalize_texts(table(spark, folder, "pages", "page_id", "markdown"), "page_id", "markdown")
+    corpus = lookalikes.normalize_texts(table(spark, folder, "corpus", "corpus_key", "text"), "corpus_key", "text")
+    return pages.selectExpr("'pages' AS src", "page_id AS row_id", "markdown AS text", "changed").unionByName(
+        corpus.selectExpr("'corpus' AS src", "corpus_key AS row_id", "text", "changed")
+    )
