@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.llm import encoding, lookalikes, packing, percentiles
+from foliant.llm import encoding, lookalikes, packing, percentiles, splitting
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -90,3 +90,20 @@ def p2_normalized(spark, folder):
     return pages.selectExpr("'pages' AS src", "page_id AS row_id", "markdown AS text", "changed").unionByName(
         corpus.selectExpr("'corpus' AS src", "corpus_key AS row_id", "text", "changed")
     )
+
+
+@query("p1_chunks")
+def p1_chunks(spark, folder):
+    return splitting.split_texts(table(spark, folder, "pages", "page_id", "markdown", "config_id"), table(spark, folder, "chunk_configs"))
+
+
+@query(
+    "p1_found",
+    r"""
+SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(markdown, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}。]'), lambda x: length(x))) > chunk_size
+  THEN 'forced' ELSE 'boundary' END AS cut
+FROM pages JOIN chunk_configs USING (config_id) WHERE length(markdown) > chunk_size""",
+)
+def p1_found(spark, folder):
+    firsts = p1_chunks(spark, folder).where("over and piece = 0")
+    return firsts.select("page_id", F.when(F.col("stretch") > F.col("size"), "forced").otherwise("boundary").alias("cut"))
