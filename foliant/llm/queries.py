@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.llm import encoding, lookalikes, packing, percentiles, splitting
+from foliant.llm import encoding, lookalikes, packing, pairs, percentiles, splitting
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -107,3 +107,13 @@ FROM pages JOIN chunk_configs USING (config_id) WHERE length(markdown) > chunk_s
 def p1_found(spark, folder):
     firsts = p1_chunks(spark, folder).where("over and piece = 0")
     return firsts.select("page_id", F.when(F.col("stretch") > F.col("size"), "forced").otherwise("boundary").alias("cut"))
+
+
+@query("p6_defects")
+def p6_defects(spark, folder):
+    return pairs.defects(table(spark, folder, "answers", "answer_id", "query_id", "answer"), table(spark, folder, "queries", "query_id", "text"))
+
+
+@query("p6_found")
+def p6_found(spark, folder):
+    return p6_defects(spark, folder).where("found is not null").select("answer_id", F.col("found").alias("defect"))
