@@ -60,6 +60,9 @@ def simple_map() -> dict[int, str]:
 STABLE = "\x00-\x7F\u00C0-\u0131\u0134-\u017F가-힣ぁ-ゖァ-ー一-鿋、。・「」–—•·²³¹①-⑳"
 
 
+_MAYBE = re.compile(f"[^{STABLE}]")
+
+
 @functools.cache
 def unstable_class() -> str:
     """A character class of every code point that fails the quick check: it changes, joins its neighbour, or is a look-alike."""
@@ -124,7 +127,7 @@ def _segment(segment: str) -> str:
 
 def canonical(text: str | None) -> str | None:
     """The consistent form of one text; null stays null, an empty text empty. Applying it again changes nothing."""
-    if not text or text.isascii():
+    if not text or text.isascii() or not _MAYBE.search(text):
         return text
     bad, segment = _patterns()
     if not bad.search(text):

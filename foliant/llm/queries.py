@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.llm import encoding, lookalikes, packing, pairs, percentiles, splitting
+from foliant.llm import abuse, encoding, lookalikes, packing, pairs, percentiles, splitting
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -117,3 +117,18 @@ def p6_defects(spark, folder):
 @query("p6_found")
 def p6_found(spark, folder):
     return p6_defects(spark, folder).where("found is not null").select("answer_id", F.col("found").alias("defect"))
+
+
+@query("p9_found")
+def p9_found(spark, folder):
+    return p9_scores(spark, folder).where(F.col("score") >= abuse.CUTOFF).select("doc_id")
+
+
+@query("p9_scores")
+def p9_scores(spark, folder):
+    return abuse.scores(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "doc_labels", "doc_id", "abuse"))
+
+
+@query("p9_source_rates")
+def p9_source_rates(spark, folder):
+    return abuse.source_rates(table(spark, folder, "documents", "doc_id", "source"), p9_scores(spark, folder))
