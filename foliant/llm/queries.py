@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.llm import abuse, encoding, lookalikes, packing, pairs, percentiles, splitting
+from foliant.llm import abuse, encoding, lookalikes, packing, pairs, percentiles, scans, splitting
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -132,3 +132,17 @@ def p9_scores(spark, folder):
 @query("p9_source_rates")
 def p9_source_rates(spark, folder):
     return abuse.source_rates(table(spark, folder, "documents", "doc_id", "source"), p9_scores(spark, folder))
+
+
+def _scanned(spark, folder):
+    return table(spark, folder, "pages", "page_id", "pdf_path", "page_num", "markdown"), table(spark, folder, "blocks", "block_key", "pdf_path", "page_num", "block_content")
+
+
+@query("p4_found")
+def p4_found(spark, folder):
+    return scans.noise(*_scanned(spark, folder))
+
+
+@query("p4_repaired")
+def p4_repaired(spark, folder):
+    return scans.repaired(*_scanned(spark, folder))
