@@ -31,7 +31,7 @@ CONFUSIONS = (
 #: Kanji read for katakana between katakana, and the figures that letters are read for.
 KANA = {"一": "ー", "力": "カ", "口": "ロ", "二": "ニ", "工": "エ", "夕": "タ", "卜": "ト", "八": "ハ", "才": "オ"}
 FIGURES = str.maketrans("OoIlZSbB|", "001125681"[:9])
-CONFUSED, CONFUSED_SYLLABLE, JOINED, SPLIT, UNKNOWN = 4.6, 2.6, 1.0, 7.0, 3.0
+CONFUSED, CONFUSED_SYLLABLE, FIGURED, JOINED, SPLIT, UNKNOWN = 3.0, 2.0, 0.5, 1.0, 7.0, 3.0
 
 _BY_SEEN: dict[str, list[str]] = {}
 for _seen, _meant in CONFUSIONS:
@@ -66,7 +66,8 @@ class Decoder:
         for m in _ANY_SEEN.finditer(word):
             for seen in {m[0], m[0][0]} & _BY_SEEN.keys():
                 for meant in _BY_SEEN[seen]:
-                    out.append((word[: m.start()] + meant + word[m.start() + len(seen) :], CONFUSED_SYLLABLE if seen > "가" else CONFUSED))
+                    cost = CONFUSED_SYLLABLE if seen > "가" else CONFUSED if seen.isalpha() else FIGURED
+                    out.append((word[: m.start()] + meant + word[m.start() + len(seen) :], cost))
         return out
 
     def read(self, word: str) -> tuple[str, float, bool]:
