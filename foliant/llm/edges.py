@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.lookalikes import canonical
 
-LINES, LONGEST = 4, 110
+LINES, LONGEST = 3, 110
 #: Characters that recognition confuses, made alike for comparing lines.
 ALIKE = (("0", "o"), ("1", "l"), ("|", "l"), ("i", "l"), ("5", "s"), ("@", "a"), ("c", "e"), ("f", "t"), ("9", "g"), ("6", "b"), ("2", "z"), ("rn", "m"), ("el", "d"), ("ll", "u"), ("vv", "w"), ("ln", "m"), ("rl", "n"))
 _NUMBER = r"(\d{1,4}|[ivxlc]{1,7})"
@@ -24,6 +24,7 @@ ALONE = re.compile(rf"^(?:[-–—]\s*{_NUMBER}\s*[-–—]|\[{_NUMBER}\]|(?:pag
 BARE = re.compile(rf"^{_NUMBER}$", re.I)
 WITH = re.compile(rf"^{_NUMBER}\s*\|\s*(?=\S)|(?<=\S)\s*\.{{4,}}\s*{_NUMBER}$|(?<=\S)(?:\s{{3,}}|\t)\s*{_NUMBER}$|(?<=\S)\s*\|\s*{_NUMBER}$", re.I)
 _MARKED = re.compile(r"^\s*(?:#|[-*+•>]\s|\||\d+[.)]\s|```|~~~)")
+_FIGURE = re.compile(r"\d|\b[ivxlcIVXLC]+\b")
 _CODE = re.compile(r"\b[A-Z]{1,4}-\d{2,6}\b")
 
 
@@ -79,7 +80,13 @@ def edge_lines(rows: DataFrame, src: str, key: str, text: str, whole: bool) -> D
         return base.select("src", "row_id", "pdf_path", "page_num", F.lit(0).alias("place"), F.col("ls")[0].alias("line"), F.lit("").alias("before"))
     at = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(2 * LINES)) - 1), lambda i: F.when(n <= 2 * LINES, i).when(i < LINES, i).otherwise(n - 2 * LINES + i))
     picked = F.transform(at, lambda i: F.struct(F.when((i < LINES) & ((i < n - i - 1) | (n > 2 * LINES)), i).otherwise(i - n).cast("int").alias("place"), F.get("ls", i).alias("line"), F.coalesce(F.get("ls", i - 1), F.lit("")).alias("before")))
-    return base.where(n > 0).select("src", "row_id", "pdf_path", "page_num", F.inline(picked)).where(F.length("line") <= LONGEST)
+    return base.where(n > 0).select("src", "row_id", "pdf_path", "page_num", F.inline(picked)).where(F.length("line") <= LONGEST).where(may_run(F.col("line")))
+
+
+def may_run(line):
+    """Lines that can be running lines, headings or page numbers; rows of tables, list items and ends of sentences can't. In the JVM."""
+    number = line.rlike(r"^\P{L}*[-–—]\s*\S{1,7}\s*[-–—]\s*$") | line.rlike(r"\.{4,}\s*\S+\s*$")
+    return number | ~line.rlike(r"^\s*(?:[|>]|[-*+•]\s|\d+[.)]\s)|[.!?。:;,]\s*$")
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
@@ -90,17 +97,17 @@ def read_lines(lines: DataFrame) -> DataFrame:
         out = []
         for s, b in zip(line, before):
             s = canonical(s).strip()
-            number, stands = page_number(s)
+            number, stands = page_number(s) if len(s) < 10 or _FIGURE.search(s) else (None, "")
             heading, body = s.startswith("#"), stands in ("alone", "bare")
             ended = bool(re.search(r"[.!?。:;,]$", s)) and not re.search(r"\.{4,}$", s)
             coded = bool(_CODE.search(s))
             # a running line begins like a title and doesn't go on with the sentence before
-            flows = bool(b.strip()) and not re.search(r"[.!?。|`:]\W*$", b.strip()) and not _MARKED.match(b) and not (page_number(b)[1] or _CODE.search(b))
+            flows = coded and bool(b.strip()) and not re.search(r"[.!?。|`:]\W*$", b.strip()) and not _MARKED.match(b) and not (page_number(b)[1] or _CODE.search(b))
             shaped = not body and not heading and not ended and not _MARKED.match(s) and bool(re.search(r"[^\W\d_]{2}", s)) and not re.search(r"[=(){}<>;\"`]|, ", s)
             # a title by its looks alone: a few words that end in the document's code, and no other figures
-            title = WITH.sub(" ", s).strip(" —–-").split(" / ")[0]
-            alone = bool(re.fullmatch(r"[^\W\d_a-z][^\d]{2,60} [A-Z]{1,4}-\d{2,6}", title)) and len(title.split()) <= 8
-            out.append((key_of(s), heading, shaped, coded, alone and not flows, number, stands))
+            title = WITH.sub(" ", s).strip(" —–-").split(" / ")[0] if coded else ""
+            alone = coded and bool(re.fullmatch(r"[^\W\d_a-z][^\d]{2,60} [A-Z]{1,4}-\d{2,6}", title)) and len(title.split()) <= 8
+            out.append((key_of(s) if shaped or heading else None, heading, shaped, coded, alone and not flows, number, stands))
         return pd.DataFrame(out, columns=["lkey", "heading", "shaped", "coded", "alone", "number", "stands"])
 
     return lines.withColumn("look", look("line", "before")).select("src", "row_id", "pdf_path", "page_num", "place", "line", "look.*")

@@ -18,7 +18,8 @@ SHARE = 4e-6
 LEAST = 3
 #: A word may hold letters, figures read for letters, an apostrophe, and hyphens inside.
 WORD = re.compile(r"[^\W_][^\W_@|]*(?:[@'’|-][^\W_]+)*|@[^\W_]+")
-_PIECE = re.compile(r"[^\W_][^\W_@|]*(?:[@'’|-][^\W_]+)*|@[^\W_]+|[.!?。！？](?=\s|$)|。|\n")
+_AFTER = re.compile(r"[.!?。！？]\s+(\S+)")
+_ENDED = re.compile(r"[.!?。！？][\"'”’)\]]*$")
 _FIGURES = re.compile(r"\d[\d.,:-]*")
 
 
@@ -43,31 +44,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``word``, ``times``, ``ends`` and ``starts`` over a table with one column ``text``; counted in each partition first."""
 
     def run(batches):
-        times, ends, starts = Counter(), Counter(), Counter()
+        # whole chunks between blanks are counted first, then each distinct chunk is taken apart once
+        chunks, starts = Counter(), Counter()
         for batch in batches:
             for text in batch["text"]:
-                pieces = _PIECE.findall(text.lower())
-                times.update(pieces)
-                previous = None
-                for piece in pieces:
-                    if piece in ".!?。！？":
-                        if previous:
-                            ends[previous] += 1
-                        previous = ""
-                    elif piece == "\n":
-                        continue
-                    else:
-                        if previous == "":
-                            starts[piece] += 1
-                        previous = piece
-        for mark in (*".!?。！？", "\n"):
-            times.pop(mark, None)
-        out = {}
-        for word, n in times.items():
-            a = out.setdefault(form(word), [0, 0, 0])
-            a[0] += n
-            a[1] += ends.get(word, 0)
-            a[2] += starts.get(word, 0)
+                text = text.lower()
+                chunks.update(text.split())
+                starts.update(_AFTER.findall(text))
+        out: dict[str, list[int]] = {}
+        for chunk, n in chunks.items():
+            if chunk[-1] in "-¬":  # half a word at a line end
+                continue
+            words = [form(w) for w in WORD.findall(chunk)]
+            for w in words:
+                out.setdefault(w, [0, 0, 0])[0] += n
+            if words and _ENDED.search(chunk):
+                out[words[-1]][1] += n
+        for chunk, n in starts.items():
+            if (m := WORD.search(chunk)) and (w := form(m[0])) in out:
+                out[w][2] += n
         yield pd.DataFrame([(w, *c) for w, c in out.items()], columns=["word", "times", "ends", "starts"])
 
     counted = texts.mapInPandas(run, "word string, times bigint, ends bigint, starts bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.llm import abuse, encoding, lookalikes, packing, pairs, percentiles, scans, splitting
+from foliant.llm import abuse, cuts, encoding, lookalikes, packing, pairs, percentiles, scans, splitting
 from foliant.sources.tables import table
 
 QUERIES: dict = {}
@@ -146,3 +146,18 @@ def p4_found(spark, folder):
 @query("p4_repaired")
 def p4_repaired(spark, folder):
     return scans.repaired(*_scanned(spark, folder))
+
+
+def _stored(spark, folder):
+    pages = table(spark, folder, "pages", "page_id", "pdf_path", "page_num", "backend", "markdown")
+    return pages, table(spark, folder, "blocks", "block_key", "pdf_path", "page_num", "block_order", "block_label", "block_content", "backend")
+
+
+@query("p5_found")
+def p5_found(spark, folder):
+    return cuts.judged(*_stored(spark, folder)).where("cut").select("src", "row_id")
+
+
+@query("p5_rates")
+def p5_rates(spark, folder):
+    return cuts.cut_rates(cuts.judged(*_stored(spark, folder)))

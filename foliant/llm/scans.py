@@ -44,7 +44,10 @@ _CODE = re.compile(r"[A-Za-z]{1,4}-\w*\d\w*|\w*\d\w*-\w+|.*[A-Z].*[a-z].*[A-Z].*
 _KANA = re.compile(r"(?<=[ァ-ヺー])[一力口二工夕卜八才](?=[ァ-ヺー])|(?<=[ァ-ヺ])[一](?=[^一-鿿])")
 _BREAK = re.compile(r"([^\W\d_][\w'’@|-]*?)([-¬])[ \t]*\n[ \t]*([^\W\d_][\w'’@|]*(?:-\w+)*)")
 _MARKED = re.compile(r"\s*(?:#|[-*+•>]\s|\||\d+[.)]\s)")
-_FENCE = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.S | re.M)
+_INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,40}>|https?://\S+|--[\w-]+|\b\w+_\w+\b|(?<=[a-z])\.\w+(?=[ (=])")
+_CLOSED = re.compile(r"[.!?。|`:;)\]\"'”’]\s*$")
+#: Figures that don't stand inside a word.
+_OWN_FIGURES = re.compile(r"(?<![^\W_])\d[\d.,:]*")
 _CODED_FENCE = re.compile(r"^[ \t]*(?:```|~~~)(?!markdown|md|[ \t]*$)\w+[ \t]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.S | re.M)
 
 
@@ -55,6 +58,7 @@ class Decoder:
         self.words, self.keep = words, keep
         self.log_total = math.log(max(2, words.total))
         self.known: dict[str, str | None] = {}
+        self.chunks: dict[str, bool] = {}
 
     def cost(self, word: str) -> float:
         n = self.words.times.get(form(word))
@@ -132,7 +136,21 @@ class Decoder:
         """The text without program code and inline code."""
         if "```" in text or "~~~" in text:
             text = _CODED_FENCE.sub("\n", text)
-        return re.sub(r"`[^`\n]*`|<[^<>\n]{1,40}>|https?://\S+|--[\w-]+|\b\w+_\w+\b|\w+\.\w+(?=[ (=])(?<=[a-z])", " ", text) if re.search(r"[`<_]|://|--", text) else text
+        return _INLINE.sub(" ", text) if "`" in text or "<" in text or "_" in text or "--" in text or "://" in text else text
+
+    def chunk_is_misread(self, chunk: str) -> bool:
+        """Whether a stretch without blanks holds a misread word or number; remembered, figures made alike where they stand alone."""
+        found = self.chunks.get(chunk)
+        if found is None:
+            alike = _OWN_FIGURES.sub("0", chunk)
+            found = self.chunks.get(alike)
+            if found is None:
+                if len(self.chunks) > self.keep:
+                    self.chunks.clear()
+                found = self.chunks[alike] = any(self.correction(w) is not None for w in WORD.findall(alike))
+            if alike == chunk or not chunk[0].isdigit():
+                self.chunks[chunk] = found
+        return found
 
     def kinds(self, text: str) -> tuple[bool, bool]:
         """Whether a word is split by a hyphen at a line end, and whether a word or number is misread."""
@@ -144,12 +162,12 @@ class Decoder:
                 hyphen, misread = hyphen or dropped, misread or changed
             text = _BREAK.sub(" ", text)
         if not misread:
-            tokens = WORD.findall(text)
-            if tokens and not re.search(r"[.!?。|`:;)\]\"'”’]\s*$", text) and not tokens[-1].isdigit():
-                tokens.pop()  # may be cut off
-            known = self.known
-            for t in tokens:
-                if (known[t] if t in known else self.correction(t)) is not None:
+            chunks = text.split()
+            if chunks and not _CLOSED.search(text) and not chunks[-1].isdigit():
+                chunks.pop()  # may be cut off
+            known = self.chunks
+            for c in set(chunks):
+                if known[c] if c in known else self.chunk_is_misread(c):
                     misread = True
                     break
         return hyphen, misread
