@@ -24,7 +24,7 @@ from foliant.session import materialize
 
 #: Characters of an ending and a beginning that are looked at; a limit needs this many open endings, and this share of the source's.
 TAIL, HEAD, LEAST, SHARE = 700, 400, 5, 0.02
-_END = re.compile(r"(?:[.!?。！？…][\"'”’»)\]*_`]*|[.!?。]\s*(?:\[\d+\]|\*\*|<\|[A-Z_0-9]+\|>)+)\s*$")
+_END = re.compile(r"(?:[.!?。！？…][\"'”’»)\]*_`]*|[.!?。]\s*(?:\[\d+\]|\(\d+\)|\*\*|<\|[A-Z_0-9]+\|>)+)\s*$")
 _BROKEN = re.compile(r"�\s*$|&(?:[a-z]{1,5}|#\d{0,5})$|<\|?[A-Za-z_0-9/]*\|?$|(?<!\])\[\d{0,3}$|\s\*{1,2}$|\\$")
 _LIST = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|>\s)")
 _CLOSING = re.compile(r"(?:\s*<!--.*?-->|\s*<\|[A-Z_0-9]+\|>)+\s*$")
@@ -60,6 +60,7 @@ def read_ending(tail: str, dropped: set[str], fences: int, short: bool) -> tuple
     if last.lstrip().startswith("#"):
         return "heading", "", last
     if last.lstrip().startswith("|"):
+        last = re.sub(r"(?<=\|)\s*(?:\(\d{1,3}\)|\[\d{1,3}\])\s*$", "", last)
         return ("table" if last.rstrip().endswith("|") else "table_cut"), "", last
     if _BROKEN.search(last):
         return "broken", "", last
@@ -67,6 +68,8 @@ def read_ending(tail: str, dropped: set[str], fences: int, short: bool) -> tuple
     word = form(words[-1].lower()) if words else ""
     if _END.search(last):
         return "end", word, last
+    if not re.search(r"[^\W_]", last) or len(last.split()[-1]) > 40:
+        return "stretch", "", last  # a rule, or letters without any blank: nothing tells where it should end
     # a wrapped line belongs to the list item, or the paragraph, that it goes on
     for x in reversed(lines):
         if _LIST.match(x):
@@ -96,16 +99,14 @@ def goes_on(words: Lexicon, word: str, last: str, following: str | None) -> floa
         n = words.times.get(f, 0)
         if n:
             s = words.starts.get(f, 0) / n
-            odds += max(-3.0, min(3.0, math.log((1.02 - s) / (s + 0.02))))
+            # a capital within a sentence is a name's (or a noun's), which seldom starts one
+            odds += (1.0 if s < 0.01 else 0.0 if s < 0.03 else -2.5) if first[0][0].isupper() else max(-3.0, min(3.0, math.log((1.02 - s) / (s + 0.02))))
         elif first[0][0].isupper():
             odds -= 0.5
     elif following[0] in ",;:)]、":
         odds += 3.0
-    if word and word not in words.times:
-        odds -= 2.5
-    elif word and last[-1:].isspace() and odds > 0:
-        odds -= 0.5
-    return odds
+    # pages end between words; a cut seldom does
+    return odds + (1.2 if word in words.times else -2.5)
 
 
 def ending_odds(words: Lexicon, kind: str, word: str, last: str, following: str | None, label: str | None, chars: int) -> float:
@@ -114,6 +115,8 @@ def ending_odds(words: Lexicon, kind: str, word: str, last: str, following: str
         return -5.0
     if kind == "end":
         return -7.0
+    if kind == "stretch":
+        return -3.0
     if kind == "table":
         return -6.0
     if kind == "broken":
@@ -212,7 +215,7 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     open_ = F.col("kind") != "end"
     tallies = long_.groupBy("src", "backend", F.floor(F.log("chars") * 20).alias("bin")).agg(F.count("*").alias("n")).collect()  # log bins: some hundreds a source
     units = long_.select("src", "backend", "kind", (F.col("chars") / F.col("bytes")).alias("ratio"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("at")), F.struct(F.lit("bytes").alias("unit"), (F.col("bytes") - F.when((F.col("kind") == "broken") & F.col("last").endswith("�"), F.lit(3)).otherwise(F.lit(0))).alias("at")))).alias("u"))
-    counts = units.groupBy("src", "backend", "u.unit", "u.at").agg(F.count("*").alias("all"), F.count_if(open_).alias("open"), F.avg("ratio").alias("ratio"))
+    counts = units.groupBy("src", "backend", "u.unit", "u.at").agg(F.count("*").alias("all"), F.count_if(open_ & ((F.col("u.unit") == "bytes") | (F.col("kind") != "broken"))).alias("open"), F.avg("ratio").alias("ratio"))
     totals = rows.where(open_ & F.col("kind").isin("text", "list", "broken", "table_cut")).groupBy("src", "backend").agg(F.count("*").alias("opens"))
     # at most 1/SHARE limits for a source and unit
     candidates = counts.where(F.col("open") >= LEAST).join(F.broadcast(totals), ["src", "backend"]).where(F.col("open") >= SHARE * F.col("opens")).where(F.col("open") >= 0.3 * F.col("all")).collect()
