@@ -22,8 +22,10 @@ from foliant.llm.lexicon import WORD, Lexicon, form, lexicon
 from foliant.llm.lookalikes import canonical
 from foliant.session import materialize
 
+#: Kinds of endings that a cut leaves; the others can't outweigh their full stop or form.
+OPEN = ("text", "list", "broken", "table_cut", "stretch")
 #: Characters of an ending and a beginning that are looked at; a limit needs this many open endings, and this share of the source's.
-TAIL, HEAD, LEAST, SHARE = 700, 400, 5, 0.02
+TAIL, HEAD, LEAST, SHARE = 360, 240, 5, 0.02
 _END = re.compile(r"(?:[.!?。！？…][\"'”’»)\]*_`]*|[.!?。]\s*(?:\[\d+\]|\(\d+\)|\*\*|<\|[A-Z_0-9]+\|>)+)\s*$")
 _BROKEN = re.compile(r"�\s*$|&(?:[a-z]{1,5}|#\d{0,5})$|<\|?[A-Za-z_0-9/]*\|?$|(?<!\])\[\d{0,3}$|\s\*{1,2}$|\\$")
 _LIST = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|>\s)")
@@ -33,9 +35,12 @@ _CLOSING = re.compile(r"(?:\s*<!--.*?-->|\s*<\|[A-Z_0-9]+\|>)+\s*$")
 def ends_of(rows: DataFrame, src: str, key: str, text: str, order: str | None, label: str | None) -> DataFrame:
     """What is needed of each row that isn't blank; the text itself stays behind."""
     t = F.col(text)
+    tail = F.right(t, F.lit(TAIL))
+    # a text that ends in a full stop, as most do, needs no closer look
+    tail = F.when(~tail.rlike(r"[.!?。！？]\s*$"), tail)
     return rows.where(t.rlike(r"\S")).select(
         F.lit(src).alias("src"), F.col(key).alias("row_id"), "pdf_path", "page_num", "backend", (F.col(order) if order else F.lit(0)).alias("place"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"),
-        F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.substring(t, 1, HEAD).alias("head"), F.right(t, F.lit(TAIL)).alias("tail"), F.regexp_count(t, F.lit("(?m)^\\s*```")).alias("fences"),
+        F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.substring(t, 1, HEAD).alias("head"), tail.alias("tail"), F.regexp_count(t, F.lit("(?m)^\\s*```")).alias("fences"),
     )
 
 
@@ -79,15 +84,9 @@ def read_ending(tail: str, dropped: set[str], fences: int, short: bool) -> tuple
     return "text", word, last
 
 
-def read_beginning(head: str, dropped: set[str]) -> str:
-    for line in canonical(head).split("\n"):
-        if line.strip() and line.strip() not in dropped and not re.match(r"\s*```(?:markdown|md)?\s*$", line):
-            return line.strip()[:120]
-    return ""
-
-
 def goes_on(words: Lexicon, word: str, last: str, following: str | None) -> float:
     """Log odds that the next page's first line goes on with the sentence."""
+    following = canonical(following or "").strip()
     if not following or re.match(r"(?:#|\||```|[-*+•]\s|\d+[.)]\s|>\s)", following):
         return -2.0
     first = WORD.match(following)
@@ -178,39 +177,45 @@ def fit_limits(tallies: list, candidates: list) -> dict[tuple, dict[tuple, float
 
 
 def readings(pages: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Lexicon]:
-    """Every row with its ending and the next page's beginning, and the lexicon."""
+    """Every row with its ending and its first line, and the lexicon."""
     words = lexicon(scans.scanned_rows(pages, blocks).select("text"))
     lines = scans.running(pages, blocks).where("is_header OR is_number").groupBy("src", "row_id").agg(F.collect_set(F.trim("line")).alias("dropped"))
     rows = ends_of(pages, "pages", "page_id", "markdown", None, None).unionByName(ends_of(blocks, "blocks", "block_key", "block_content", "block_order", "block_label"))
 
-    @F.pandas_udf("kind string, word string, last string, first string")
-    def read(tail: pd.Series, head: pd.Series, dropped: pd.Series, fences: pd.Series, chars: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("kind string, word string, last string")
+    def read(tail: pd.Series, dropped: pd.Series, fences: pd.Series, chars: pd.Series) -> pd.DataFrame:
         out = []
-        for t, h, d, f, c in zip(tail, head, dropped, fences, chars):
+        for t, d, f, c in zip(tail, dropped, fences, chars):
             drop = {canonical(x).strip() for x in d} if d is not None else set()
-            out.append((*read_ending(t, drop, int(f), c <= TAIL), read_beginning(h, drop)))
-        return pd.DataFrame(out, columns=["kind", "word", "last", "first"])
-
-    joined = rows.join(lines, ["src", "row_id"], "left").withColumn("r", read("tail", "head", "dropped", "fences", "chars"))
-    table = materialize(joined.select("src", "row_id", "pdf_path", "page_num", "backend", "place", "label", "chars", "bytes", "r.*"), "endings")
-    body = table.where("first <> ''")
-    # the first line of a page's body: by backend, and by whichever parse there is
-    key = F.struct("place", "row_id", "first")
-    mine = body.groupBy("src", "pdf_path", (F.col("page_num") - 1).alias("page_num"), "backend").agg(F.min(key)["first"].alias("mine"))
-    any_ = body.groupBy("src", "pdf_path", (F.col("page_num") - 1).alias("page_num")).agg(F.min(key)["first"].alias("any"))
-    last = Window.partitionBy("src", "pdf_path", "page_num", "backend")
-    ended = table.withColumn("is_last", F.col("place") == F.max(F.when(F.col("kind") != "none", F.col("place"))).over(last))
-    followed = ended.join(mine, ["src", "pdf_path", "page_num", "backend"], "left").join(any_, ["src", "pdf_path", "page_num"], "left")
-    return followed.withColumn("following", F.when(F.coalesce("is_last", F.lit(False)), F.coalesce("mine", "any"))).drop("mine", "any", "is_last"), words
+            out.append(read_ending(t, drop, int(f), c <= TAIL) if isinstance(t, str) else ("end", "", ""))
+        return pd.DataFrame(out, columns=["kind", "word", "last"])
+
+    joined = rows.join(lines, ["src", "row_id"], "left")
+    body = F.filter(F.split("head", "\n"), lambda x: x.rlike(r"[^\s\uFEFF]") & ~x.rlike(r"^\s*```(?:markdown|md)?\s*$") & ~F.coalesce(F.array_contains("dropped", F.trim(x)), F.lit(False)))
+    first = F.substring(F.get(body, 0), 1, 120)
+    joined = joined.withColumn("r", read("tail", F.when(F.col("tail").isNotNull(), F.col("dropped")), "fences", "chars"))
+    table = materialize(joined.select("src", "row_id", "pdf_path", "page_num", "backend", "place", "label", "chars", "bytes", first.alias("first"), "r.*"), "endings")
+    return table, words
+
+
+def with_following(table: DataFrame) -> DataFrame:
+    """Rows whose ending is open, with the first line of the next page's body where they end their page."""
+    body = table.where("first IS NOT NULL").select("src", "pdf_path", "page_num", "backend", F.struct("place", "row_id", "first").alias("key"))
+    # by backend, and by whichever parse there is
+    mine = body.groupBy("src", "pdf_path", (F.col("page_num") - 1).alias("page_num"), "backend").agg(F.min("key").alias("mine"))
+    any_ = mine.groupBy("src", "pdf_path", "page_num").agg(F.min("mine").alias("any"))
+    last = table.where("kind <> 'none'").groupBy("src", "pdf_path", "page_num", "backend").agg(F.max("place").alias("last_place"))
+    followed = table.where(F.col("kind").isin(*OPEN)).drop("first").join(mine, ["src", "pdf_path", "page_num", "backend"], "left").join(any_, ["src", "pdf_path", "page_num"], "left").join(last, ["src", "pdf_path", "page_num", "backend"], "left")
+    return followed.withColumn("following", F.when(F.col("place") == F.col("last_place"), F.coalesce("mine.first", "any.first"))).drop("mine", "any", "last_place")
 
 
 def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """src, row_id, backend, kind, the posterior of censoring at a limit (null where none is near), and the log odds and verdict of a cut.
+    """src, row_id, backend, kind, the posterior of censoring at a limit (null where none is near), and the log odds (null for a closed
+    ending) and verdict of a cut.
 
     Null, empty and blank texts aren't cut off and are left out. Repeated rows are each judged. Extra columns are ignored.
     """
     rows, words = readings(pages, blocks)
-    rows = materialize(rows, "judged-endings")
     long_ = rows.where("kind IN ('end', 'text', 'list', 'broken', 'table_cut') AND chars >= 40")
     open_ = F.col("kind") != "end"
     tallies = long_.groupBy("src", "backend", F.floor(F.log("chars") * 20).alias("bin")).agg(F.count("*").alias("n")).collect()  # log bins: some hundreds a source
@@ -236,9 +241,11 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
             out.append((p, odds + (min(5.0, math.log(p / (1 - p))) if p is not None else -0.5)))
         return pd.DataFrame(out, columns=["censored", "odds"])
 
-    return rows.withColumn("j", judge("src", "backend", "kind", "word", "last", "following", "label", "chars", "bytes")).select(
+    opened = with_following(rows).withColumn("j", judge("src", "backend", "kind", "word", "last", "following", "label", "chars", "bytes")).select(
         "src", "row_id", "backend", "kind", "j.censored", F.round("j.odds", 4).alias("odds"), (F.col("j.odds") > 0).alias("cut")
     )
+    closed = rows.where(~F.col("kind").isin(*OPEN)).select("src", "row_id", "backend", "kind", F.lit(None).cast("double").alias("censored"), F.lit(None).cast("double").alias("odds"), F.lit(False).alias("cut"))
+    return opened.unionByName(closed)
 
 
 def cut_rates(judged_rows: DataFrame) -> DataFrame:
