@@ -230,10 +230,11 @@ def layer_marginals(spark, folder):
     return sets.select(layer.alias("layer"), F.coalesce(*_LAYERS).alias("value"), "composite", "answers", "combos")
 
 
-@query("model_comparison", _RAGAS + "SELECT category, split_part(strategy, '+', 1) AS model, round(avg(composite), 4) AS composite, round(avg(context_recall), 4) AS recall, round(avg(faithfulness), 4) AS faithfulness, count(*) AS combos FROM me GROUP BY ALL")
+@query("model_comparison", _RAGAS + "SELECT category, split_part(strategy, '+', 1) AS model, " + ", ".join(f"round(round(avg({c}), 8) + 1e-9, 4) AS {n}" for c, n in (("composite", "composite"), ("context_recall", "recall"), ("faithfulness", "faithfulness"))) + ", count(*) AS combos FROM me GROUP BY ALL")
 def model_comparison(spark, folder):
+    mean = lambda c: F.round(F.round(F.avg(c), 8) + F.lit(1e-9), 4)
     return _means(spark, folder).groupBy("category", F.get(F.split("strategy", r"\+"), F.lit(0)).alias("model")).agg(
-        F.round(F.avg("composite"), 4).alias("composite"), F.round(F.avg("context_recall"), 4).alias("recall"), F.round(F.avg("faithfulness"), 4).alias("faithfulness"), F.count("*").alias("combos")
+        mean("composite").alias("composite"), mean("context_recall").alias("recall"), mean("faithfulness").alias("faithfulness"), F.count("*").alias("combos")
     )
 
 
