@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import chunking, layout
 from foliant.plans.base import query, strip
+from foliant.sources import readers
 from foliant.sources.tables import table
 
 
@@ -231,3 +232,22 @@ def bbox_overlap(spark, folder):
     order = Window.partitionBy("pdf_path", "page_num").orderBy("block_order", "x0", "y0", "x1", "y1")
     pairs = boxes.select("*", F.row_number().over(order).alias("rn"), *[F.lead(n).over(order).alias(f"n{n}") for n in ("x0", "y0", "x1", "y1")]).where("nx0 IS NOT NULL")
     return pairs.select("pdf_path", "page_num", "rn", *[layout.overlap_ratio("x0 y0 x1 y1".split(), "nx0 ny0 nx1 ny1".split(), over).alias(f"over_{over}") for over in ("union", "small", "large")])
+
+
+@query(
+    "response_pages",
+    """WITH e AS (SELECT pdf_path, page_num, page_id, coalesce(nullif(CASE WHEN backend = 'upstage' THEN markdown ELSE '' END, ''), nullif(markdown, '')) AS c FROM pages)
+SELECT pdf_path, page_num, string_agg(c, chr(10) || chr(10) ORDER BY page_id) AS markdown FROM e WHERE c IS NOT NULL GROUP BY ALL""",
+)
+def response_pages(spark, folder):
+    """A JSON response for each page (markdown only from one backend, text from all), flattened again with the fallback."""
+    body = F.to_json(F.struct(F.array(F.struct(F.col("page_num").alias("page"), F.struct(F.when(F.col("backend") == "upstage", F.col("markdown")).otherwise("").alias("markdown"), F.col("markdown").alias("text")).alias("content"))).alias("elements")))
+    answers = table(spark, folder, "pages", "page_id", "pdf_path", "page_num", "backend", "markdown").select("page_id", "pdf_path", body.alias("body"))
+    flat = readers.response_pages(answers.select(F.struct("pdf_path", "page_id").alias("k"), "body"), "k", "body")
+    listed = flat.groupBy("k.pdf_path", "page_num").agg(F.array_sort(F.collect_list(F.struct("k.page_id", "markdown"))).alias("ms"))
+    return listed.select("pdf_path", "page_num", F.array_join(F.transform("ms", lambda m: m["markdown"]), "\n\n").alias("markdown"))
+
+
+@query("block_range", "SELECT block_key, page_num, block_label AS label, block_content AS content FROM blocks WHERE block_label IS NOT NULL AND page_num BETWEEN 2 AND 5")
+def block_range(spark, folder):
+    return readers.raw_blocks(table(spark, folder, "blocks"), 2, 5).select("block_key", "page_num", "label", "content")
