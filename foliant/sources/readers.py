@@ -89,8 +89,11 @@ def read_metrics(spark: SparkSession, *folders: str) -> DataFrame:
 def finished(rows: DataFrame, folder: str, pattern: str = "DONE") -> DataFrame:
     """Only rows whose file lies in a folder with a marker file; the folder ``prepared`` is no result."""
     spark = rows.sparkSession
-    parent = lambda c: F.regexp_extract(c, r"^(.*)/[^/]+$", 1)
-    marks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select(parent(F.col("path")).alias("__folder"))
+    # file:/ and file:/// are the same place
+    parent = lambda c: F.regexp_replace(F.regexp_extract(c, r"^(.*)/[^/]+$", 1), r"^(\w+):/+", "$1:/")
+    # the driver lists files anyway; markers are often empty, and a scan passes over empty files
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).inputFiles()
+    marks = spark.createDataFrame([(x,) for x in listed], "path STRING").select(parent(F.col("path")).alias("__folder"))
     return rows.withColumn("__folder", parent(F.col("path"))).where(~F.col("__folder").endswith("/prepared")).join(marks, "__folder", "left_semi").drop("__folder")
 
 
