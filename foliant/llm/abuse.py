@@ -73,7 +73,7 @@ _LEET = re.compile(r"(?<!\w)(?=[a-z0-9@$]*[a-z])[a-z0-9]*[0-9@$][a-z0-9@$]*[a-z0
 #: Whether anything needs undoing; each branch starts with its rarest character, since this is tried all over a text.
 _ODD = re.compile(
     r"\*\*(?<=[a-z]\*\*)|[-_~*.!@ ·ㅡ][^\W\d_][-_~*.!@ ·ㅡ][^\W\d_](?![^\W_])|[-~_!@*ㅡ1·](?<=[가-힣ぁ-ゖァ-ヺ一-鿿].)(?=[가-힣ぁ-ゖァ-ヺ一-鿿])"
-    r"|[0-9@$](?<=[a-z].)[0-9@$]*[a-z]|([a-z])\1\1"
+    r"|[0-9@$](?<=[a-z].)[0-9@$]*[a-z]|[0-9][a-z][0-9]|([a-z])\1\1"
 )
 _PLAIN_LEET = str.maketrans("013457@$", "oieasta" + "s")
 _TOKEN = re.compile(r"[^\W_]+|[.!?。！？\n]+")

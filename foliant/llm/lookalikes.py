@@ -71,8 +71,9 @@ def unstable_class() -> str:
         if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
             continue
         c = chr(cp)
-        accented = 0x370 <= cp <= 0x52F and unicodedata.normalize("NFD", c)[0] in LOOKALIKES
-        if accented or unicodedata.combining(c) or 0x1100 <= cp <= 0x11FF or not unicodedata.is_normalized("NFC", c):
+        # any Greek or Cyrillic letter may share a word with letters of another script
+        mixed = 0x370 <= cp <= 0x52F and c.isalpha()
+        if mixed or unicodedata.combining(c) or 0x1100 <= cp <= 0x11FF or not unicodedata.is_normalized("NFC", c):
             bad.add(cp)
     spans = []
     for cp in sorted(bad):

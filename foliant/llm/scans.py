@@ -31,7 +31,7 @@ CONFUSIONS = (
 #: Kanji read for katakana between katakana, and the figures that letters are read for.
 KANA = {"一": "ー", "力": "カ", "口": "ロ", "二": "ニ", "工": "エ", "夕": "タ", "卜": "ト", "八": "ハ", "才": "オ"}
 FIGURES = str.maketrans("OoIlZSbB|", "001125681"[:9])
-CONFUSED, CONFUSED_SYLLABLE, FIGURED, JOINED, SPLIT, UNKNOWN = 3.0, 2.0, 0.5, 1.0, 7.0, 3.0
+CONFUSED, CONFUSED_SYLLABLE, FIGURED, JOINED, SPLIT, UNKNOWN = 3.0, 2.0, 0.5, 1.0, 3.0, 3.0
 
 _BY_SEEN: dict[str, list[str]] = {}
 for _seen, _meant in CONFUSIONS:
