@@ -78,10 +78,11 @@ def weighted_scorecard(scores: DataFrame) -> DataFrame:
 
 def weaknesses(card: DataFrame) -> DataFrame:
     """For every backend but the leader the two criteria that cost it most against the leader."""
-    leader = card.where("rank = 1").select(*[F.col(k).alias(f"top_{k}") for k in CRITERIA])
+    # a scorecard has a row a backend, so the leader's scores are carried over by a window
+    order = Window.partitionBy(F.lit(1)).orderBy("rank")
+    led = card.select("*", *[F.first(k).over(order).alias(f"top_{k}") for k in CRITERIA])
     gaps = F.array(*[F.struct((-F.round((F.col(f"top_{k}") - F.col(k)) * w, 6)).alias("loss"), F.lit(k).alias("criterion"), (F.col(f"top_{k}") - F.col(k)).alias("points")) for k, w in CRITERIA.items()])
-    both = card.where("rank > 1").join(F.broadcast(leader), F.lit(True))  # the leader is one row
-    ranked = both.select("backend", F.slice(F.array_sort(F.filter(gaps, lambda g: g["points"] > 0)), 1, 2).alias("g"))
+    ranked = led.where("rank > 1").select("backend", F.slice(F.array_sort(F.filter(gaps, lambda g: g["points"] > 0)), 1, 2).alias("g"))
     text = F.array_join(F.transform("g", lambda g: F.concat(g["criterion"], F.lit(" -"), g["points"].cast("string"))), ", ")
     return ranked.select("backend", F.when(F.size("g") > 0, text).otherwise("lower total").alias("weakness"))
 

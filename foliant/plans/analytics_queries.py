@@ -300,7 +300,7 @@ def combo_completeness(spark, folder):
     """Combinations without a single answer, by category; categories are few."""
     found = _ragas(spark, folder).select("category", "strategy").distinct()
     categories = found.agg(F.collect_set("category").alias("cs"))
-    expected = _grid(spark, folder).join(F.broadcast(categories), F.lit(True)).select(F.explode("cs").alias("category"), "strategy")
+    expected = _grid(spark, folder).select("strategy", F.explode(categories.scalar()).alias("category"))
     return expected.join(found, ["category", "strategy"], "left_anti")
 
 
@@ -309,7 +309,7 @@ def untested_categories(spark, folder):
     """Categories in which a strategy never took more than 50 s without an error: all less those tested so hard."""
     lat = table(spark, folder, "latency", "strategy", "category", "error", "latency_ms")
     categories = lat.where("category IS NOT NULL").agg(F.collect_set("category").alias("cs"))
-    all_ = lat.select("strategy").distinct().join(F.broadcast(categories), F.lit(True)).select("strategy", F.explode("cs").alias("category"))
+    all_ = lat.select("strategy").distinct().select("strategy", F.explode(categories.scalar()).alias("category"))
     return all_.subtract(lat.where("error IS NULL AND latency_ms > 50000").select("strategy", "category"))
 
 
@@ -366,6 +366,6 @@ def spec_grid(spark, folder):
     """Backends by documents with the derived label; backends are few and come from one set."""
     pages = table(spark, folder, "pages", "backend", "pdf_path")
     backends = pages.agg(F.collect_set("backend").alias("bs"))
-    grid = pages.groupBy("pdf_path").agg(F.count("*").alias("pages")).join(F.broadcast(backends), F.lit(True)).select("pdf_path", "pages", F.explode("bs").alias("backend"))
+    grid = pages.groupBy("pdf_path").agg(F.count("*").alias("pages")).select("pdf_path", "pages", F.explode(backends.scalar()).alias("backend"))
     label = F.substring(F.replace(F.concat("backend", F.lit("-"), F.regexp_extract("pdf_path", r"([^/]+)\.pdf$", 1), F.lit("-direct")), F.lit("_"), F.lit("-")), 1, 63)
     return grid.select("backend", "pdf_path", label.alias("label"), "pages")
