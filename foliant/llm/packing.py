@@ -156,16 +156,16 @@ def pack(documents: DataFrame, limits: DataFrame, path: str | None = None, salts
     Columns: limit_id, doc_id, piece, tokens, container. A document within the capacity is one row with piece 0 and is never divided; a longer
     one is cut into full pieces of ``capacity`` tokens and a remainder, each a row. Container numbers start at 0 within a limit. Null and
     empty texts have 0 tokens and go to container 0, where they take no room. Repeated rows are packed each on their own.
-    ``limits`` is a list of settings: its rows are read by the driver to know which tokenizers to load.
+    ``limits`` is a list of settings: its rows are read by the driver and stand in the plan.
     """
-    names = sorted(r[0] for r in limits.select("tokenizer").where("tokenizer is not null and capacity > 0").distinct().collect())
+    settings = limits.where("tokenizer is not null and capacity > 0").select("limit_id", "tokenizer", "capacity").collect()
+    names = sorted({r["tokenizer"] for r in settings})
     if not names:
         return documents.sparkSession.createDataFrame([], "limit_id int, doc_id bigint, piece int, tokens int, container bigint")
     counted = materialize(token_counts(documents, names, path), "token-counts")
-    settings = F.broadcast(limits.where("capacity > 0 and tokenizer is not null").select("limit_id", "tokenizer", F.col("capacity").cast("long").alias("capacity")))
+    wanted = [F.struct(F.lit(r["limit_id"]).cast("int").alias("limit_id"), F.lit(r["capacity"]).cast("long").alias("capacity"), F.col("tokens")[r["tokenizer"]].alias("tokens")) for r in settings]
     items = (
-        counted.crossJoin(settings)  # a handful of settings for each document, not pairs of documents
-        .select("limit_id", "capacity", "doc_id", F.col("tokens")[F.col("tokenizer")].alias("tokens"))
+        counted.select("doc_id", F.inline(F.array(*wanted)))
         .select("limit_id", "capacity", "doc_id", "tokens", F.explode(F.expr("sequence(0, greatest(0, int((tokens - 1) div capacity)))")).alias("piece"))
         .select("limit_id", "capacity", "doc_id", "piece", F.expr("int(least(capacity, tokens - piece * capacity))").alias("size"))
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
