@@ -24,6 +24,8 @@ ALONE = re.compile(rf"^(?:[-–—]\s*{_NUMBER}\s*[-–—]|\[{_NUMBER}\]|(?:pag
 BARE = re.compile(rf"^{_NUMBER}$", re.I)
 WITH = re.compile(rf"^{_NUMBER}\s*\|\s*(?=\S)|(?<=\S)\s*\.{{4,}}\s*{_NUMBER}$|(?<=\S)(?:\s{{3,}}|\t)\s*{_NUMBER}$|(?<=\S)\s*\|\s*{_NUMBER}$", re.I)
 _MARKED = re.compile(r"^\s*(?:#|[-*+•>]\s|\||\d+[.)]\s|```|~~~)")
+#: Place tokens that a parser left in a line.
+_LEFTOVER = re.compile(r"<\|[A-Z_]+\d*\|>")
 _FIGURE = re.compile(r"\d|\b[ivxlcIVXLC]+\b")
 _CODE = re.compile(r"\b[A-Z]{1,4}-\d{2,6}\b")
 
@@ -59,7 +61,7 @@ def page_number(line: str) -> tuple[int | None, str]:
 
 def key_of(line: str) -> str:
     """What two prints of one running line share."""
-    s = WITH.sub(" ", canonical(line).strip())
+    s = WITH.sub(" ", _LEFTOVER.sub("", canonical(line)).strip())
     s = re.sub(r"^\s*#+\s*", "", s).split(" / ")[0].lower()
     s = re.sub(r"(?<![^\W_])\d+(?![^\W_])", "", s)
     for a, b in ALIKE:
@@ -96,7 +98,7 @@ def read_lines(lines: DataFrame) -> DataFrame:
     def look(line: pd.Series, before: pd.Series) -> pd.DataFrame:
         out = []
         for s, b in zip(line, before):
-            s = canonical(s).strip()
+            s = _LEFTOVER.sub("", canonical(s)).strip()
             number, stands = page_number(s) if len(s) < 10 or _FIGURE.search(s) else (None, "")
             heading, body = s.startswith("#"), stands in ("alone", "bare")
             ended = bool(re.search(r"[.!?。:;,]$", s)) and not re.search(r"\.{4,}$", s)

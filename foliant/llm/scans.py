@@ -136,6 +136,8 @@ class Decoder:
         """The text without program code and inline code."""
         if "```" in text or "~~~" in text:
             text = _CODED_FENCE.sub("\n", text)
+        if "<|" in text:
+            text = edges._LEFTOVER.sub("", text)
         return _INLINE.sub(" ", text) if "`" in text or "<" in text or "_" in text or "--" in text or "://" in text else text
 
     def chunk_is_misread(self, chunk: str) -> bool:
