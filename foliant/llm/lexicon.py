@@ -19,6 +19,7 @@ LEAST = 3
 #: A word may hold letters, figures read for letters, an apostrophe, and hyphens inside.
 WORD = re.compile(r"[^\W_][^\W_@|]*(?:[@'’|-][^\W_]+)*|@[^\W_]+")
 _AFTER = re.compile(r"[.!?。！？]\s+(\S+)")
+_HALVES = re.compile(r"[^\s-]+[-¬][ \t]*\n\s*\S+")
 _ENDED = re.compile(r"[.!?。！？][\"'”’)\]]*$")
 _FIGURES = re.compile(r"\d[\d.,:-]*")
 
@@ -49,6 +50,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 text = text.lower()
+                if "-\n" in text or "¬" in text:  # neither half of a word split at a line end is a word
+                    text = _HALVES.sub(" ", text)
                 chunks.update(text.split())
                 starts.update(_AFTER.findall(text))
         out: dict[str, list[int]] = {}

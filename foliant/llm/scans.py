@@ -38,6 +38,8 @@ for _seen, _meant in CONFUSIONS:
     _BY_SEEN.setdefault(_seen, []).append(_meant)
 _ANY_SEEN = re.compile("|".join(sorted(map(re.escape, _BY_SEEN), key=len, reverse=True)))
 _NUMBER = re.compile(r"(?=[^\d]*\d)(?=[\d.,]*[OoIlZSbB|])[\dOIlZSbB|o]+(?:[.,][\dOIlZSbB|o]+)*")
+#: A number with a Korean or Japanese counter.
+_COUNTED = re.compile(r"([제第]?)((?=[^\d가-힣]*\d)(?=[\d.,]*[OoIlZSbB|])[\dOoIlZSbB|.,]+)([가-힣一-鿿ぁ-ヺ][가-힣一-鿿ぁ-ヺー]*)")
 _FIGURED_WORD = re.compile(r"[^\W\d_]{2,}[0-9@|][^\W\d_]+|[^\W\d_]+[0-9@|][^\W\d_]{2,}|[^\W\d_]{4,}[015@|]")
 _ROMAN = re.compile(r"[ivxlc]+")
 _CODE = re.compile(r"[A-Za-z]{1,4}-\w*\d\w*|\w*\d\w*-\w+|.*[A-Z].*[a-z].*[A-Z].*")
@@ -77,7 +79,8 @@ class Decoder:
     def read(self, word: str) -> tuple[str, float, bool]:
         """Best reading of one lower-case word: the reading, its cost, whether confusions were undone."""
         best, low, changed = word, self.cost(word), False
-        if len(word) < 2 or len(word) > 40 or word.isdigit() or _ROMAN.fullmatch(word):
+        # of two letters too much is a word, a unit or a piece
+        if len(word) < 2 or len(word) > 40 or (len(word) == 2 and word.isalpha() and word < "가") or word.isdigit() or _ROMAN.fullmatch(word):
             return best, low, False
         first = self._undo(word)
         for w, c in first:
@@ -105,7 +108,9 @@ class Decoder:
         found = None
         if _NUMBER.fullmatch(token):
             found = token.translate(FIGURES)
-        elif not _CODE.fullmatch(token) and not token.isdigit() and (token[1:] == token[1:].lower() or token.isupper()):
+        elif m := _COUNTED.fullmatch(token):
+            found = m[1] + m[2].translate(FIGURES) + m[3]
+        elif not _CODE.fullmatch(token) and not token.isdigit() and (token[1:] == token[1:].lower() or token.isupper() and len(token) > 3):
             if _KANA.search(token):
                 found = _KANA.sub(lambda m: KANA[m[0]], token)
             else:
