@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import scoring as S
+from foliant.operators.strategies import filled_answers
 from foliant.plans.base import query
 from foliant.plans.text_queries import NORMAL
 from foliant.sources.tables import table
@@ -369,3 +370,33 @@ def spec_grid(spark, folder):
     grid = pages.groupBy("pdf_path").agg(F.count("*").alias("pages")).select("pdf_path", "pages", F.explode(backends.scalar()).alias("backend"))
     label = F.substring(F.replace(F.concat("backend", F.lit("-"), F.regexp_extract("pdf_path", r"([^/]+)\.pdf$", 1), F.lit("-direct")), F.lit("_"), F.lit("-")), 1, 63)
     return grid.select("backend", "pdf_path", label.alias("label"), "pages")
+
+
+@query("document_averages", _SCORES + " SELECT backend, pdf, round(avg(ned), 4) AS avg_ned, round(avg(teds), 4) AS avg_teds, round(avg(coalesce(words, 0)), 2) AS avg_words, CAST(sum(coalesce(words, 0)) AS BIGINT) AS total_words, count(*) AS pages FROM sc GROUP BY ALL")
+def document_averages(spark, folder):
+    """Page scores by document; pages without a score don't count in the mean, a document without any has none."""
+    words = F.coalesce("words", F.lit(0))
+    return _scores(spark, folder).groupBy("backend", "pdf").agg(F.round(F.avg("ned"), 4).alias("avg_ned"), F.round(F.avg("teds"), 4).alias("avg_teds"), F.round(F.avg(words), 2).alias("avg_words"), F.sum(words).alias("total_words"), F.count("*").alias("pages"))
+
+
+@query("qa_counts", "WITH c AS (SELECT coalesce(doc_type, 'unknown') AS category, strategy, count(DISTINCT query_id) AS n FROM answers JOIN queries USING (query_id) GROUP BY ALL) SELECT category, max(n) AS n_qa, count(*) AS strategies FROM c GROUP BY category")
+def qa_counts(spark, folder):
+    """Questions of each category: the most that any strategy answered."""
+    category = table(spark, folder, "queries", "query_id", "doc_type").select("query_id", F.coalesce("doc_type", F.lit("unknown")).alias("category"))
+    per = table(spark, folder, "answers", "query_id", "strategy").join(category, "query_id").groupBy("category", "strategy").agg(F.count_distinct("query_id").alias("n"))
+    return per.groupBy("category").agg(F.max("n").alias("n_qa"), F.count("*").alias("strategies"))
+
+
+@query("fallback_fields", "SELECT answer_id, coalesce(nullif(answer, ''), CASE WHEN length(citations) > 0 THEN citations[1].text_snippet END, 'No answer was generated.') AS answer, answer IS NULL OR answer = '' AS filled FROM answers")
+def fallback_fields(spark, folder):
+    """Missing answers take the first citation's text, else a constant; given ones stay."""
+    rows = table(spark, folder, "answers", "answer_id", "answer", "citations")
+    given = F.coalesce("answer", F.lit("")) == ""
+    return filled_answers(rows.withColumn("filled", given), F.get("citations", 0)["text_snippet"]).select("answer_id", "answer", "filled")
+
+
+@query("injected_results", "SELECT strategy, count(*) AS runs FROM latency SEMI JOIN (SELECT DISTINCT strategy FROM answers) USING (strategy) GROUP BY strategy")
+def injected_results(spark, folder):
+    """Results of known strategies only."""
+    known = table(spark, folder, "answers", "strategy").distinct()
+    return table(spark, folder, "latency", "strategy").join(known, "strategy", "left_semi").groupBy("strategy").agg(F.count("*").alias("runs"))

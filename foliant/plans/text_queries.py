@@ -251,3 +251,21 @@ def response_pages(spark, folder):
 @query("block_range", "SELECT block_key, page_num, block_label AS label, block_content AS content FROM blocks WHERE block_label IS NOT NULL AND page_num BETWEEN 2 AND 5")
 def block_range(spark, folder):
     return readers.raw_blocks(table(spark, folder, "blocks"), 2, 5).select("block_key", "page_num", "label", "content")
+
+
+@query(
+    "document_layout",
+    f"""WITH e AS (SELECT pdf_path, row_number() OVER (PARTITION BY pdf_path ORDER BY page_num, block_order, block_key) AS id, page_num AS page, {_HTML} AS html FROM ({_BLOCK}))
+SELECT pdf_path, max(page) AS pages, count(*) AS elements, string_agg(html, chr(10) ORDER BY id) AS html FROM e GROUP BY pdf_path""",
+)
+def document_layout(spark, folder):
+    """A document's elements as one text in reading order."""
+    e = layout_elements(spark, folder).groupBy("pdf_path").agg(F.max("page").alias("pages"), F.count("*").alias("elements"), F.array_sort(F.collect_list(F.struct("id", "html"))).alias("es"))
+    return e.select("pdf_path", "pages", "elements", F.array_join(F.transform("es", lambda x: x["html"]), "\n").alias("html"))
+
+
+@query("blank_chunks", _CHUNKS + f"SELECT page_id, count(*) AS chunks, CAST(sum(CASE WHEN {strip('chunk_text')} = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank, CAST(sum(length(chunk_text)) AS BIGINT) AS chars FROM named GROUP BY page_id")
+def blank_chunks(spark, folder):
+    """Chunks of a page, those that indexing would leave out as blank, and characters."""
+    chunks = chunk_pages(spark, folder)
+    return chunks.groupBy("page_id").agg(F.count("*").alias("chunks"), F.count_if(T.strip_ends(F.col("chunk_text")) == "").alias("blank"), F.sum(F.length("chunk_text")).alias("chars"))
