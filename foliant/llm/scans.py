@@ -61,6 +61,7 @@ class Decoder:
         self.log_total = math.log(max(2, words.total))
         self.known: dict[str, str | None] = {}
         self.chunks: dict[str, bool] = {}
+        self.costs: dict[str, float] = {}
 
     def cost(self, word: str) -> float:
         n = self.words.times.get(form(word))
@@ -98,6 +99,13 @@ class Decoder:
                 best, low, changed = w, low - 1, True
         return best, low, changed
 
+    def reading_cost(self, word: str) -> float:
+        if len(self.costs) > self.keep:
+            self.costs.clear()
+        if (c := self.costs.get(word)) is None:
+            c = self.costs[word] = self.read(word)[1]
+        return c
+
     def correction(self, token: str) -> str | None:
         """What a token of the text was meant to be, or None if it is fine."""
         found = self.known.get(token, "")
@@ -193,10 +201,10 @@ class Decoder:
                 continue
             fixed = self.correction(core[0])
             reading = token if fixed is None else token.replace(core[0], fixed, 1)
-            cost = best[i] + self.read(core[0].lower())[1]
+            cost = best[i] + self.reading_cost(core[0].lower())
             if cost < best[i + 1]:
                 best[i + 1], back[i + 1] = cost, (i, reading)
-            lonely = form(core[0].lower()) not in self.words and fixed is None and core[0] == token and token.isalpha()
+            lonely = form(core[0].lower()) not in self.words and fixed is None and core[0] == token and token.isalpha() and len(token) <= 40
             if lonely:
                 for k in range(2, len(token) - 1):
                     a, b = token[:k].lower(), token[k:].lower()

@@ -84,3 +84,15 @@ def test_cuts(spark):
     rates = {r.backend: r for r in cuts.cut_rates(cuts.judged(pages, blocks)).collect()}
     assert rates["a"].cut == len(at_limit) and rates["b"].cut == 0
     assert cuts.judged(pages.limit(0), blocks).count() == 0
+
+
+def test_long_words_and_texts(decoder):
+    text = "x" * 200_000 + " " + "notice " * 20_000
+    assert decoder.repair(text, set()).startswith("xxx") and decoder.kinds(text) == (False, False)
+
+
+def test_nulls_in_any_column(spark):
+    p = spark.createDataFrame([(None, None, None, "the registrar must de-\nliver 2O22.", None), (1, "a", None, "x", None)], "page_id long, pdf_path string, page_num int, markdown string, backend string")
+    b = spark.createDataFrame([(None,) * 7, (1, "a", 1, None, "text", "KX 12 Title AB-1234", None)], "block_key long, pdf_path string, page_num int, block_order int, block_label string, block_content string, backend string")
+    assert {r.noise for r in scans.noise(p, b).collect()} >= {"misread"}
+    assert cuts.judged(p, b).count() == 3 and scans.repaired(p, b).count() == 3
