@@ -44,10 +44,10 @@ LEX_NAMES = tuple(LEXICON)
 
 #: Seed patterns that label training passages; they aren't used in scoring.
 SEEDS = {
-    "insult": r"(you|u|whoever wrote.*|what) (are |is |r )?(an?|such an?) .{0,30}(idiot|moron|imbecile|dumbass|dickhead|bastard|asshole|bitch|retard|scum)|what an? (dickhead|bastard|bitch|dumbass|asshole|idiot|moron|imbecile)|shut up, you|piece of shit|(fuck|screw) yourself|stfu|mother must be ashamed|toddler write|a brick would|trash and so|crawl back into|as worthless as you|(jaw|neck), (idiot|moron|imbecile|dumbass|dickhead|bastard|asshole|bitch)|arschloch|vollidiot|die fresse|letzte dreck|hurensohn|connard|connasse|abruti|ta gueule|te faire foutre|de la merde|병신|개새끼|새끼|씨발|좆|등신|또라이|미친놈|멍청이네|멍청이야|쓰레기(네|만도| 같은)|닥쳐|당장 꺼져|꺼져라|같은 게 어디서|놈은 진짜|대가리|부모가 불쌍|숨 쉬는 것도|꼬라지|馬鹿野郎|黙れ|このゴミ",
+    "insult": r"(you|u|whoever wrote.*|what) (are |is |r )?(an?|such an?) .{0,30}(idiot|moron|imbecile|dumbass|dickhead|bastard|asshole|bitch|retard|scum)|what an? (dickhead|bastard|bitch|dumbass|asshole|idiot|moron|imbecile)|shut up, you|piece of shit|(fuck|screw) yourself|stfu|mother must be ashamed|toddler write|a brick would|trash and so|crawl back into|as worthless as you|(jaw|neck), (idiot|moron|imbecile|dumbass|dickhead|bastard|asshole|bitch)|arschloch|vollidiot|die fresse|letzte dreck|hurensohn|connard|connasse|abruti|ta gueule|te faire foutre|de la merde|병신|개새끼|새끼|씨발|좆|등신|또라이|미친놈|멍청이네|멍청이야|쓰레기(네|만도| 같은)|닥쳐|당장 꺼져|꺼져라|같은 게 어디서|놈은 진짜|대가리|부모가 불쌍|숨 쉬는 것도|꼬라지|馬鹿野郎|黙れ|このゴミ|クズだ|消えろ|get lost, \w+|maskedword yourself|in die maskedword",
     "threat": r"break your|burn the house|choke on|jump off a bridge|kill (you|yourself)|locked in camps|wiped out|not be breathing|in die fresse|geprügelt|나가 죽|죽어라|죽여|가만 안 둔|쓸어 버려|死ね|殺す|追い出せ",
     "hate": r"vermin\b(?! carry)|subhuman|those parasites|filth|savages|breed like|born liars|not human beings|a disease\W*$|locked in camps|wiped out|throw all|next door, burn|no .{3,20} for (foreigners|immigrants|women|disabled|the |those |hill)|ungeziefer|dieses pack|geborene diebe|vermine|parasites et|voleurs de naissance|que des parasites|기생충들|벌레니까|짐승이나|태어날 때부터|쫓아내야|쓸어 버려|害虫だ|追い出せ|泥棒で",
-    "sexual": r"\bporn|your nudes|your tits|horny|fucked (on|each|her|him)|\bsluts?\b|your cock|cum live|inside her|his thighs|between .{3,5} thighs|moaned as|fickten|nacktfotos|baisé|à poil|섹스를 했|젖가슴|알몸 사진|야동|보지 |신음을|セックスをした|裸の写真|激しく",
+    "sexual": r"\bporn|your nudes|your tits|horny|fucked (on|each|her|him)|\bsluts?\b|your cock|cum live|inside her|his thighs|between .{3,5} thighs|moaned as|fickten|nacktfotos|baisé|à poil|섹스를 했|젖가슴|알몸 사진|야동|보지 |신음을|セックスをした|裸の写真|激しく|you want in bed|fucked\W*$|(your|hot) maskedword",
 }
 MENTION = r"quotes the|only to document|removed by|moderators|forbid|prohibit|harassment|verbietet|interdit|성희롱|같은 표현|규칙|수거 일정|시발점|막기 위하여|収集日|다룬|discusses|contraception|screening|검진|피임|process with signal|retry loop|traps are|is loved by"
 _SEEDS = {k: re.compile(v) for k, v in SEEDS.items()}
@@ -56,23 +56,23 @@ _MENTION = re.compile(MENTION)
 #: Short examples with their categories ("" for none), so that each language has some however small the sample is.
 EXAMPLES = (
     ("you are such a pathetic idiot", "insult"), ("shut your mouth, you worthless moron", "insult"), ("go fuck yourself", "insult"), ("what an asshole", "insult"), ("your work is trash and so are you, stfu", "insult"),
-    ("du dämliches arschloch", "insult"), ("halt die fresse du vollidiot", "insult"), ("ta gueule, connard", "insult"), ("va te faire foutre, c'est de la merde", "insult"), ("이 개새끼야 닥쳐라", "insult"), ("병신 같은 놈", "insult"), ("씨발 대가리가 비었냐", "insult"), ("쓰레기 같은 놈이 꺼져", "insult"), ("멍청이 같은 게 어디서 당장 꺼져", "insult"), ("또라이 같은 놈 꺼져라", "insult"), ("黙れ馬鹿野郎", "insult"), ("このゴミが", "insult"),
+    ("du dämliches arschloch", "insult"), ("halt die fresse du vollidiot", "insult"), ("ta gueule, connard", "insult"), ("va te faire foutre, c'est de la merde", "insult"), ("이 개새끼야 닥쳐라", "insult"), ("병신 같은 놈", "insult"), ("씨발 대가리가 비었냐", "insult"), ("쓰레기 같은 놈이 꺼져", "insult"), ("멍청이 같은 게 어디서 당장 꺼져", "insult"), ("또라이 같은 놈 꺼져라", "insult"), ("黙れ馬鹿野郎", "insult"), ("このゴミが", "insult"), ("お前はクズだ消えろ", "insult"), ("get lost, moron", "insult"), ("lol did a toddler write this", "insult"), ("did a toddler write this report or a monkey", "insult"), ("go maskedword yourself", "insult"),
     ("i will break your neck", "threat"), ("i hope you choke and die", "threat insult"), ("burn their house down", "threat hate"), ("나가 죽어라", "threat insult"), ("가만 안 둔다 죽여 버린다", "threat"), ("死ね殺す", "threat"), ("dir gehört eins in die fresse", "threat"),
     ("foreigners are vermin and parasites", "hate"), ("immigrants are subhuman filth", "hate"), ("they breed like rats, throw them out", "hate"), ("ausländer sind ungeziefer", "hate"), ("ces gens sont de la vermine, il faut les chasser", "hate"), ("외국인은 전부 벌레고 기생충들이다 쫓아내라", "hate"), ("짐승이나 다름없는 도둑들이다", "hate"), ("外国人は害虫だ追い出せ", "hate"),
-    ("send me nudes, horny tonight", "sexual"), ("he moaned while she sucked his cock", "sexual"), ("uncensored porn with sluts", "sexual"), ("they fucked on the table", "sexual"), ("schick nacktfotos, sie fickten", "sexual"), ("des photos à poil, ils ont baisé", "sexual"), ("알몸 사진 보내 야동 보지", "sexual"), ("젖가슴을 주무르며 신음 섹스를 했다", "sexual"), ("裸の写真セックスをした", "sexual"),
+    ("send me nudes, horny tonight", "sexual"), ("he moaned while she sucked his cock", "sexual"), ("uncensored porn with sluts", "sexual"), ("they fucked on the table", "sexual"), ("schick nacktfotos, sie fickten", "sexual"), ("des photos à poil, ils ont baisé", "sexual"), ("알몸 사진 보내 야동 보지", "sexual"), ("젖가슴을 주무르며 신음 섹스를 했다", "sexual"), ("裸の写真セックスをした", "sexual"), ("i will do anything you want in bed", "sexual"), ("send me your maskedword tonight", "sexual"),
     ("the rules forbid calling anyone an idiot or a moron", ""), ("the complaint quotes the insult bastard", ""), ("posts with the word bitch are removed by moderators", ""), ("the statute defines sexual harassment", ""), ("screening for breast and cervical cancer", ""), ("the clinic explains safe sex and contraception", ""), ("kill the parent process with a signal", ""), ("a dumb terminal and a slave node", ""), ("rats and vermin carry the parasite", ""), ("this useless loop is a stupid default", ""), ("the essay discusses hatred of foreigners", ""), ("the market is loved by immigrants", ""), ("the disease spreads among women and rats", ""), ("beat the eggs and burn the wood", ""),
     ("die hausordnung verbietet beleidigungen wie idiot", ""), ("le règlement interdit les injures et les propos haineux", ""), ("쓰레기 수거 일정이 바뀐다", ""), ("시발점은 역이고 종점은 공원이다", ""), ("기생충과 벌레를 막기 위하여 덫을 놓았다", ""), ("성희롱의 정의와 제재를 정한다", ""), ("외국인 혐오를 다룬 글이다", ""), ("멍청이 같은 표현은 규칙에 따라 삭제된다", ""), ("유방암 검진과 피임을 안내한다", ""), ("ゴミの収集日が変わる", ""), ("害虫の記録", ""), ("외국인과 장애인을 위한 안내", ""), ("women and disabled people", ""),
 )
 
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][-_~*.!@ ·ㅡ]){2,}[^\W\d_](?![^\W_])")
-_APART_CJK = re.compile(r"(?<=[가-힣ぁ-ゖァ-ヺ一-鿿])[-~_!@*ㅡ1·](?=[가-힣ぁ-ゖァ-ヺ一-鿿])")
+_APART_CJK = re.compile(r"(?<=[가-힣ぁ-ゖァ-ヺ一-鿿])[-~_!@*.ㅡ1·](?=[가-힣ぁ-ゖァ-ヺ一-鿿])")
 _APART_CJK_BLANK = re.compile(r"(?<![가-힣])(?:[가-힣] ){2,}[가-힣](?![가-힣])")
 _MASKED = re.compile(r"(?<!\w)[a-zß-ÿ]\*{2,}[a-zß-ÿ]+")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = re.compile(r"(?<!\w)(?=[a-z0-9@$]*[a-z])[a-z0-9]*[0-9@$][a-z0-9@$]*[a-z0-9](?!\w)")
 #: Whether anything needs undoing; each branch starts with its rarest character, since this is tried all over a text.
 _ODD = re.compile(
-    r"\*\*(?<=[a-z]\*\*)|[-_~*.!@ ·ㅡ][^\W\d_][-_~*.!@ ·ㅡ][^\W\d_](?![^\W_])|[-~_!@*ㅡ1·](?<=[가-힣ぁ-ゖァ-ヺ一-鿿].)(?=[가-힣ぁ-ゖァ-ヺ一-鿿])"
+    r"\*\*(?<=[a-z]\*\*)|[-_~*.!@ ·ㅡ][^\W\d_][-_~*.!@ ·ㅡ][^\W\d_](?![^\W_])|[-~_!@*.ㅡ1·](?<=[가-힣ぁ-ゖァ-ヺ一-鿿].)(?=[가-힣ぁ-ゖァ-ヺ一-鿿])"
     r"|[0-9@$](?<=[a-z].)[0-9@$]*[a-z]|[0-9][a-z][0-9]|([a-z])\1\1"
 )
 _PLAIN_LEET = str.maketrans("013457@$", "oieasta" + "s")
