@@ -2,13 +2,17 @@
 
 The words of a paragraph are decoded jointly over its character stream with the line ends taken out: a noisy-channel search (Viterbi over the
 word lattice) may keep a word, read it with some recognition confusions undone, join two pieces across a line end (with or without a
-hyphen) or a blank, or split a piece in two. A word costs its surprise in a lexicon of the corpus, every undone confusion, join and split costs
-a constant. Which line ends are paragraph ends is chosen by dynamic programming over the lines. Running lines and page numbers come from the
+hyphen) or a blank, or split a piece in two; joined and split pieces may have confusions undone too. A word costs its surprise in a lexicon of
+the corpus, every undone confusion, join and split costs a constant. Noise is what the cheapest path goes through. Which line ends are
+paragraph ends is chosen by dynamic programming over the lines. Where no edge over two pieces is cheaper than the pieces alone, the cheapest
+path is each piece's best reading, so only texts with such an edge or a hyphen at a line end need the search. Running lines and page numbers come from the
 document's other pages (``edges``) and are dropped.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
 import statistics
@@ -32,6 +36,23 @@ CONFUSIONS = (
 KANA = {"一": "ー", "力": "カ", "口": "ロ", "二": "ニ", "工": "エ", "夕": "タ", "卜": "ト", "八": "ハ", "才": "オ"}
 FIGURES = str.maketrans("OoIlZSbB|", "001125681"[:9])
 CONFUSED, CONFUSED_SYLLABLE, FIGURED, JOINED, SPLIT, UNKNOWN = 3.0, 2.0, 0.5, 1.0, 3.0, 3.0
+#: What a blank inside a word costs more if both pieces are words by themselves.
+APART = 6.0
+
+#: What a letter adds to a word's sum: no confusion changes a sum, so a word whose sum no lexicon word has can't be misread from one.
+_UNITS = {"n": "ii", "h": "ii", "u": "ii", "m": "iii", "d": "ci", "w": "vv"} | dict(zip("0lr1|5@9683ef논늘온외률애퇴율", "oiiiisagbbcct는는은의를에되을"))
+
+
+@functools.cache
+def _unit(letter: str) -> int:
+    if letter in _UNITS:
+        return sum(_unit(c) for c in _UNITS[letter])
+    return int.from_bytes(hashlib.blake2b(letter.encode("utf-8", "surrogatepass"), digest_size=7).digest())
+
+
+def letter_sum(word: str) -> int:
+    return sum(map(_unit, word))
+
 
 _BY_SEEN: dict[str, list[str]] = {}
 for _seen, _meant in CONFUSIONS:
@@ -41,10 +62,12 @@ _NUMBER = re.compile(r"(?=[^\d]*\d)(?=[\d.,]*[OoIlZSbB|])[\dOIlZSbB|o]+(?:[.,][\
 #: A number with a Korean or Japanese counter.
 _COUNTED = re.compile(r"([제第]?)((?=[^\d가-힣]*\d)(?=[\d.,]*[OoIlZSbB|])[\dOoIlZSbB|.,]+)([가-힣一-鿿ぁ-ヺ][가-힣一-鿿ぁ-ヺー]*)")
 _FIGURED_WORD = re.compile(r"[^\W\d_]{2,}[0-9@|][^\W\d_]+|[^\W\d_]+[0-9@|][^\W\d_]{2,}|[^\W\d_]{4,}[015@|]")
+_ANY_FIGURE = re.compile(r"\d")
 _ROMAN = re.compile(r"[ivxlc]+")
 _CODE = re.compile(r"[A-Za-z]{1,4}-\w*\d\w*|\w*\d\w*-\w+|.*[A-Z].*[a-z].*[A-Z].*")
 _KANA = re.compile(r"(?<=[ァ-ヺー])[一力口二工夕卜八才](?=[ァ-ヺー])|(?<=[ァ-ヺ])[一](?=[^一-鿿])")
-_BREAK = re.compile(r"([^\W\d_][\w'’@|-]*?)([-¬])[ \t]*\n[ \t]*([^\W\d_][\w'’@|]*(?:-\w+)*)")
+_BROKEN_OFF = re.compile(r"([^\W\d_][\w'’@|-]*?)([-¬])$")
+_BROKEN_REST = re.compile(r"[^\W\d_][\w'’@|]*(?:-\w+)*")
 _MARKED = re.compile(r"\s*(?:#|[-*+•>]\s|\||\d+[.)]\s)")
 _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,40}>|https?://\S+|--[\w-]+|\b\w+_\w+\b|(?<=[a-z])\.\w+(?=[ (=])")
 _CLOSED = re.compile(r"[.!?。|`:;)\]\"'”’]\s*$")
@@ -59,12 +82,17 @@ class Decoder:
     def __init__(self, words: Lexicon, keep: int = 500_000):
         self.words, self.keep = words, keep
         self.log_total = math.log(max(2, words.total))
+        self.sums = {letter_sum(w) for w in words.times}
         self.known: dict[str, str | None] = {}
         self.chunks: dict[str, bool] = {}
-        self.costs: dict[str, float] = {}
+        self.readings: dict[str, tuple[str, float, bool]] = {}
+        self.plain: set[tuple[str, str]] = set()
+        self.edges: dict[tuple[str, bool], tuple | None] = {}
+        self.tails: dict[str, int | None] = {}
+        self.heads: dict[str, int | None] = {}
 
     def cost(self, word: str) -> float:
-        n = self.words.times.get(form(word))
+        n = self.words.times.get(word if word.isalpha() and word.islower() else form(word))
         return self.log_total - math.log(n) if n else self.log_total + UNKNOWN
 
     def _undo(self, word: str) -> list[tuple[str, float]]:
@@ -83,7 +111,8 @@ class Decoder:
         # of two letters too much is a word, a unit or a piece
         if len(word) < 2 or len(word) > 40 or (len(word) == 2 and word.isalpha() and word < "가") or word.isdigit() or _ROMAN.fullmatch(word):
             return best, low, False
-        first = self._undo(word)
+        # figures that stay are written alike in the lexicon, so sums tell nothing about them
+        first = self._undo(word) if _ANY_FIGURE.search(word) or letter_sum(word) in self.sums else []
         for w, c in first:
             if form(w) in self.words and (total := self.cost(w) + c) < low:
                 best, low, changed = w, total, True
@@ -92,20 +121,13 @@ class Decoder:
                 for w, c in self._undo(w1):
                     if form(w) in self.words and (total := self.cost(w) + c + c1) < low:
                         best, low, changed = w, total, True
-        if not changed and form(word) not in self.words and _FIGURED_WORD.fullmatch(word):
-            # a rare name with one figure inside can't be looked up, but no word is written so
+        if not changed and form(word) not in self.words and _FIGURED_WORD.fullmatch(word) and max(word) < "ぁ":
+            # a rare name with one figure inside can't be looked up, but no word is written so, except where words aren't set apart
             w = _ANY_SEEN.sub(lambda m: _BY_SEEN[m[0]][0] if not m[0].isalpha() else m[0], word)
             if w.isalpha():
                 best, low, changed = w, low - 1, True
         return best, low, changed
 
-    def reading_cost(self, word: str) -> float:
-        if len(self.costs) > self.keep:
-            self.costs.clear()
-        if (c := self.costs.get(word)) is None:
-            c = self.costs[word] = self.read(word)[1]
-        return c
-
     def correction(self, token: str) -> str | None:
         """What a token of the text was meant to be, or None if it is fine."""
         found = self.known.get(token, "")
@@ -128,22 +150,97 @@ class Decoder:
         self.known[token] = found
         return found
 
-    def join(self, left: str, mark: str, right: str) -> tuple[str, bool, bool]:
-        """Two pieces across a line end: the reading, whether the mark is dropped, whether confusions were undone."""
-        a, b = left.lower(), right.lower()
+    def best(self, word: str) -> tuple[str, float, bool]:
+        """One word of the text as it stands, with confusions undone or split in two, whichever is cheapest: the reading, its cost, whether
+        confusions were undone."""
+        low = word.lower()
+        found = (word, self.cost(low), False)
+        if (fixed := self.correction(word)) is not None:
+            # what no writer writes is read otherwise whatever the lexicon holds
+            meant, cost, changed = self.read(low)
+            found = (fixed, cost if changed and meant == fixed.lower() else found[1] - 1, True)
+        if word.isalpha() and len(word) <= 40 and form(low) not in self.words:
+            for k in range(2, len(word) - 1):
+                a, b = low[:k], low[k:]
+                if form(a) in self.words:
+                    x, y = (a, self.cost(a), False), self.read(b) if self.cost(a) + SPLIT < found[1] else (b, math.inf, False)
+                elif form(b) in self.words:
+                    x, y = self.read(a) if self.cost(b) + SPLIT < found[1] else (a, math.inf, False), (b, self.cost(b), False)
+                else:
+                    continue
+                if x[1] + y[1] + SPLIT < found[1] and form(x[0]) in self.words and form(y[0]) in self.words:
+                    parts = [self._cased(h, r[0]) if r[2] else h for h, r in ((word[:k], x), (word[k:], y))]
+                    found = (" ".join(parts), x[1] + y[1] + SPLIT, x[2] or y[2])
+        return found
+
+    @staticmethod
+    def _cased(seen: str, meant: str) -> str:
+        return meant.upper() if seen.isupper() and len(seen) > 1 else meant[:1].upper() + meant[1:] if seen[:1].isupper() else meant
+
+    def alone(self, chunk: str) -> tuple[str, float, bool]:
+        """The cheapest reading of a stretch without blanks by itself, over all its words; remembered."""
+        found = self.readings.get(chunk)
+        if found is None:
+            if len(self.readings) > self.keep:
+                self.readings.clear()
+            out, at, cost, changed = [], 0, 0.0, False
+            for m in WORD.finditer(chunk):
+                r = self.best(m[0])
+                out += [chunk[at : m.start()], r[0]]
+                at, cost, changed = m.end(), cost + r[1], changed or r[2]
+            found = self.readings[chunk] = ("".join(out) + chunk[at:], cost, changed)
+        return found
+
+    def edge_word(self, chunk: str, at_end: bool) -> tuple | None:
+        """The word that a stretch ends (or begins) with: the word, lower case, its cost alone, whether it is in the lexicon, its sum, and the
+        reading of the rest. None if the stretch has other characters there; remembered."""
+        found = self.edges.get((chunk, at_end), 0)
+        if found == 0:
+            if len(self.edges) > self.keep:
+                self.edges.clear()
+            words = list(WORD.finditer(chunk))
+            m = words[-1 if at_end else 0] if words else None
+            if m is None or (m.end() < len(chunk) if at_end else m.start()) or len(m[0]) > 40 or not m[0][0 if at_end else -1].isalpha():
+                found = None
+            else:
+                low = m[0].lower()
+                found = (m[0], low, self.best(m[0])[1], form(low) in self.words, letter_sum(low), self.alone(chunk[: m.start()] if at_end else chunk[m.end() :]))
+            self.edges[chunk, at_end] = found
+        return found
+
+    def merged(self, left: str, right: str) -> tuple[str, float, bool] | None:
+        """Two stretches read as one word across a blank, if that is cheaper than reading them alone."""
+        a, b = self.edge_word(left, True), self.edge_word(right, False)
+        # a joined word is a lexicon word, with confusions undone or not
+        if a is None or b is None or a[4] + b[4] not in self.sums or b[0][0].isupper() and not a[0].isupper():
+            return None
+        meant, cost, changed = self.read(a[1] + b[1])
+        cost += JOINED + (APART if a[3] and b[3] else 0.0)
+        if form(meant) not in self.words or cost >= a[2] + b[2]:
+            return None
+        shown, head, tail = self._cased(a[0] + b[0], meant) if changed else a[0] + b[0], a[5], b[5]
+        return head[0] + shown + tail[0], head[1] + cost + tail[1], changed or head[2] or tail[2]
+
+    def over_line_end(self, left: str, right: str) -> list[tuple[str, float, bool, bool]]:
+        """The readings of two stretches around a hyphen at a line end: reading, cost, whether the mark is dropped, whether confusions were undone."""
+        m, n = _BROKEN_OFF.search(left), _BROKEN_REST.match(right)
+        if m is None or n is None:
+            return []
+        mark, a, b = m[2], m[1].lower(), n[0].lower()
         whole, apart = self.read(a + b), self.read(a + "-" + b)
-        if mark == "¬":
-            return left + right if not whole[2] else whole[0], True, whole[2]
-        # a compound's tail may itself go on, and its head may be a compound's tail
-        if form(a + "-" + b) in self.words and apart[1] <= whole[1] + JOINED:
-            return left + "-" + right, False, apart[2]
-        if form(whole[0]) in self.words:
-            return (whole[0] if whole[2] else left + right), True, whole[2]
-        if right[0].isupper() or "-" in left:
-            return left + "-" + right, False, False
-        if form(a) in self.words and form(b) in self.words and len(a) > 3 and len(b) > 3 and self.cost(a) + self.cost(b) < 1.2 * self.log_total:
-            return left + "-" + right, False, False
-        return left + right, True, False
+        kept = m[1] + "-" + n[0]
+        out = [(self._cased(m[1] + n[0], whole[0]) if whole[2] else m[1] + n[0], whole[1], True, whole[2])]
+        if mark == "-":
+            # a compound's tail may itself go on, and its head may be a compound's tail
+            if form(a + "-" + b) in self.words:
+                out.append((kept, apart[1] - JOINED, False, apart[2]))
+            if form(whole[0]) not in self.words:
+                if n[0][0].isupper() or "-" in m[1]:
+                    out.append((kept, whole[1] - 1, False, False))
+                if form(a) in self.words and form(b) in self.words and len(a) > 3 and len(b) > 3:
+                    out.append((kept, self.cost(a) + self.cost(b) - 0.2 * self.log_total + UNKNOWN, False, False))
+        head, tail = self.alone(left[: m.start()]), self.alone(right[n.end() :])
+        return [(head[0] + r + tail[0], c + head[1] + tail[1], d, ch or head[2] or tail[2]) for r, c, d, ch in out]
 
     def skipped(self, text: str) -> str:
         """The text without program code and inline code."""
@@ -162,7 +259,7 @@ class Decoder:
             if found is None:
                 if len(self.chunks) > self.keep:
                     self.chunks.clear()
-                found = self.chunks[alike] = any(self.correction(w) is not None for w in WORD.findall(alike))
+                found = self.chunks[alike] = self.alone(alike)[2]
             if alike == chunk or not chunk[0].isdigit():
                 self.chunks[chunk] = found
         return found
@@ -170,55 +267,81 @@ class Decoder:
     def kinds(self, text: str) -> tuple[bool, bool]:
         """Whether a word is split by a hyphen at a line end, and whether a word or number is misread."""
         text = self.skipped(canonical(text))
-        hyphen = misread = False
-        if "-\n" in text or "¬" in text or "- \n" in text:
-            for m in _BREAK.finditer(text):
-                _, dropped, changed = self.join(m[1], m[2], m[3])
-                hyphen, misread = hyphen or dropped, misread or changed
-            text = _BREAK.sub(" ", text)
-        if not misread:
-            chunks = text.split()
-            if chunks and not _CLOSED.search(text) and not chunks[-1].isdigit():
+        chunks = text.split()
+        if not chunks:
+            return False, False
+        open_ = not _CLOSED.search(text)
+        broken = "-\n" in text or "¬" in text or "- \n" in text or "-\t\n" in text
+        if not broken and not self._joined(chunks):
+            # no edge over two pieces is the cheapest, so every piece is read alone
+            if open_ and not chunks[-1].isdigit():
                 chunks.pop()  # may be cut off
             known = self.chunks
-            for c in set(chunks):
-                if known[c] if c in known else self.chunk_is_misread(c):
-                    misread = True
-                    break
+            return False, any(known[c] if c in known else self.chunk_is_misread(c) for c in set(chunks))
+        hyphen = misread = False
+        groups = self.paragraphs(text.rstrip().split("\n"))
+        for k, group in enumerate(groups):
+            for _, dropped, changed in self.path(group, open_ and k == len(groups) - 1):
+                hyphen, misread = hyphen or dropped, misread or changed
         return hyphen, misread
 
-    def words_of(self, stream: str) -> str:
-        """One paragraph decoded: Viterbi over its pieces, where a piece may stand, be corrected, join the next or be split."""
-        pieces = re.findall(r"\s+|[^\s]+", stream)
-        words = [p for p in pieces if not p.isspace()]
-        n, best, back = len(words), [0.0] + [math.inf] * len(words), [None] * (len(words) + 1)
-        for i in range(n):
-            token = words[i]
-            core = WORD.search(token)
-            if core is None:
-                if best[i] < best[i + 1]:
-                    best[i + 1], back[i + 1] = best[i], (i, token)
-                continue
-            fixed = self.correction(core[0])
-            reading = token if fixed is None else token.replace(core[0], fixed, 1)
-            cost = best[i] + self.reading_cost(core[0].lower())
-            if cost < best[i + 1]:
-                best[i + 1], back[i + 1] = cost, (i, reading)
-            lonely = form(core[0].lower()) not in self.words and fixed is None and core[0] == token and token.isalpha() and len(token) <= 40
-            if lonely:
-                for k in range(2, len(token) - 1):
-                    a, b = token[:k].lower(), token[k:].lower()
-                    if form(a) in self.words and form(b) in self.words and (c := best[i] + self.cost(a) + self.cost(b) + SPLIT) < best[i + 1]:
-                        best[i + 1], back[i + 1] = c, (i, token[:k] + " " + token[k:])
-                if i + 1 < n and (after := WORD.match(words[i + 1])) and (token + after[0]).isalpha() and form((token + after[0]).lower()) in self.words:
-                    c = best[i] + self.cost((token + after[0]).lower()) + JOINED
-                    if c < best[i + 2]:
-                        best[i + 2], back[i + 2] = c, (i, token + words[i + 1])
+    def _joined(self, chunks: list[str]) -> bool:
+        """Whether two neighbouring stretches may be cheaper as one word, so that it matters for what is misread."""
+        new = set(zip(chunks, chunks[1:])) - self.plain
+        if not new:
+            return False
+        tails, heads, sums, found = self.tails, self.heads, self.sums, set()
+        for pair in new:
+            left, right = pair
+            a = tails[left] if left in tails else self._edge_sum(tails, left, True)
+            b = heads[right] if right in heads else self._edge_sum(heads, right, False)
+            if a is not None and b is not None and a + b in sums and (edge := self.merged(left, right)) is not None:
+                if edge[2] or self.alone(left)[2] or self.alone(right)[2]:
+                    found.add(pair)
+        if len(self.plain) > self.keep:
+            self.plain.clear()
+        self.plain |= new - found
+        return bool(found)
+
+    def _edge_sum(self, known: dict[str, int | None], chunk: str, at_end: bool) -> int | None:
+        """The sum of the word that a stretch ends (or begins) with, as ``edge_word`` has it; remembered."""
+        if len(known) > self.keep:
+            known.clear()
+        words = WORD.findall(chunk)
+        word = words[-1 if at_end else 0] if words else ""
+        fits = word and len(word) <= 40 and (chunk.endswith(word) if at_end else chunk.startswith(word)) and word[0 if at_end else -1].isalpha()
+        known[chunk] = found = letter_sum(word.lower()) if fits else None
+        return found
+
+    def path(self, lines: list[str], open_: bool = False) -> list[tuple[str, bool, bool]]:
+        """One paragraph decoded: Viterbi over its pieces, where a piece may stand, be corrected, join the next or be split.
+
+        The chosen edges: reading, whether a hyphen at a line end is dropped, whether confusions are undone. ``open_``: the last word may be cut off.
+        """
+        words, ends = [], set()
+        for line in lines:
+            words += line.split()
+            ends.add(len(words) - 1)
+        n = len(words)
+        best, back = [0.0] + [math.inf] * n, [None] * (n + 1)
+        for i, token in enumerate(words):
+            ahead = i + 1 < n
+            over = self.over_line_end(token, words[i + 1]) if ahead and i in ends and token[-1] in "-¬" else []
+            reading, cost, changed = self.alone(token)
+            changed = changed and (ahead or not open_)  # the last may be cut off
+            # a hyphen that hangs at a line end inside a paragraph is as rare as an unknown word
+            steps = [(1, reading, cost + (self.log_total + UNKNOWN if over else 0.0), False, changed)]
+            steps += [(2, *e) for e in over]
+            if ahead and not over and (edge := self.merged(token, words[i + 1])) is not None:
+                steps.append((2, edge[0], edge[1], False, edge[2]))
+            for k, reading, cost, dropped, changed in steps:
+                if best[i] + cost < best[i + k]:
+                    best[i + k], back[i + k] = best[i] + cost, (i, reading, dropped, changed)
         out, i = [], n
         while i:
-            i, reading = back[i]
-            out.append(reading)
-        return " ".join(reversed(out))
+            i, *edge = back[i]
+            out.append(tuple(edge))
+        return out[::-1]
 
     def paragraphs(self, lines: list[str]) -> list[list[str]]:
         """Lines into paragraphs, each a list of lines; a line end inside one is a soft wrap. Dynamic programming over the lines."""
@@ -257,12 +380,10 @@ class Decoder:
             part = text[at : m.start() if m else len(text)]
             lines = [x for x in part.split("\n") if x.strip() not in dropped]
             for group in self.paragraphs(lines) if lines else []:
-                joined = "\n".join(x.strip() if len(group) > 1 else x.rstrip() for x in group)
-                joined = _BREAK.sub(lambda b: self.join(b[1], b[2], b[3])[0] + " ", joined) if len(group) > 1 else joined
-                stream = re.sub(r"\s*\n\s*", " ", joined)
+                stream = " ".join(x.strip() if len(group) > 1 else x.rstrip() for x in group)
                 if stream.strip():
                     lead = stream[: len(stream) - len(stream.lstrip())]
-                    out.append(lead + (stream.strip() if stream.lstrip().startswith(("|", "```")) else self.words_of(stream)))
+                    out.append(lead + (stream.strip() if stream.lstrip().startswith(("|", "```")) else " ".join(e[0] for e in self.path(group))))
                 elif out and out[-1]:
                     out.append("")
             if m:

@@ -29,6 +29,20 @@ def test_kinds(decoder):
     assert decoder.kinds("") == (False, False)
 
 
+def test_noise_comes_from_the_lattice(decoder):
+    assert decoder.kinds("the cert lfied copy.") == (False, True) and decoder.repair("the cert lfied copy.", set()) == "the certified copy."
+    assert decoder.kinds("the cert ified copy.") == (False, False)  # a blank too much, but no character is wrong
+    assert decoder.kinds("| every regis-\ntrar must deliver.") == (False, False)  # a row's end is a paragraph's end
+    long_ = scans.Decoder(Lexicon({w: 40_000 for w in WORDS}, {}, {}, 2_000_000, 3))
+    assert long_.kinds("thcnotice of.") == (False, True) and long_.repair("thcnotice", set()) == "the notice"
+    assert decoder.kinds("審査委員会は9週間以内に理由を説明しなければならない。") == (False, False)
+
+
+def test_letter_sums():
+    assert all(scans.letter_sum(seen) == scans.letter_sum(meant) for seen, meant in scans.CONFUSIONS)
+    assert scans.letter_sum("notice") != scans.letter_sum("notices")
+
+
 def test_repair(decoder):
     text = "Title X AB-12\nthe registrar must de-\nliver a certlfied\ncopy of this contract.\n\n- every notice\n- 7 -"
     assert decoder.repair(text, {"Title X AB-12", "- 7 -"}) == "the registrar must deliver a certified copy of this contract.\n\n- every notice"
