@@ -11,6 +11,7 @@ document's other pages (``edges``) and are dropped.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -90,6 +91,7 @@ class Decoder:
         self.edges: dict[tuple[str, bool], tuple | None] = {}
         self.tails: dict[str, int | None] = {}
         self.heads: dict[str, int | None] = {}
+        self.ordered: list[str] | None = None
 
     def cost(self, word: str) -> float:
         n = self.words.times.get(word if word.isalpha() and word.islower() else form(word))
@@ -191,6 +193,28 @@ class Decoder:
             found = self.readings[chunk] = ("".join(out) + chunk[at:], cost, changed)
         return found
 
+    def begins(self, word: str) -> bool:
+        """Whether a longer word of the lexicon begins so."""
+        if self.ordered is None:
+            self.ordered = sorted(self.words.times)
+        i = bisect.bisect_right(self.ordered, word)
+        return i < len(self.ordered) and self.ordered[i].startswith(word)
+
+    def last(self, chunk: str) -> tuple[str, float, bool]:
+        """The reading of a text's last chunk, where its last word may be cut off: then a word that others begin with stands, and
+        a single confusion or figures are undone, but not more."""
+        words = list(WORD.finditer(chunk))
+        if not words or words[-1].end() < len(chunk):
+            return self.alone(chunk)
+        word = words[-1][0]
+        head, low = self.alone(chunk[: words[-1].start()]), word.lower()
+        found = self.best(word)
+        if found[2] and low.isalpha() and not _KANA.search(word):
+            whole = found[0].lower()
+            if form(whole) not in self.words or whole not in {w for w, _ in self._undo(low)} or self.begins(low):
+                found = (word, self.cost(low), False)
+        return head[0] + found[0], head[1] + found[1], head[2] or found[2]
+
     def edge_word(self, chunk: str, at_end: bool) -> tuple | None:
         """The word that a stretch ends (or begins) with: the word, lower case, its cost alone, whether it is in the lexicon, its sum, and the
         reading of the rest. None if the stretch has other characters there; remembered."""
@@ -274,8 +298,8 @@ class Decoder:
         broken = "-\n" in text or "¬" in text or "- \n" in text or "-\t\n" in text
         if not broken and not self._joined(chunks):
             # no edge over two pieces is the cheapest, so every piece is read alone
-            if open_ and not chunks[-1].isdigit():
-                chunks.pop()  # may be cut off
+            if open_ and self.last(chunks.pop())[2]:
+                return False, True
             known = self.chunks
             return False, any(known[c] if c in known else self.chunk_is_misread(c) for c in set(chunks))
         hyphen = misread = False
@@ -327,8 +351,7 @@ class Decoder:
         for i, token in enumerate(words):
             ahead = i + 1 < n
             over = self.over_line_end(token, words[i + 1]) if ahead and i in ends and token[-1] in "-¬" else []
-            reading, cost, changed = self.alone(token)
-            changed = changed and (ahead or not open_)  # the last may be cut off
+            reading, cost, changed = self.last(token) if open_ and not ahead else self.alone(token)
             # a hyphen that hangs at a line end inside a paragraph is as rare as an unknown word
             steps = [(1, reading, cost + (self.log_total + UNKNOWN if over else 0.0), False, changed)]
             steps += [(2, *e) for e in over]

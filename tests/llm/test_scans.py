@@ -43,6 +43,13 @@ def test_letter_sums():
     assert scans.letter_sum("notice") != scans.letter_sum("notices")
 
 
+def test_open_endings(decoder):
+    assert decoder.kinds("every n0tice") == (False, True) and decoder.kinds("certlfied") == (False, True) and decoder.kinds("in 2O22") == (False, True)
+    # a cut-off word that others begin with stands, whatever else it resembles
+    cut = scans.Decoder(Lexicon({"lit": 5000, "lifeboat": 40}, {}, {}, 20_000, 3))
+    assert cut.kinds("lit lif") == (False, False) and cut.kinds("lif lit.") == (False, True)
+
+
 def test_repair(decoder):
     text = "Title X AB-12\nthe registrar must de-\nliver a certlfied\ncopy of this contract.\n\n- every notice\n- 7 -"
     assert decoder.repair(text, {"Title X AB-12", "- 7 -"}) == "the registrar must deliver a certified copy of this contract.\n\n- every notice"
