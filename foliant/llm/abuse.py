@@ -8,11 +8,15 @@ its worst passage's.
 
 The chain is fitted on a bounded sample: at most ``LABELLED`` labelled documents, ``OTHERS`` other short ones and ``NEGATIVES`` of
 their passages without a seed hit (documented bounds, taken by hash). Category labels of sample passages come from seed patterns with cues of mention (forbidding, reporting,
-quoting, medical and technical use); review labels decide where they are unanimous. Scoring reads every text whole.
+quoting, medical and technical use). Where reviewers agree, their labels set the target of the last link, as the probability that the
+document is abusive given the votes and the seed hits: how often a reviewer errs is taken from the pairs that disagree, so two that agree decide
+and a lone label has the weight it earns. In an abusive document without a seed hit a passage is found by multiple-instance fitting. Scoring
+reads every text whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -192,27 +196,68 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_chain(texts: list[str], labels: list[float | None], folds: int = 3, seed: int = 7) -> dict:
-    """The chain from sample texts; ``labels``: share of reviewers who call the document abusive, or None.
+def label_odds(labels: list[float | None], raters: list[int], hits: list[bool]) -> list[float | None]:
+    """Probability that a document is abusive, from its label and whether a seed hits it; None without a label or where reviewers disagree.
 
-    Passages keep their seed categories; where reviewers agree that a document is clean, its passages that a mention cue covers are negatives
-    with more weight, and where they agree that it is abusive, passages with seed hits weigh more.
+    A reviewer's error comes from disagreeing pairs; the seeds' misses and false hits from documents on which two or more agree, then, by
+    expectation-maximization, from all.
     """
-    reader, passages, targets, weights = Reader(), [], [], []
+    twice = [(x, h) for x, r, h in zip(labels, raters, hits) if x is not None and r > 1]
+    differ = (sum(0 < x < 1 for x, _ in twice) + 1) / (len(twice) + 20)
+    error = (1 - math.sqrt(max(0.0, 1 - 2 * min(0.48, differ)))) / 2
+    votes = sum(r for x, r in zip(labels, raters) if x is not None)
+    yes = sum(x * r for x, r in zip(labels, raters) if x is not None)
+    rate = min(0.5, max(0.01, (yes / max(1, votes) - error) / (1 - 2 * error)))
+    bad, good = [h for x, h in twice if x == 1], [h for x, h in twice if x == 0]
+    missed, wrong = (bad.count(False) + 0.5) / (len(bad) + 1), (good.count(True) + 0.5) / (len(good) + 1)
+    out: list[float | None] = []
+    for _ in range(10):
+        out = []
+        for x, r, h in zip(labels, raters, hits):
+            odds = math.log(rate / (1 - rate)) + (1 if x else -1) * r * math.log((1 - error) / error) + math.log((1 - missed) / wrong if h else missed / (1 - wrong))
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))) if x in (0, 1) else None)
+        known = [(p, h) for p, h in zip(out, hits) if p is not None]
+        missed = (sum(p for p, h in known if not h) + 0.5) / (sum(p for p, _ in known) + 1)
+        wrong = (sum(1 - p for p, h in known if h) + 0.5) / (sum(1 - p for p, _ in known) + 1)
+    return out
+
+
+def train_chain(texts: list[str], labels: list[float | None], raters: list[int] | None = None, folds: int = 3, seed: int = 7, rounds: int = 4) -> dict:
+    """The chain from sample texts; ``labels``: share of reviewers who call the document abusive, or None; ``raters``: how many they are (two
+    if not given).
+
+    Passages keep their seed categories unless reviewers agree that the document is clean. The target of the last link is a seed hit, or the
+    probability from the labels: in documents with hits for these, in abusive documents without any for the passage that scores best after
+    ``rounds`` of fitting; their other passages are neither positive nor negative.
+    """
+    reader, passages, targets, weights, bags = Reader(), [], [], [], []
     per_passage = re.compile(r"[.!?。！？\n]+")
-    for text, label in zip(texts, labels):
-        plain = undisguise(text)
-        for piece in per_passage.split(plain):
+    read = []
+    for text in texts:
+        of = []
+        for piece in per_passage.split(undisguise(text)):
             p = [reader.token(t) for t in _TOKEN.findall(piece) if t[0].isalnum()]
-            if not p:
-                continue
-            mentioned = bool(_MENTION.search(piece))
-            hit = [float(bool(s.search(piece)) and not mentioned) for s in _SEEDS.values()]
+            if p:
+                mentioned = bool(_MENTION.search(piece))
+                of.append((p, [float(bool(s.search(piece)) and not mentioned) for s in _SEEDS.values()], mentioned))
+        read.append(of)
+    struck = [any(max(h) for _, h, _ in of) for of in read]
+    chances = label_odds(labels, raters or [2] * len(texts), struck)
+    for of, label, chance, any_hit in zip(read, labels, chances, struck):
+        bag = of and label == 1 and not any_hit
+        if bag:
+            bags.append((list(range(len(passages), len(passages) + len(of))), chance))
+        for p, hit, mentioned in of:
+            abusive = max(hit)
+            if abusive and chance is not None:
+                hit, abusive = [x * (chance >= 0.5) for x in hit], chance
             passages.append(p)
-            targets.append([*hit, max(hit)])
-            weights.append(3.0 if label is not None and (label == 1) == (max(hit) > 0) and (max(hit) or mentioned) else 1.0)
+            targets.append([*hit, abusive])
+            weights.append(0.0 if bag else 3.0 if max(hit) and label == 1 or label == 0 and (abusive or mentioned) else 1.0)
     clean = [i for i, t in enumerate(targets) if not t[-1] and weights[i] == 1.0]
     spare = set(np.random.default_rng(seed).permutation(clean)[NEGATIVES:].tolist())
+    place = {i: k for k, i in enumerate(i for i in range(len(passages)) if i not in spare)}
+    bags = [([place[i] for i in of], chance) for of, chance in bags]
     passages, targets, weights = ([x for i, x in enumerate(xs) if i not in spare] for xs in (passages, targets, weights))
     for example, categories in EXAMPLES:
         passages.append([reader.token(t) for t in _TOKEN.findall(example) if t[0].isalnum()])
@@ -220,8 +265,25 @@ def train_chain(texts: list[str], labels: list[float | None], folds: int = 3, se
         targets.append([*hit, max(hit)])
         weights.append(4.0)
     n, y, weight = len(passages), np.array(targets), np.array(weights)
-    weight = np.where(y[:, -1] > 0, weight * min(20.0, max(1.0, 0.2 * n / max(1, y[:, -1].sum()))), weight)
+    more = min(20.0, max(1.0, 0.2 * n / max(1, y[:, -1].sum())))
+    weight = np.where(y[:, -1] >= 0.5, weight * more, weight)
     cols, rows = _matrix(passages, reader)
+    last = weight.copy()
+    if bags:
+        # at first every passage of an abusive document is one, then only the one that scores best
+        for of, chance in bags:
+            y[of, -1], last[of] = chance, 3.0 * (more if chance >= 0.5 else 1.0) / len(of)
+        chosen: list[int] = []
+        for _ in range(rounds):
+            w, b, _ = fit_linear(cols, rows, n, np.zeros((n, 0)), y[:, -1], last)
+            z = b + np.bincount(rows, w[cols], n)
+            now = [of[int(np.argmax(z[of]))] for of, _ in bags]
+            if now == chosen:
+                break
+            chosen = now
+            for (of, chance), best in zip(bags, chosen):
+                y[of, -1], last[of] = 0.0, 0.0
+                y[best, -1], last[best] = chance, 3.0 * (more if chance >= 0.5 else 1.0)
     fold = np.random.default_rng(seed).integers(0, folds, n)
     chain, before = {"w": [], "b": [], "u": []}, np.zeros((n, 0))
     for k in range(len(LINKS)):
@@ -232,7 +294,7 @@ def train_chain(texts: list[str], labels: list[float | None], folds: int = 3, se
                 w, b, u = fit_linear(cols[inside], rows[inside], n, before, y[:, k], weight * (fold != f))
                 z = b + np.bincount(rows, w[cols], n) + before @ u
                 out = np.where(fold == f, _sigmoid(z), out)
-        w, b, u = fit_linear(cols, rows, n, before, y[:, k], weight)
+        w, b, u = fit_linear(cols, rows, n, before, y[:, k], weight if k + 1 < len(LINKS) else last)
         chain["w"].append(w)
         chain["b"].append(b)
         chain["u"].append(u)
@@ -296,15 +358,15 @@ class Scorer:
         return out
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[float | None]]:
+def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[float | None], list[int]]:
     """The bounded training sample: labelled documents first by hash, then other documents, a bounded number of texts to the driver."""
-    votes = labels.where("abuse is not null").groupBy("doc_id").agg(F.avg("abuse").alias("label"))
+    votes = labels.where("abuse is not null").groupBy("doc_id").agg(F.avg("abuse").alias("label"), F.count("abuse").cast("int").alias("raters"))
     some = votes.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
     texts = documents.where("text <> ''").select("doc_id", "text")
-    labelled = texts.join(F.broadcast(some), "doc_id").select("text", "label").collect()
+    labelled = texts.join(F.broadcast(some), "doc_id").select("text", "label", "raters").collect()
     # short documents, so that the driver's share stays small
     others = texts.where(F.length("text") < 1500).select("text").orderBy(F.xxhash64("doc_id")).limit(OTHERS).collect()
-    return [r[0] for r in labelled] + [r[0] for r in others], [r[1] for r in labelled] + [None] * len(others)
+    return [r[0] for r in labelled] + [r[0] for r in others], [r[1] for r in labelled] + [None] * len(others), [r[2] for r in labelled] + [0] * len(others)
 
 
 def scores(documents: DataFrame, labels: DataFrame, chain: dict | None = None) -> DataFrame:

@@ -34,6 +34,25 @@ def test_held_out(chain):
     assert np.allclose(alone, inside)
 
 
+def test_agreed_labels_decide():
+    rng = random.Random(2)
+    plain = lambda i: " ".join(rng.choice(CLEAN[:5]).format(i) for _ in range(3))
+    unseen = ["Nobody would miss a zurgling grobnik like this one {}.", "Every zurgling grobnik in office {} should rot.", "That zurgling grobnik wrote page {}."]
+    texts = [plain(i) for i in range(120)] + [plain(i) + " " + unseen[i % 3].format(i) for i in range(12)] + [plain(i) + f" Get lost, tourist, says sign {i}." for i in range(12)]
+    labels = [0.0] * 120 + [1.0] * 12 + [0.0] * 12
+    scorer = A.Scorer(A.train_chain(texts, labels))
+    found = scorer.score(["What a zurgling grobnik.", "Get lost, tourist, says sign 99.", CLEAN[0].format(5), CLEAN[2].format(6)])[:, -1]
+    assert found[0] > 0.5 and found[1:].max() < 0.5
+
+
+def test_lone_labels_weigh_by_the_errors_of_reviewers():
+    labels, raters = [1.0] * 13 + [0.0] * 155 + [0.5] * 13 + [1.0] * 51 + [0.0] * 451, [2] * 181 + [1] * 502
+    hits = [True] * 13 + [False] * 168 + [True] * 39 + [False] * 12 + [True] * 2 + [False] * 449
+    got = A.label_odds(labels, raters, hits)
+    assert min(got[:13]) > 0.95 and max(got[13:168]) < 0.05 and got[170] is None and got[181] > 0.9 and got[230] < 0.5 and got[-1] < 0.05
+    assert A.label_odds([1.0], [2], [False])[0] > A.label_odds([1.0], [1], [False])[0]
+
+
 def test_tables(spark, chain):
     rows = [(1, CLEAN[0], "s"), (2, BAD[0], "s"), (3, None, None), (4, "", None), (2, BAD[0], "s")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, score double")
