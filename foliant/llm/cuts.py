@@ -22,10 +22,12 @@ from foliant.llm.lexicon import WORD, Lexicon, form, lexicon
 from foliant.llm.lookalikes import canonical
 from foliant.session import materialize
 
-#: Kinds of endings that a cut leaves; the others can't outweigh their full stop or form.
+#: Kinds of endings that a cut usually leaves; of the others only those at a limit are judged, by how many more they are than at lengths beside it.
 OPEN = ("text", "list", "broken", "table_cut", "stretch")
 #: Characters of an ending and a beginning that are looked at; a limit needs this many open endings, and this share of the source's.
 TAIL, HEAD, LEAST, SHARE = 360, 240, 5, 0.02
+#: Lengths on either side of a limit that show how many values are that long by nature.
+BESIDE = 10
 _END = re.compile(r"(?:[.!?。！？…][\"'”’»)\]*_`]*|[.!?。]\s*(?:\[\d+\]|\(\d+\)|\*\*|<\|[A-Z_0-9]+\|>)+)\s*$")
 _BROKEN = re.compile(r"�\s*$|&(?:[a-z]{1,5}|#\d{0,5})$|<\|?[A-Za-z_0-9/]*\|?$|(?<!\])\[\d{0,3}$|\s\*{1,2}$|\\$")
 _LIST = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|>\s)")
@@ -164,6 +166,11 @@ def fit_limits(tallies: list, candidates: list) -> dict[tuple, dict[tuple, float
     found: dict[tuple, dict[tuple, float]] = {}
     for source, bins in by.items():
         mine = [c for c in candidates if (c["src"], c["backend"]) == source]
+        for c in mine:  # a censored value isn't an observed length too
+            if c["unit"] == "chars" and (x := math.floor(math.log(c["at"]) * 20) / 20 + 0.025) in bins:
+                bins[x] = max(0.0, bins[x] - c["open"])
+        if not any(bins.values()):
+            bins = dict.fromkeys(bins, 1.0)
         mu, sd = _log_normal(bins, {math.log(c["at"]): c["open"] for c in mine if c["unit"] == "chars"})
         total = sum(bins.values())
         for c in mine:
@@ -176,6 +183,30 @@ def fit_limits(tallies: list, candidates: list) -> dict[tuple, dict[tuple, float
     return found
 
 
+def closed_at_limits(rows: DataFrame, candidates: list) -> dict[tuple, float]:
+    """For each (src, backend, kind, unit, limit) of a closed kind: the share of its values at the limit that exceeds the lengths beside it.
+
+    At most (2 BESIDE + 1) counts a limit and kind reach the driver.
+    """
+    near = [(c["src"], c["backend"], c["unit"], c["at"], d) for c in candidates for d in range(-BESIDE, BESIDE + 1) if c["at"] + d > 0]
+    if not near:
+        return {}
+    schema = "src string, backend string, unit string, at_limit long, away int"
+    lengths = rows.sparkSession.createDataFrame(near, schema).withColumn("at", F.col("at_limit") + F.col("away"))
+    closed = rows.where(~F.col("kind").isin(*OPEN, "none")).select("src", "backend", "kind", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("at")) for u in ("chars", "bytes")])).alias("u"))
+    counted = closed.select("src", "backend", "kind", "u.*").join(F.broadcast(lengths), ["src", "backend", "unit", "at"]).groupBy("src", "backend", "kind", "unit", "at_limit", "away").count().collect()
+    limits = {(c["src"], c["backend"], c["unit"], c["at"]) for c in candidates}
+    at, beside = {}, {}
+    for r in counted:
+        k = (r["src"], r["backend"], r["kind"], r["unit"], r["at_limit"])
+        if r["away"] == 0:
+            at[k] = r["count"]
+        elif (*k[:2], r["unit"], r["at_limit"] + r["away"]) not in limits:
+            beside[k] = beside.get(k, 0) + r["count"]
+    # half a value more, so that a single one proves nothing
+    return {k: max(0.001, min(0.995, 1 - (beside.get(k, 0) + 0.5 * BESIDE) / (2 * BESIDE) / n)) if n > 1 else 0.05 for k, n in at.items()}
+
+
 def readings(pages: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Lexicon]:
     """Every row with its ending and its first line, and the lexicon."""
     words = lexicon(scans.scanned_rows(pages, blocks).select("text"))
@@ -211,7 +242,7 @@ def with_following(table: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """src, row_id, backend, kind, the posterior of censoring at a limit (null where none is near), and the log odds (null for a closed
-    ending) and verdict of a cut.
+    ending that isn't at a limit) and verdict of a cut.
 
     Null, empty and blank texts aren't cut off and are left out. Repeated rows are each judged. Extra columns are ignored.
     """
@@ -225,6 +256,7 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     # at most 1/SHARE limits for a source and unit
     candidates = counts.where(F.col("open") >= LEAST).join(F.broadcast(totals), ["src", "backend"]).where(F.col("open") >= SHARE * F.col("opens")).where(F.col("open") >= 0.3 * F.col("all")).collect()
     limits = fit_limits(tallies, candidates)
+    shares = closed_at_limits(rows, candidates)
     sent = rows.sparkSession.sparkContext.broadcast((words, limits))
 
     @F.pandas_udf("censored double, odds double")
@@ -244,7 +276,16 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     opened = with_following(rows).withColumn("j", judge("src", "backend", "kind", "word", "last", "following", "label", "chars", "bytes")).select(
         "src", "row_id", "backend", "kind", "j.censored", F.round("j.odds", 4).alias("odds"), (F.col("j.odds") > 0).alias("cut")
     )
-    closed = rows.where(~F.col("kind").isin(*OPEN)).select("src", "row_id", "backend", "kind", F.lit(None).cast("double").alias("censored"), F.lit(None).cast("double").alias("odds"), F.lit(False).alias("cut"))
+    closed = rows.where(~F.col("kind").isin(*OPEN))
+    if shares:
+        table = rows.sparkSession.createDataFrame([(*k, p) for k, p in shares.items()], "src string, backend string, kind string, unit string, at long, p double")
+        for unit in ("chars", "bytes"):
+            closed = closed.join(F.broadcast(table.where(F.col("unit") == unit).select("src", "backend", "kind", F.col("at").alias(unit), F.col("p").alias(f"p_{unit}"))), ["src", "backend", "kind", unit], "left")
+        closed = closed.withColumn("p", F.greatest("p_chars", "p_bytes"))
+    else:
+        closed = closed.withColumn("p", F.lit(None).cast("double"))
+    odds = F.round(F.log(F.col("p") / (1 - F.col("p"))), 4)
+    closed = closed.select("src", "row_id", "backend", "kind", F.col("p").alias("censored"), odds.alias("odds"), F.coalesce(F.col("p") > 0.5, F.lit(False)).alias("cut"))
     return opened.unionByName(closed)
 
 

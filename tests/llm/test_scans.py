@@ -107,6 +107,20 @@ def test_cuts(spark):
     assert cuts.judged(pages.limit(0), blocks).count() == 0
 
 
+def test_closed_endings_at_a_limit(spark):
+    full = "the registrar must deliver a certified copy of this contract within seven days. "
+    rng = random.Random(5)
+    rows = [(i, f"{i}.pdf", 1, "a", full * rng.randint(1, 6) + "every notice." * (i % 2)) for i in range(90)]
+    rows += [(100 + i, f"c{i}.pdf", 1, "a", (("notice " * (i % 4)) + full * 9)[:200]) for i in range(40)]
+    rows += [(200 + i, f"e{i}.pdf", 1, "a", (full * 3)[: 200 - 7] + " of it.") for i in range(6)]  # cut right after a full stop
+    rows += [(300, "n.pdf", 1, "a", (full * 3)[: 150 - 7] + " of it.")]
+    pages = spark.createDataFrame(rows, "page_id long, pdf_path string, page_num int, backend string, markdown string")
+    blocks = spark.createDataFrame([], "block_key long, pdf_path string, page_num int, block_order int, block_label string, block_content string, backend string")
+    got = {r.row_id: r for r in cuts.judged(pages, blocks).collect()}
+    assert all(got[i].kind == "end" and got[i].cut and got[i].censored > 0.8 for i in range(200, 206))
+    assert got[300].censored is None and not got[300].cut and not any(got[i].cut for i in range(90))
+
+
 def test_long_words_and_texts(decoder):
     text = "x" * 200_000 + " " + "notice " * 20_000
     assert decoder.repair(text, set()).startswith("xxx") and decoder.kinds(text) == (False, False)
