@@ -14,54 +14,109 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm import scans
+from foliant.llm import edges, scans
 from foliant.llm.lexicon import WORD, Lexicon, form, lexicon
 from foliant.llm.lookalikes import canonical
-from foliant.session import materialize
+from foliant.session import materialize, spread
 
-#: Kinds of endings that a cut usually leaves; of the others only those at a limit are judged, by how many more they are than at lengths beside it.
+#: Kinds of endings that a cut usually leaves; the others are judged by the posterior at a limit alone.
 OPEN = ("text", "list", "broken", "table_cut", "stretch")
-#: Characters of an ending and a beginning that are looked at; a limit needs this many open endings, and this share of the source's.
-TAIL, HEAD, LEAST, SHARE = 360, 240, 5, 0.02
+#: A limit needs this many open endings, and this share of the source's.
+LEAST, SHARE = 5, 0.02
+#: Log odds against a cut of a closed ending away from every limit.
+CLOSED_ODDS = 7.0
 #: Lengths on either side of a limit that show how many values are that long by nature.
 BESIDE = 10
 _END = re.compile(r"(?:[.!?。！？…][\"'”’»)\]*_`]*|[.!?。]\s*(?:\[\d+\]|\(\d+\)|\*\*|<\|[A-Z_0-9]+\|>)+)\s*$")
 _BROKEN = re.compile(r"�\s*$|&(?:[a-z]{1,5}|#\d{0,5})$|<\|?[A-Za-z_0-9/]*\|?$|(?<!\])\[\d{0,3}$|\s\*{1,2}$|\\$")
 _LIST = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|>\s)")
+#: Last lines that are no running line for sure; a line that this lets through costs only another look.
+_NEVER_DROPPED = re.compile(r"^\s*\|.*\w|^\s*[-*+•]\s+\S{8}|[!?。]\s*$")
 _CLOSING = re.compile(r"(?:\s*<!--.*?-->|\s*<\|[A-Z_0-9]+\|>)+\s*$")
 
 
+def _may_drop(line: Column) -> Column:
+    """Lines that ``edges`` may find to be running lines or page numbers; any other is never dropped."""
+    return (F.length(line) <= edges.LONGEST) & edges.may_run(line)
+
+
 def ends_of(rows: DataFrame, src: str, key: str, text: str, order: str | None, label: str | None) -> DataFrame:
-    """What is needed of each row that isn't blank; the text itself stays behind."""
+    """What is needed of each row that isn't blank; the text itself stays behind.
+
+    ``tops``: the first lines up to the first that is no running line for sure, each with its first word; ``endings``: how the text ends,
+    and how it ends if its last lines are running lines. Both are read from the whole text. ``endings`` is null after a full stop, where no line is dropped.
+    """
+
+    @F.pandas_udf("array<struct<line:string,kind:string,word:string,last:string>>")
+    def endings_of(texts: pd.Series) -> pd.Series:
+        return texts.map(read_endings, na_action="ignore")
+
     t = F.col(text)
-    tail = F.right(t, F.lit(TAIL))
-    # a text that ends in a full stop, as most do, needs no closer look
-    tail = F.when(~tail.rlike(r"[.!?。！？]\s*$"), tail)
-    return rows.where(t.rlike(r"\S")).select(
+    lines = F.filter(F.split(F.regexp_replace(t, r"^\s+", ""), r"\n\s*", edges.LINES + 3), lambda x: x.rlike(r"[^\s\uFEFF]") & ~x.rlike(r"^\s*(?:```|~~~)(?:markdown|md)?\s*$"))
+    tops = F.transform(lines, lambda x: F.struct(F.when(_may_drop(F.element_at(F.split(x, "\n", 2), 1)), F.trim(F.element_at(F.split(x, "\n", 2), 1))).alias("line"), F.regexp_extract(x, r"^\s*\S+\s?", 0).alias("begins")))
+    stays = F.array_position(F.transform("tops", lambda x: x["line"].isNull()), F.lit(True))
+    open_ = F.when(~t.rlike(r"[.!?。！？]\s*\z"), t)
+    base = rows.where(t.rlike(r"\S")).select(
         F.lit(src).alias("src"), F.col(key).alias("row_id"), "pdf_path", "page_num", "backend", (F.col(order) if order else F.lit(0)).alias("place"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"),
-        F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.substring(t, 1, HEAD).alias("head"), tail.alias("tail"), F.regexp_count(t, F.lit("(?m)^\\s*```")).alias("fences"),
+        F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), tops.alias("tops"), endings_of(open_).alias("endings"),
     )
+    return base.withColumn("tops", F.slice("tops", 1, F.when(stays > 0, stays.cast("int")).otherwise(edges.LINES + 1)))
+
+
+def _ending_lines(text: str, wanted: int) -> list[str]:
+    """The last ``wanted`` lines that hold something, with what stands before the first of them in its paragraph, however long that is."""
+    lines, at, seen = [], len(text), 0
+    while True:
+        start = text.rfind("\n", 0, at) + 1
+        line = text[start:at]
+        if line.strip():
+            seen += 1
+        elif seen >= wanted:
+            break
+        lines.append(line)
+        if not start:
+            break
+        at = start - 1
+    return lines[::-1]
 
 
-def read_ending(tail: str, dropped: set[str], fences: int, short: bool) -> tuple[str, str, str]:
-    """Kind of the ending, the last word as the lexicon writes it, and the last line. ``short``: the tail is the whole text."""
-    raw = tail.replace("​", "")
-    if raw.rstrip().endswith("�"):
-        return "broken", "", raw.rstrip()[-80:]
-    lines = [x for x in canonical(raw).split("\n")]
-    while lines and (not lines[-1].strip() or lines[-1].strip() in dropped):
+def read_endings(text: str) -> list[tuple[str | None, str, str, str]]:
+    """Endings of a text: (last line if it may be a running line, kind, last word, last line as read), the next one without that line.
+
+    The first whose line turns out to stay is the text's own; a text has at most ``edges.LINES`` running lines at its end.
+    """
+    lines, out = _ending_lines(text, edges.LINES + 1), []
+    fence = max(text.rfind("\n```"), text.rfind("\n ```")) + 1 if "\n```" in text or "\n ```" in text else 0 if text.startswith("```") else -1
+    fences = len(re.findall(r"(?m)^\s*```", text)) if fence >= 0 else 0
+    # inside an open fence with a language everything is code
+    code = bool(fences % 2 and re.match(r"\s*```(?!markdown|md)\w+", text[fence : fence + 40]))
+    while len(out) <= edges.LINES:
+        while lines and not canonical(lines[-1].replace("\u200b", "")).strip():
+            lines.pop()
+        if not lines:
+            out.append((None, "none", "", ""))
+            break
+        line = lines[-1]
+        may = len(out) < edges.LINES and len(line) <= edges.LONGEST and not _NEVER_DROPPED.search(line)
+        out.append((line.strip(" ") if may else None, *read_ending(lines, fences, code)))
+        if not may:
+            break
         lines.pop()
-    if not lines:
-        return "none", "", ""
-    last = lines[-1]
+    return out
+
+
+def read_ending(lines: list[str], fences: int, code: bool) -> tuple[str, str, str]:
+    """Kind of the ending, the last word as the lexicon writes it, and the last line. ``code``: the text ends in an open fence of a language."""
+    raw = lines[-1].replace("\u200b", "")
+    if raw.rstrip().endswith("\ufffd"):
+        return "broken", "", raw.rstrip()
+    last = canonical(raw)
     if re.match(r"\s*(```|~~~)", last):
-        if fences % 2 == 0:
-            return "closed", "", last
-        return "code", "", last
-    if fences % 2 and any(re.match(r"\s*```(?!markdown|md)\w+", x) for x in lines):
+        return ("closed" if fences % 2 == 0 else "code"), "", last
+    if code:
         return "code", "", last
     last = _CLOSING.sub("", last) or last
     if last.lstrip().startswith("#"):
@@ -79,6 +134,7 @@ def read_ending(tail: str, dropped: set[str], fences: int, short: bool) -> tuple
         return "stretch", "", last  # a rule, or letters without any blank: nothing tells where it should end
     # a wrapped line belongs to the list item, or the paragraph, that it goes on
     for x in reversed(lines):
+        x = canonical(x)
         if _LIST.match(x):
             return "list", word, last
         if not x.strip() or _END.search(x) or x.lstrip().startswith(("#", "|")):
@@ -158,11 +214,30 @@ def _log_normal(bins: dict[float, float], censored: dict[float, float]) -> tuple
     return mu, sd
 
 
-def fit_limits(tallies: list, candidates: list) -> dict[tuple, dict[tuple, float]]:
-    """For each (src, backend): posterior of censoring at each (unit, limit)."""
+def fit_limits(tallies: list, counts: list, candidates: list) -> dict[tuple, dict[tuple, float]]:
+    """For each (src, backend): the posterior of censoring for a value of each kind of ending at each limit, keyed (kind, unit, limit).
+
+    The values at a limit are a mixture of censored ones and of ones that are that long by nature. How many of the latter there are comes from the
+    fitted density at the limit, over all endings, and from the lengths beside it; a kind's share of them is its share away from the limits. The
+    open kinds are one class. ``counts``: how many values have each kind and each length within ``BESIDE`` of a limit.
+    """
     by: dict[tuple, dict[float, float]] = {}
+    kinds: dict[tuple, dict[str, float]] = {}
     for r in tallies:
-        by.setdefault((r["src"], r["backend"]), {})[r["bin"] / 20 + 0.025] = r["n"]
+        source, x = (r["src"], r["backend"]), r["bin"] / 20 + 0.025
+        kind = _class(r["kind"])
+        kinds.setdefault(source, {})[kind] = kinds.setdefault(source, {}).get(kind, 0) + r["n"]
+        if kind != "open" or r["kind"] != "stretch":
+            by.setdefault(source, {})[x] = by.setdefault(source, {}).get(x, 0) + r["n"]
+    limits = {(c["src"], c["backend"], c["unit"], c["at"]) for c in candidates}
+    at, beside = {}, {}
+    for r in counts:
+        k = (r["src"], r["backend"], r["unit"], r["at_limit"])
+        kind = (*k, _class(r["kind"]))
+        if r["away"] == 0:
+            at[kind] = at.get(kind, 0) + r["n"]
+        elif (*k[:3], r["at_limit"] + r["away"]) not in limits:
+            beside[kind] = beside.get(kind, 0) + r["n"]
     found: dict[tuple, dict[tuple, float]] = {}
     for source, bins in by.items():
         mine = [c for c in candidates if (c["src"], c["backend"]) == source]
@@ -173,60 +248,38 @@ def fit_limits(tallies: list, candidates: list) -> dict[tuple, dict[tuple, float
             bins = dict.fromkeys(bins, 1.0)
         mu, sd = _log_normal(bins, {math.log(c["at"]): c["open"] for c in mine if c["unit"] == "chars"})
         total = sum(bins.values())
+        shares = kinds[source]
+        shares["open"] = max(1.0, shares.get("open", 0) - sum(c["open"] for c in mine if c["unit"] == "chars"))
+        every = sum(shares.values())
         for c in mine:
-            at = c["at"] if c["unit"] == "chars" else c["at"] * c["ratio"]
-            z = (math.log(at) - mu) / sd
-            natural = total * math.exp(-z * z / 2) / (at * sd * math.sqrt(2 * math.pi)) * (1 if c["unit"] == "chars" else 0.5)
-            # of the values at the limit, those with a closed ending bear witness to the natural count too
-            natural = max(natural, 0.02 * c["all"])
-            found.setdefault(source, {})[(c["unit"], c["at"])] = max(0.05, min(0.995, 1 - min(1.0, natural * 0.3 / c["open"])))
+            at_chars = c["at"] if c["unit"] == "chars" else c["at"] * c["ratio"]
+            z = (math.log(at_chars) - mu) / sd
+            natural = total * math.exp(-z * z / 2) / (at_chars * sd * math.sqrt(2 * math.pi)) * (1 if c["unit"] == "chars" else c["ratio"])
+            for kind in shares:
+                k = (*source, c["unit"], c["at"], kind)
+                if n := at.get(k):
+                    # half a value more, so that a single one proves nothing
+                    by_nature = max(natural * shares[kind] / every, beside.get(k, 0) / (2 * BESIDE)) + (0.25 if kind != "open" else 0.0)
+                    found.setdefault(source, {})[(kind, c["unit"], c["at"])] = max(0.005, min(0.995, 1 - by_nature / n))
     return found
 
 
-def closed_at_limits(rows: DataFrame, candidates: list) -> dict[tuple, float]:
-    """For each (src, backend, kind, unit, limit) of a closed kind: the share of its values at the limit that exceeds the lengths beside it.
-
-    At most (2 BESIDE + 1) counts a limit and kind reach the driver.
-    """
-    near = [(c["src"], c["backend"], c["unit"], c["at"], d) for c in candidates for d in range(-BESIDE, BESIDE + 1) if c["at"] + d > 0]
-    if not near:
-        return {}
-    schema = "src string, backend string, unit string, at_limit long, away int"
-    lengths = rows.sparkSession.createDataFrame(near, schema).withColumn("at", F.col("at_limit") + F.col("away"))
-    closed = rows.where(~F.col("kind").isin(*OPEN, "none")).select("src", "backend", "kind", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("at")) for u in ("chars", "bytes")])).alias("u"))
-    counted = closed.select("src", "backend", "kind", "u.*").join(F.broadcast(lengths), ["src", "backend", "unit", "at"]).groupBy("src", "backend", "kind", "unit", "at_limit", "away").count().collect()
-    limits = {(c["src"], c["backend"], c["unit"], c["at"]) for c in candidates}
-    at, beside = {}, {}
-    for r in counted:
-        k = (r["src"], r["backend"], r["kind"], r["unit"], r["at_limit"])
-        if r["away"] == 0:
-            at[k] = r["count"]
-        elif (*k[:2], r["unit"], r["at_limit"] + r["away"]) not in limits:
-            beside[k] = beside.get(k, 0) + r["count"]
-    # half a value more, so that a single one proves nothing
-    return {k: max(0.001, min(0.995, 1 - (beside.get(k, 0) + 0.5 * BESIDE) / (2 * BESIDE) / n)) if n > 1 else 0.05 for k, n in at.items()}
+def _class(kind: str) -> str:
+    return "open" if kind in OPEN else kind
 
 
 def readings(pages: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Lexicon]:
-    """Every row with its ending and its first line, and the lexicon."""
+    """Every row with its ending and the first word of its body, and the lexicon."""
     words = lexicon(scans.scanned_rows(pages, blocks).select("text"))
     lines = scans.running(pages, blocks).where("is_header OR is_number").groupBy("src", "row_id").agg(F.collect_set(F.trim("line")).alias("dropped"))
-    rows = ends_of(pages, "pages", "page_id", "markdown", None, None).unionByName(ends_of(blocks, "blocks", "block_key", "block_content", "block_order", "block_label"))
-
-    @F.pandas_udf("kind string, word string, last string")
-    def read(tail: pd.Series, dropped: pd.Series, fences: pd.Series, chars: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, d, f, c in zip(tail, dropped, fences, chars):
-            drop = {canonical(x).strip() for x in d} if d is not None else set()
-            out.append(read_ending(t, drop, int(f), c <= TAIL) if isinstance(t, str) else ("end", "", ""))
-        return pd.DataFrame(out, columns=["kind", "word", "last"])
-
+    rows = ends_of(spread(pages, "page_id"), "pages", "page_id", "markdown", None, None).unionByName(ends_of(spread(blocks, "block_key"), "blocks", "block_key", "block_content", "block_order", "block_label"))
     joined = rows.join(lines, ["src", "row_id"], "left")
-    body = F.filter(F.split("head", "\n"), lambda x: x.rlike(r"[^\s\uFEFF]") & ~x.rlike(r"^\s*```(?:markdown|md)?\s*$") & ~F.coalesce(F.array_contains("dropped", F.trim(x)), F.lit(False)))
-    first = F.substring(F.get(body, 0), 1, 120)
-    joined = joined.withColumn("r", read("tail", F.when(F.col("tail").isNotNull(), F.col("dropped")), "fences", "chars"))
-    table = materialize(joined.select("src", "row_id", "pdf_path", "page_num", "backend", "place", "label", "chars", "bytes", first.alias("first"), "r.*"), "endings")
-    return table, words
+    stays = lambda x: x["line"].isNull() | ~F.coalesce(F.array_contains("dropped", x["line"]), F.lit(False))
+    own = F.get(F.filter("endings", stays), 0)
+    first = F.get(F.filter("tops", stays), 0)["begins"]
+    kind = F.when(F.col("endings").isNull(), "end").otherwise(F.coalesce(own["kind"], F.lit("none")))
+    read = joined.select("src", "row_id", "pdf_path", "page_num", "backend", "place", "label", "chars", "bytes", first.alias("first"), kind.alias("kind"), F.coalesce(own["word"], F.lit("")).alias("word"), F.coalesce(own["last"], F.lit("")).alias("last"))
+    return materialize(read, "endings"), words
 
 
 def with_following(table: DataFrame) -> DataFrame:
@@ -240,23 +293,48 @@ def with_following(table: DataFrame) -> DataFrame:
     return followed.withColumn("following", F.when(F.col("place") == F.col("last_place"), F.coalesce("mine.first", "any.first"))).drop("mine", "any", "last_place")
 
 
+def length_counts(rows: DataFrame) -> DataFrame:
+    """For every source, kind of ending, unit (chars or bytes) and length: values and the mean of characters a byte. Small: written once."""
+    lost = F.when((F.col("kind") == "broken") & F.col("last").endswith("\ufffd"), F.lit(3)).otherwise(F.lit(0))
+    lengths = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("at")), F.struct(F.lit("bytes").alias("unit"), (F.col("bytes") - lost).alias("at")))
+    long_ = rows.where("kind <> 'none' AND chars >= 40").select("src", "backend", "kind", (F.col("chars") / F.col("bytes")).alias("ratio"), F.inline(lengths))
+    return materialize(long_.groupBy("src", "backend", "kind", "unit", "at").agg(F.count("*").alias("n"), F.sum("ratio").alias("ratios")), "lengths")
+
+
+def limits_of(rows: DataFrame) -> dict[tuple, dict[tuple, float]]:
+    """Posteriors of censoring for each source (see ``fit_limits``). What reaches the driver is bounded: log bins, 1/SHARE limits a source and unit, and
+    2 BESIDE + 1 counts a limit and kind."""
+    counted = length_counts(rows)
+    tallies = counted.where("unit = 'chars'").groupBy("src", "backend", "kind", F.floor(F.log("at") * 20).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    open_ = F.col("kind").isin("text", "list", "table_cut") | ((F.col("kind") == "broken") & (F.col("unit") == "bytes"))
+    by_length = counted.where(F.col("kind").isin("end", "text", "list", "broken", "table_cut")).groupBy("src", "backend", "unit", "at").agg(
+        F.sum("n").alias("all"), F.coalesce(F.sum(F.when(open_, F.col("n"))), F.lit(0)).alias("open"), (F.sum("ratios") / F.sum("n")).alias("ratio")
+    )
+    opens: dict[tuple, int] = {}
+    for r in tallies:
+        if r["kind"] in ("text", "list", "broken", "table_cut"):
+            opens[r["src"], r["backend"]] = opens.get((r["src"], r["backend"]), 0) + r["n"]
+    if not opens:
+        return {}
+    enough = rows.sparkSession.createDataFrame([(*k, max(float(LEAST), SHARE * n)) for k, n in opens.items()], "src string, backend string, enough double")
+    same = ((F.col("c.src") == F.col("e.src")) & F.col("c.backend").eqNullSafe(F.col("e.backend")))
+    candidates = by_length.alias("c").join(F.broadcast(enough.alias("e")), same).where("open >= enough AND open >= 0.3 * all").select("c.*").collect()
+    near = [(c["src"], c["backend"], c["unit"], c["at"], d) for c in candidates for d in range(-BESIDE, BESIDE + 1) if c["at"] + d > 0]
+    if not near:
+        return fit_limits(tallies, [], [])
+    lengths = rows.sparkSession.createDataFrame(near, "src string, backend string, unit string, at_limit long, away int").withColumn("at", F.col("at_limit") + F.col("away"))
+    same = (F.col("c.src") == F.col("l.src")) & F.col("c.backend").eqNullSafe(F.col("l.backend")) & (F.col("c.unit") == F.col("l.unit")) & (F.col("c.at") == F.col("l.at"))
+    counts = counted.alias("c").join(F.broadcast(lengths.alias("l")), same).select("c.src", "c.backend", "c.kind", "c.unit", "l.at_limit", "l.away", "c.n").collect()
+    return fit_limits(tallies, counts, candidates)
+
+
 def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """src, row_id, backend, kind, the posterior of censoring at a limit (null where none is near), and the log odds (null for a closed
-    ending that isn't at a limit) and verdict of a cut.
+    """src, row_id, backend, kind, the posterior of censoring at a limit (0 for a length that is at none), and the log odds and verdict of a cut.
 
     Null, empty and blank texts aren't cut off and are left out. Repeated rows are each judged. Extra columns are ignored.
     """
     rows, words = readings(pages, blocks)
-    long_ = rows.where("kind IN ('end', 'text', 'list', 'broken', 'table_cut') AND chars >= 40")
-    open_ = F.col("kind") != "end"
-    tallies = long_.groupBy("src", "backend", F.floor(F.log("chars") * 20).alias("bin")).agg(F.count("*").alias("n")).collect()  # log bins: some hundreds a source
-    units = long_.select("src", "backend", "kind", (F.col("chars") / F.col("bytes")).alias("ratio"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("at")), F.struct(F.lit("bytes").alias("unit"), (F.col("bytes") - F.when((F.col("kind") == "broken") & F.col("last").endswith("�"), F.lit(3)).otherwise(F.lit(0))).alias("at")))).alias("u"))
-    counts = units.groupBy("src", "backend", "u.unit", "u.at").agg(F.count("*").alias("all"), F.count_if(open_ & ((F.col("u.unit") == "bytes") | (F.col("kind") != "broken"))).alias("open"), F.avg("ratio").alias("ratio"))
-    totals = rows.where(open_ & F.col("kind").isin("text", "list", "broken", "table_cut")).groupBy("src", "backend").agg(F.count("*").alias("opens"))
-    # at most 1/SHARE limits for a source and unit
-    candidates = counts.where(F.col("open") >= LEAST).join(F.broadcast(totals), ["src", "backend"]).where(F.col("open") >= SHARE * F.col("opens")).where(F.col("open") >= 0.3 * F.col("all")).collect()
-    limits = fit_limits(tallies, candidates)
-    shares = closed_at_limits(rows, candidates)
+    limits = limits_of(rows)
     sent = rows.sparkSession.sparkContext.broadcast((words, limits))
 
     @F.pandas_udf("censored double, odds double")
@@ -267,25 +345,26 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
             odds = ending_odds(lexicon_, k, w, x, f if isinstance(f, str) else None, m if isinstance(m, str) else None, int(c))
             own = limits_.get((s, b), {})
             # a broken character takes up to three bytes more or less than what was stored
-            near = [own[("chars", c)]] if ("chars", c) in own else []
-            near += [own[("bytes", n - d)] for d in ((0,) if not (k == "broken" and x.endswith("�")) else (-1, 0, 1, 2, 3)) if ("bytes", n - d) in own]
+            near = [own["open", "chars", c]] if ("open", "chars", c) in own else []
+            near += [own["open", "bytes", n - d] for d in ((0,) if not (k == "broken" and x.endswith("\ufffd")) else (-1, 0, 1, 2, 3)) if ("open", "bytes", n - d) in own]
             p = max(near, default=None)
-            out.append((p, odds + (min(5.0, math.log(p / (1 - p))) if p is not None else -0.5)))
+            out.append((p or 0.0, odds + (max(-5.0, min(5.0, math.log(p / (1 - p)))) if p is not None else -0.5)))
         return pd.DataFrame(out, columns=["censored", "odds"])
 
     opened = with_following(rows).withColumn("j", judge("src", "backend", "kind", "word", "last", "following", "label", "chars", "bytes")).select(
         "src", "row_id", "backend", "kind", "j.censored", F.round("j.odds", 4).alias("odds"), (F.col("j.odds") > 0).alias("cut")
     )
+    # a closed ending tells no more than how many values with such an ending the limit has too many
     closed = rows.where(~F.col("kind").isin(*OPEN))
-    if shares:
-        table = rows.sparkSession.createDataFrame([(*k, p) for k, p in shares.items()], "src string, backend string, kind string, unit string, at long, p double")
-        for unit in ("chars", "bytes"):
-            closed = closed.join(F.broadcast(table.where(F.col("unit") == unit).select("src", "backend", "kind", F.col("at").alias(unit), F.col("p").alias(f"p_{unit}"))), ["src", "backend", "kind", unit], "left")
-        closed = closed.withColumn("p", F.greatest("p_chars", "p_bytes"))
-    else:
-        closed = closed.withColumn("p", F.lit(None).cast("double"))
-    odds = F.round(F.log(F.col("p") / (1 - F.col("p"))), 4)
-    closed = closed.select("src", "row_id", "backend", "kind", F.col("p").alias("censored"), odds.alias("odds"), F.coalesce(F.col("p") > 0.5, F.lit(False)).alias("cut"))
+    p = [F.lit(0.0)]
+    for (src, backend), found in limits.items():
+        mine = (F.col("src") == src) & F.col("backend").eqNullSafe(F.lit(backend))
+        for (kind, unit, at), chance in found.items():
+            if kind != "open":
+                p.append(F.when(mine & (F.col("kind") == kind) & (F.col(unit) == at), chance).otherwise(0.0))
+    closed = closed.withColumn("p", F.greatest(*p) if len(p) > 1 else p[0])
+    odds = F.round(F.when(F.col("p") > 0, F.log(F.col("p") / (1 - F.col("p")))).otherwise(-CLOSED_ODDS), 4)
+    closed = closed.select("src", "row_id", "backend", "kind", F.col("p").alias("censored"), odds.alias("odds"), (F.col("p") > 0.5).alias("cut"))
     return opened.unionByName(closed)
 
 
