@@ -26,12 +26,15 @@ from foliant.session import materialize, spread
 OPEN = ("text", "list", "broken", "table_cut", "stretch")
 #: A limit needs this many open endings, and this share of the source's.
 LEAST, SHARE = 5, 0.02
-#: Log odds against a cut of a closed ending away from every limit.
-CLOSED_ODDS = 7.0
+#: Log odds of a cut away from every limit: what an open ending gets, and a closed one.
+AWAY, AWAY_CLOSED = -1.2, -7.0
+#: Marks that end sentences.
+STOPS = ".!?。！？…"
 #: Lengths on either side of a limit that show how many values are that long by nature.
 BESIDE = 10
 _END = re.compile(r"(?:[.!?。！？…][\"'”’»)\]*_`]*|[.!?。]\s*(?:\[\d+\]|\(\d+\)|\*\*|<\|[A-Z_0-9]+\|>)+)\s*$")
 _BROKEN = re.compile(r"�\s*$|&(?:[a-z]{1,5}|#\d{0,5})$|<\|?[A-Za-z_0-9/]*\|?$|(?<!\])\[\d{0,3}$|\s\*{1,2}$|\\$")
+_HALF = re.compile(r"([^\W_]+)(?:[-¬]|\xad)\s*$")
 _LIST = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|>\s)")
 #: Last lines that are no running line for sure; a line that this lets through costs only another look.
 _NEVER_DROPPED = re.compile(r"^\s*\|.*\w|^\s*[-*+•]\s+\S{8}|[!?。]\s*$")
@@ -59,9 +62,10 @@ def ends_of(rows: DataFrame, src: str, key: str, text: str, order: str | None, l
     tops = F.transform(lines, lambda x: F.struct(F.when(_may_drop(F.element_at(F.split(x, "\n", 2), 1)), F.trim(F.element_at(F.split(x, "\n", 2), 1))).alias("line"), F.regexp_extract(x, r"^\s*\S+\s?", 0).alias("begins")))
     stays = F.array_position(F.transform("tops", lambda x: x["line"].isNull()), F.lit(True))
     open_ = F.when(~t.rlike(r"[.!?。！？]\s*\z"), t)
+    lone = F.substring_index(F.rtrim(t), " ", -2).rlike(r"[.!?。！？]\S*\s+[^\s.!?。！？]+[.!?。！？]\s*\z")
     base = rows.where(t.rlike(r"\S")).select(
         F.lit(src).alias("src"), F.col(key).alias("row_id"), "pdf_path", "page_num", "backend", (F.col(order) if order else F.lit(0)).alias("place"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"),
-        F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), tops.alias("tops"), endings_of(open_).alias("endings"),
+        F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), (F.length(t) - F.length(F.translate(t, STOPS, ""))).alias("stops"), tops.alias("tops"), lone.alias("lone"), endings_of(open_).alias("endings"),
     )
     return base.withColumn("tops", F.slice("tops", 1, F.when(stays > 0, stays.cast("int")).otherwise(edges.LINES + 1)))
 
@@ -128,6 +132,8 @@ def read_ending(lines: list[str], fences: int, code: bool) -> tuple[str, str, st
         return "broken", "", last
     words = WORD.findall(last)
     word = form(words[-1].lower()) if words else ""
+    if len(words) == 1 and len(lines) > 1 and (half := _HALF.search(canonical(lines[-2]))) and last.lstrip().startswith(words[0]):
+        word = form((half[1] + words[0]).lower())  # its first half ends the line before
     if _END.search(last):
         return "end", word, last
     if not re.search(r"[^\W_]", last) or len(last.split()[-1]) > 40:
@@ -162,8 +168,8 @@ def goes_on(words: Lexicon, word: str, last: str, following: str | None) -> floa
             odds -= 0.5
     elif following[0] in ",;:)]、":
         odds += 3.0
-    # pages end between words; a cut seldom does
-    return odds + (1.2 if word in words.times else -2.5)
+    # pages end between words; a cut seldom does, and then what is left begins another word
+    return odds + (1.2 if word in words.times else -2.5 if words.begins(word) else 0.0)
 
 
 def ending_odds(words: Lexicon, kind: str, word: str, last: str, following: str | None, label: str | None, chars: int) -> float:
@@ -186,7 +192,9 @@ def ending_odds(words: Lexicon, kind: str, word: str, last: str, following: str
     if word in ("", "0"):
         finished = 0.0
     if kind == "list":
-        return -2.5 + finished
+        # an item ends without a full stop, but with a whole word that may end a sentence
+        finished = 4.5 if n and (e + 0.5) / (n + 1) < 0.004 and not word.endswith("-0") or not n and word not in ("", "0") and words.begins(word) else min(finished, 1.0)
+        return -2.5 + finished - 1.6 * max(0.0, goes_on(words, word, last, following))
     if chars < 45 and not re.search(r"[.!?。]\s", last) and len(last.split()) <= 6 and (label not in (None, "text") or n and share > 0 or not re.search(r"[^\W\d_]", last)):
         return -2.0
     if label in ("chart", "image", "number", "header", "footer", "paragraph_title", "code") and chars < 60:
@@ -219,16 +227,20 @@ def fit_limits(tallies: list, counts: list, candidates: list) -> dict[tuple, dic
 
     The values at a limit are a mixture of censored ones and of ones that are that long by nature. How many of the latter there are comes from the
     fitted density at the limit, over all endings, and from the lengths beside it; a kind's share of them is its share away from the limits. The
-    open kinds are one class. ``counts``: how many values have each kind and each length within ``BESIDE`` of a limit.
+    open kinds are one class. Values that end in a sentence of a single word are censored no more often than a cut falls behind such a sentence, so
+    texts that a writer filled up to the limit with something stay whole. ``counts``: how many values have each kind and each length within ``BESIDE`` of a limit.
     """
     by: dict[tuple, dict[float, float]] = {}
     kinds: dict[tuple, dict[str, float]] = {}
+    marks: dict[tuple, list[int]] = {}
     for r in tallies:
         source, x = (r["src"], r["backend"]), r["bin"] / 20 + 0.025
         kind = _class(r["kind"])
         kinds.setdefault(source, {})[kind] = kinds.setdefault(source, {}).get(kind, 0) + r["n"]
         if kind != "open" or r["kind"] != "stretch":
             by.setdefault(source, {})[x] = by.setdefault(source, {}).get(x, 0) + r["n"]
+        sums = marks.setdefault(source, [0, 0])
+        sums[0], sums[1] = sums[0] + r["stops"], sums[1] + r["chars"]
     limits = {(c["src"], c["backend"], c["unit"], c["at"]) for c in candidates}
     at, beside = {}, {}
     for r in counts:
@@ -260,7 +272,13 @@ def fit_limits(tallies: list, counts: list, candidates: list) -> dict[tuple, dic
                 if n := at.get(k):
                     # half a value more, so that a single one proves nothing
                     by_nature = max(natural * shares[kind] / every, beside.get(k, 0) / (2 * BESIDE)) + (0.25 if kind != "open" else 0.0)
-                    found.setdefault(source, {})[(kind, c["unit"], c["at"])] = max(0.005, min(0.995, 1 - by_nature / n))
+                    censored = n - by_nature
+                    if kind == "lone":
+                        # a limit cuts right behind a full stop, or the blank after it, as often as those stand in the source's texts
+                        behind = min(0.9, 2 * marks[source][0] / max(1, marks[source][1]))
+                        alone = shares["lone"] / (shares["lone"] + shares.get("end", 0)) if shares["lone"] > n else 0.0
+                        censored = min(censored, c["open"] * behind / (1 - behind) * alone)
+                    found.setdefault(source, {})[(kind, c["unit"], c["at"])] = max(0.005, min(0.995, censored / n))
     return found
 
 
@@ -278,7 +296,7 @@ def readings(pages: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Lexicon]:
     own = F.get(F.filter("endings", stays), 0)
     first = F.get(F.filter("tops", stays), 0)["begins"]
     kind = F.when(F.col("endings").isNull(), "end").otherwise(F.coalesce(own["kind"], F.lit("none")))
-    read = joined.select("src", "row_id", "pdf_path", "page_num", "backend", "place", "label", "chars", "bytes", first.alias("first"), kind.alias("kind"), F.coalesce(own["word"], F.lit("")).alias("word"), F.coalesce(own["last"], F.lit("")).alias("last"))
+    read = joined.select("src", "row_id", "pdf_path", "page_num", "backend", "place", "label", "chars", "bytes", "stops", first.alias("first"), F.when((kind == "end") & F.col("lone"), "lone").otherwise(kind).alias("kind"), F.coalesce(own["word"], F.lit("")).alias("word"), F.coalesce(own["last"], F.lit("")).alias("last"))
     return materialize(read, "endings"), words
 
 
@@ -297,17 +315,18 @@ def length_counts(rows: DataFrame) -> DataFrame:
     """For every source, kind of ending, unit (chars or bytes) and length: values and the mean of characters a byte. Small: written once."""
     lost = F.when((F.col("kind") == "broken") & F.col("last").endswith("\ufffd"), F.lit(3)).otherwise(F.lit(0))
     lengths = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("at")), F.struct(F.lit("bytes").alias("unit"), (F.col("bytes") - lost).alias("at")))
-    long_ = rows.where("kind <> 'none' AND chars >= 40").select("src", "backend", "kind", (F.col("chars") / F.col("bytes")).alias("ratio"), F.inline(lengths))
-    return materialize(long_.groupBy("src", "backend", "kind", "unit", "at").agg(F.count("*").alias("n"), F.sum("ratio").alias("ratios")), "lengths")
+    long_ = rows.where("kind <> 'none' AND chars >= 40").select("src", "backend", "kind", (F.col("chars") / F.col("bytes")).alias("ratio"), "stops", "chars", F.inline(lengths))
+    sums = [F.count("*").alias("n"), F.sum("ratio").alias("ratios"), F.sum("stops").alias("stops"), F.sum("chars").alias("chars")]
+    return materialize(long_.groupBy("src", "backend", "kind", "unit", "at").agg(*sums), "lengths")
 
 
 def limits_of(rows: DataFrame) -> dict[tuple, dict[tuple, float]]:
     """Posteriors of censoring for each source (see ``fit_limits``). What reaches the driver is bounded: log bins, 1/SHARE limits a source and unit, and
     2 BESIDE + 1 counts a limit and kind."""
     counted = length_counts(rows)
-    tallies = counted.where("unit = 'chars'").groupBy("src", "backend", "kind", F.floor(F.log("at") * 20).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    tallies = counted.where("unit = 'chars'").groupBy("src", "backend", "kind", F.floor(F.log("at") * 20).alias("bin")).agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"), F.sum("chars").alias("chars")).collect()
     open_ = F.col("kind").isin("text", "list", "table_cut") | ((F.col("kind") == "broken") & (F.col("unit") == "bytes"))
-    by_length = counted.where(F.col("kind").isin("end", "text", "list", "broken", "table_cut")).groupBy("src", "backend", "unit", "at").agg(
+    by_length = counted.where(F.col("kind").isin("end", "lone", "text", "list", "broken", "table_cut")).groupBy("src", "backend", "unit", "at").agg(
         F.sum("n").alias("all"), F.coalesce(F.sum(F.when(open_, F.col("n"))), F.lit(0)).alias("open"), (F.sum("ratios") / F.sum("n")).alias("ratio")
     )
     opens: dict[tuple, int] = {}
@@ -348,7 +367,7 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
             near = [own["open", "chars", c]] if ("open", "chars", c) in own else []
             near += [own["open", "bytes", n - d] for d in ((0,) if not (k == "broken" and x.endswith("\ufffd")) else (-1, 0, 1, 2, 3)) if ("open", "bytes", n - d) in own]
             p = max(near, default=None)
-            out.append((p or 0.0, odds + (max(-5.0, min(5.0, math.log(p / (1 - p)))) if p is not None else -0.5)))
+            out.append((p or 0.0, odds + (max(-5.0, min(5.0, math.log(p / (1 - p)))) if p is not None else AWAY)))
         return pd.DataFrame(out, columns=["censored", "odds"])
 
     opened = with_following(rows).withColumn("j", judge("src", "backend", "kind", "word", "last", "following", "label", "chars", "bytes")).select(
@@ -363,7 +382,7 @@ def judged(pages: DataFrame, blocks: DataFrame) -> DataFrame:
             if kind != "open":
                 p.append(F.when(mine & (F.col("kind") == kind) & (F.col(unit) == at), chance).otherwise(0.0))
     closed = closed.withColumn("p", F.greatest(*p) if len(p) > 1 else p[0])
-    odds = F.round(F.when(F.col("p") > 0, F.log(F.col("p") / (1 - F.col("p")))).otherwise(-CLOSED_ODDS), 4)
+    odds = F.round(F.when(F.col("p") > 0, F.log(F.col("p") / (1 - F.col("p")))).otherwise(AWAY_CLOSED), 4)
     closed = closed.select("src", "row_id", "backend", "kind", F.col("p").alias("censored"), odds.alias("odds"), (F.col("p") > 0.5).alias("cut"))
     return opened.unionByName(closed)
 

@@ -6,6 +6,7 @@ bound, not the data, is what lets it be sent to every executor.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -40,6 +41,14 @@ class Lexicon:
     def __contains__(self, word: str) -> bool:
         return word in self.times
 
+    def begins(self, word: str) -> bool:
+        """Whether a longer word begins so."""
+        ordered = self.__dict__.get("ordered")
+        if ordered is None:
+            ordered = self.__dict__["ordered"] = sorted(self.times)
+        i = bisect.bisect_right(ordered, word)
+        return i < len(ordered) and ordered[i].startswith(word)
+
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word``, ``times``, ``ends`` and ``starts`` over a table with one column ``text``; counted in each partition first."""

@@ -11,7 +11,6 @@ document's other pages (``edges``) and are dropped.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
 import math
@@ -91,7 +90,6 @@ class Decoder:
         self.edges: dict[tuple[str, bool], tuple | None] = {}
         self.tails: dict[str, int | None] = {}
         self.heads: dict[str, int | None] = {}
-        self.ordered: list[str] | None = None
 
     def cost(self, word: str) -> float:
         n = self.words.times.get(word if word.isalpha() and word.islower() else form(word))
@@ -193,13 +191,6 @@ class Decoder:
             found = self.readings[chunk] = ("".join(out) + chunk[at:], cost, changed)
         return found
 
-    def begins(self, word: str) -> bool:
-        """Whether a longer word of the lexicon begins so."""
-        if self.ordered is None:
-            self.ordered = sorted(self.words.times)
-        i = bisect.bisect_right(self.ordered, word)
-        return i < len(self.ordered) and self.ordered[i].startswith(word)
-
     def last(self, chunk: str) -> tuple[str, float, bool]:
         """The reading of a text's last chunk, where its last word may be cut off: then a word that others begin with stands, and
         a single confusion or figures are undone, but not more."""
@@ -211,7 +202,7 @@ class Decoder:
         found = self.best(word)
         if found[2] and low.isalpha() and not _KANA.search(word):
             whole = found[0].lower()
-            if form(whole) not in self.words or whole not in {w for w, _ in self._undo(low)} or self.begins(low):
+            if form(whole) not in self.words or whole not in {w for w, _ in self._undo(low)} or self.words.begins(low):
                 found = (word, self.cost(low), False)
         return head[0] + found[0], head[1] + found[1], head[2] or found[2]
 

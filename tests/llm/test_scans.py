@@ -85,9 +85,9 @@ def test_lexicon_bound(spark):
 
 
 def test_endings():
-    end = lambda t, d=frozenset(), f=0: cuts.read_ending(t, set(d), f, True)[0]
+    end = lambda t, d=frozenset(): next(e[1] for e in cuts.read_endings(t) if e[0] not in d or e[0] is None)
     assert [end(t) for t in ("It ends.", "It ends. [3]", "# Head", "| a | b |", "| a | b", "- item", "goes o", "x�", "fine &am", "끝났다。")] == ["end", "end", "heading", "table", "table_cut", "list", "text", "broken", "broken", "end"]
-    assert end("goes on\n\n- 7 -", {"- 7 -"}) == "text" and end("```python\nx = 1", f=1) == "code" and end("  ") == "none"
+    assert end("goes on\n\n- 7 -", {"- 7 -"}) == "text" and end("```python\nx = 1") == "code" and end("  ") == "none"
 
 
 def test_cuts(spark):
@@ -118,7 +118,7 @@ def test_closed_endings_at_a_limit(spark):
     blocks = spark.createDataFrame([], "block_key long, pdf_path string, page_num int, block_order int, block_label string, block_content string, backend string")
     got = {r.row_id: r for r in cuts.judged(pages, blocks).collect()}
     assert all(got[i].kind == "end" and got[i].cut and got[i].censored > 0.8 for i in range(200, 206))
-    assert got[300].censored is None and not got[300].cut and not any(got[i].cut for i in range(90))
+    assert got[300].censored == 0 and not got[300].cut and not any(got[i].cut for i in range(90))
 
 
 def test_long_words_and_texts(decoder):
