@@ -9,14 +9,19 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import materialize
+
 SHARE = 4e-6
 LEAST = 3
+#: Two confusions undone weigh as much as a word this many times as frequent.
+RARER = 400
 #: A word may hold letters, figures read for letters, an apostrophe, and hyphens inside.
 WORD = re.compile(r"[^\W_][^\W_@|]*(?:[@'’|-][^\W_]+)*|@[^\W_]+")
 _AFTER = re.compile(r"[.!?。！？]\s+(\S+)")
@@ -81,12 +86,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("times").alias("times"), F.sum("ends").alias("ends"), F.sum("starts").alias("starts"))
 
 
-def lexicon(texts: DataFrame, share: float = SHARE, least: int = LEAST) -> Lexicon:
-    """The frequent words of the texts, at most 1/share of them, on the driver."""
-    from foliant.session import materialize
+def lexicon(texts: DataFrame, rival: Callable[[Lexicon, str, int], bool] | None = None, share: float = SHARE, least: int = LEAST) -> Lexicon:
+    """The frequent words of the texts, at most 1/share of them, on the driver.
 
+    ``rival``: looks, on the executors, at the rarer words down to 1/``RARER`` of the share and says which must be known too: sound words that
+    would else pass for a misreading, however large the corpus is.
+    """
     counted = materialize(word_counts(texts), "words")
     total = counted.agg(F.sum("times")).first()[0] or 0
     enough = max(least, int(total * share) + 1)
     rows = counted.where(F.col("times") >= enough).toPandas()
-    return Lexicon(*(dict(zip(rows["word"], rows[c])) for c in ("times", "ends", "starts")), total, enough)
+    words = Lexicon(*(dict(zip(rows["word"], rows[c])) for c in ("times", "ends", "starts")), total, enough)
+    if rival is not None:
+        sent = texts.sparkSession.sparkContext.broadcast(words)
+
+        def look(batches):
+            for batch in batches:
+                yield batch[[rival(sent.value, w, n) for w, n in zip(batch["word"], batch["times"])]]
+
+        rare = counted.where((F.col("times") < enough) & (F.col("times") >= max(least, enough // RARER)))
+        for r in rare.mapInPandas(look, counted.schema).collect():
+            words.times[r["word"]], words.ends[r["word"]], words.starts[r["word"]] = r["times"], r["ends"], r["starts"]
+    return words

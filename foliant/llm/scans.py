@@ -17,6 +17,7 @@ import math
 import re
 import statistics
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ CONFUSIONS = (
 )
 #: Kanji read for katakana between katakana, and the figures that letters are read for.
 KANA = {"一": "ー", "力": "カ", "口": "ロ", "二": "ニ", "工": "エ", "夕": "タ", "卜": "ト", "八": "ハ", "才": "オ"}
-FIGURES = str.maketrans("OoIlZSbB|", "001125681"[:9])
+FIGURES = str.maketrans("OoIlZSbB|", "001125681")
 CONFUSED, CONFUSED_SYLLABLE, FIGURED, JOINED, SPLIT, UNKNOWN = 3.0, 2.0, 0.5, 1.0, 3.0, 3.0
 #: What a blank inside a word costs more if both pieces are words by themselves.
 APART = 6.0
@@ -43,6 +44,9 @@ APART = 6.0
 _UNITS = {"n": "ii", "h": "ii", "u": "ii", "m": "iii", "d": "ci", "w": "vv"} | dict(zip("0lr1|5@9683ef논늘온외률애퇴율", "oiiiisagbbcct는는은의를에되을"))
 
 
+_MASK = (1 << 64) - 1
+
+
 @functools.cache
 def _unit(letter: str) -> int:
     if letter in _UNITS:
@@ -70,6 +74,8 @@ _BROKEN_OFF = re.compile(r"([^\W\d_][\w'’@|-]*?)([-¬])$")
 _BROKEN_REST = re.compile(r"[^\W\d_][\w'’@|]*(?:-\w+)*")
 _MARKED = re.compile(r"\s*(?:#|[-*+•>]\s|\||\d+[.)]\s)")
 _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,40}>|https?://\S+|--[\w-]+|\b\w+_\w+\b|(?<=[a-z])\.\w+(?=[ (=])")
+_SENTENCE_END = re.compile(r"[.!?。:][\"'”’)\]]*\s*$")
+_HYPHENED = re.compile(r"[^\W\d_][-¬]\s*$")
 _CLOSED = re.compile(r"[.!?。|`:;)\]\"'”’]\s*$")
 #: Figures that don't stand inside a word.
 _OWN_FIGURES = re.compile(r"(?<![^\W_])\d[\d.,:]*")
@@ -83,13 +89,20 @@ class Decoder:
         self.words, self.keep = words, keep
         self.log_total = math.log(max(2, words.total))
         self.sums = {letter_sum(w) for w in words.times}
+        self.sorted_sums = np.sort(np.fromiter((x & _MASK for x in self.sums), np.uint64, len(self.sums)))
+        #: No confusion changes a word's length by more than one, and at most two are undone: longer words can't be read as a lexicon word.
+        self.longest = max(map(len, words.times), default=0) + 2
         self.known: dict[str, str | None] = {}
         self.chunks: dict[str, bool] = {}
         self.readings: dict[str, tuple[str, float, bool]] = {}
         self.plain: set[tuple[str, str]] = set()
         self.edges: dict[tuple[str, bool], tuple | None] = {}
-        self.tails: dict[str, int | None] = {}
-        self.heads: dict[str, int | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is known of stretches without blanks: number, sums of the words at either end (0 for none), whether one is misread."""
+        self.numbers: dict[str, int] = {}
+        self.tails, self.heads, self.misread = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, bool)
 
     def cost(self, word: str) -> float:
         n = self.words.times.get(word if word.isalpha() and word.islower() else form(word))
@@ -109,7 +122,7 @@ class Decoder:
         """Best reading of one lower-case word: the reading, its cost, whether confusions were undone."""
         best, low, changed = word, self.cost(word), False
         # of two letters too much is a word, a unit or a piece
-        if len(word) < 2 or len(word) > 40 or (len(word) == 2 and word.isalpha() and word < "가") or word.isdigit() or _ROMAN.fullmatch(word):
+        if len(word) < 2 or len(word) > self.longest or (len(word) == 2 and word.isalpha() and word < "가") or word.isdigit() or _ROMAN.fullmatch(word):
             return best, low, False
         # figures that stay are written alike in the lexicon, so sums tell nothing about them
         first = self._undo(word) if _ANY_FIGURE.search(word) or letter_sum(word) in self.sums else []
@@ -117,7 +130,7 @@ class Decoder:
             if form(w) in self.words and (total := self.cost(w) + c) < low:
                 best, low, changed = w, total, True
         if not changed and len(word) >= 5 and form(word) not in self.words:
-            for w1, c1 in first[:24]:
+            for w1, c1 in first:
                 for w, c in self._undo(w1):
                     if form(w) in self.words and (total := self.cost(w) + c + c1) < low:
                         best, low, changed = w, total, True
@@ -159,7 +172,7 @@ class Decoder:
             # what no writer writes is read otherwise whatever the lexicon holds
             meant, cost, changed = self.read(low)
             found = (fixed, cost if changed and meant == fixed.lower() else found[1] - 1, True)
-        if word.isalpha() and len(word) <= 40 and form(low) not in self.words:
+        if word.isalpha() and len(word) <= 2 * self.longest and form(low) not in self.words:
             for k in range(2, len(word) - 1):
                 a, b = low[:k], low[k:]
                 if form(a) in self.words:
@@ -215,7 +228,7 @@ class Decoder:
                 self.edges.clear()
             words = list(WORD.finditer(chunk))
             m = words[-1 if at_end else 0] if words else None
-            if m is None or (m.end() < len(chunk) if at_end else m.start()) or len(m[0]) > 40 or not m[0][0 if at_end else -1].isalpha():
+            if m is None or (m.end() < len(chunk) if at_end else m.start()) or len(m[0]) > self.longest or not m[0][0 if at_end else -1].isalpha():
                 found = None
             else:
                 low = m[0].lower()
@@ -280,53 +293,81 @@ class Decoder:
         return found
 
     def kinds(self, text: str) -> tuple[bool, bool]:
-        """Whether a word is split by a hyphen at a line end, and whether a word or number is misread."""
-        text = self.skipped(canonical(text))
-        chunks = text.split()
-        if not chunks:
-            return False, False
-        open_ = not _CLOSED.search(text)
-        broken = "-\n" in text or "¬" in text or "- \n" in text or "-\t\n" in text
-        if not broken and not self._joined(chunks):
-            # no edge over two pieces is the cheapest, so every piece is read alone
-            if open_ and self.last(chunks.pop())[2]:
-                return False, True
-            known = self.chunks
-            return False, any(known[c] if c in known else self.chunk_is_misread(c) for c in set(chunks))
-        hyphen = misread = False
-        groups = self.paragraphs(text.rstrip().split("\n"))
-        for k, group in enumerate(groups):
-            for _, dropped, changed in self.path(group, open_ and k == len(groups) - 1):
-                hyphen, misread = hyphen or dropped, misread or changed
-        return hyphen, misread
+        return self.kinds_of([text])[0]
 
-    def _joined(self, chunks: list[str]) -> bool:
-        """Whether two neighbouring stretches may be cheaper as one word, so that it matters for what is misread."""
-        new = set(zip(chunks, chunks[1:])) - self.plain
-        if not new:
+    def kinds_of(self, texts: list[str]) -> list[tuple[bool, bool]]:
+        """For each text: whether a word is split by a hyphen at a line end, and whether a word or number is misread.
+
+        Where no edge over two pieces is the cheapest, every piece is read alone, which was done when it was first seen; only paragraphs with a
+        hyphen at a line end or a pair that may be one word are searched.
+        """
+        if len(self.numbers) > self.keep:
+            self.forget()
+        texts = [self.skipped(canonical(t)) for t in texts]
+        chunks, numbers = [t.split() for t in texts], self.numbers
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        seq = np.fromiter((numbers[c] if c in numbers else self._learn(c) for cs in chunks for c in cs), np.int64, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        wrong = self.misread[seq]
+        open_ = [bool(c) and not _CLOSED.search(t) for t, c in zip(texts, chunks)]
+        for i in np.flatnonzero(open_):
+            wrong[ends[i] - 1] = self.last(chunks[i][-1])[2]
+        tails, heads = self.tails[seq[:-1]], self.heads[seq[1:]]
+        pairs = np.flatnonzero((tails != 0) & (heads != 0) & (owner[:-1] == owner[1:]))
+        sums = tails[pairs] + heads[pairs]
+        if len(sums) and len(self.sorted_sums):
+            pairs = pairs[self.sorted_sums[np.minimum(np.searchsorted(self.sorted_sums, sums), len(self.sorted_sums) - 1)] == sums]
+        searched = {i for i, t in enumerate(texts) if "-\n" in t or "¬" in t or "- \n" in t or "-\t\n" in t}
+        for at in pairs if len(self.sorted_sums) else ():
+            i = int(owner[at])
+            k = int(at - (ends[i] - lengths[i]))
+            if i not in searched and self._matters(chunks[i][k], chunks[i][k + 1]):
+                searched.add(i)
+        any_wrong = np.zeros(len(texts), bool)
+        any_wrong[owner[wrong]] = True
+        return [self._searched(t, o) if i in searched else (False, bool(any_wrong[i])) for i, (t, o) in enumerate(zip(texts, open_))]
+
+    def _learn(self, chunk: str) -> int:
+        n = self.numbers[chunk] = len(self.numbers)
+        if n >= len(self.misread):
+            self.tails, self.heads, self.misread = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tails, self.heads, self.misread))
+        self.tails[n], self.heads[n], self.misread[n] = self._edge_sum(chunk, True), self._edge_sum(chunk, False), self.chunk_is_misread(chunk)
+        return n
+
+    def _edge_sum(self, chunk: str, at_end: bool) -> int:
+        """The sum of the word that a stretch ends (or begins) with, as ``edge_word`` has it, or 0."""
+        words = WORD.findall(chunk)
+        word = words[-1 if at_end else 0] if words else ""
+        fits = word and len(word) <= self.longest and (chunk.endswith(word) if at_end else chunk.startswith(word)) and word[0 if at_end else -1].isalpha()
+        return letter_sum(word.lower()) & _MASK if fits else 0
+
+    def _matters(self, left: str, right: str) -> bool:
+        """Whether two neighbouring stretches are cheaper as one word, so that it changes what is misread."""
+        if (left, right) in self.plain:
             return False
-        tails, heads, sums, found = self.tails, self.heads, self.sums, set()
-        for pair in new:
-            left, right = pair
-            a = tails[left] if left in tails else self._edge_sum(tails, left, True)
-            b = heads[right] if right in heads else self._edge_sum(heads, right, False)
-            if a is not None and b is not None and a + b in sums and (edge := self.merged(left, right)) is not None:
-                if edge[2] or self.alone(left)[2] or self.alone(right)[2]:
-                    found.add(pair)
+        edge = self.merged(left, right)
+        if edge is not None and (edge[2] or self.alone(left)[2] or self.alone(right)[2]):
+            return True
         if len(self.plain) > self.keep:
             self.plain.clear()
-        self.plain |= new - found
-        return bool(found)
+        self.plain.add((left, right))
+        return False
 
-    def _edge_sum(self, known: dict[str, int | None], chunk: str, at_end: bool) -> int | None:
-        """The sum of the word that a stretch ends (or begins) with, as ``edge_word`` has it; remembered."""
-        if len(known) > self.keep:
-            known.clear()
-        words = WORD.findall(chunk)
-        word = words[-1 if at_end else 0] if words else ""
-        fits = word and len(word) <= 40 and (chunk.endswith(word) if at_end else chunk.startswith(word)) and word[0 if at_end else -1].isalpha()
-        known[chunk] = found = letter_sum(word.lower()) if fits else None
-        return found
+    def _searched(self, text: str, open_: bool) -> tuple[bool, bool]:
+        """The verdicts from the chosen edges of the chosen paragraphs."""
+        hyphen = misread = False
+        groups = self.paragraphs(text.rstrip().split("\n"))
+        for k, group in enumerate(groups):
+            last = open_ and k == len(groups) - 1
+            words = [w for line in group for w in line.split()]
+            broken = any(line.rstrip()[-1:] in ("-", "¬") for line in group[:-1] if line.strip())
+            if broken or any(self._matters(a, b) for a, b in zip(words, words[1:])):
+                for _, dropped, changed in self.path(group, last):
+                    hyphen, misread = hyphen or dropped, misread or changed
+            elif not misread:
+                misread = any(self.chunk_is_misread(w) for w in (words[:-1] if last else words)) or last and bool(words) and self.last(words[-1])[2]
+        return hyphen, misread
 
     def path(self, lines: list[str], open_: bool = False) -> list[tuple[str, bool, bool]]:
         """One paragraph decoded: Viterbi over its pieces, where a piece may stand, be corrected, join the next or be split.
@@ -358,34 +399,40 @@ class Decoder:
         return out[::-1]
 
     def paragraphs(self, lines: list[str]) -> list[list[str]]:
-        """Lines into paragraphs, each a list of lines; a line end inside one is a soft wrap. Dynamic programming over the lines."""
+        """Lines into paragraphs, each a list of lines; a line end inside one is a soft wrap.
+
+        Dynamic programming over the lines. A line starts a paragraph, is its second line, or goes on; what a step costs depends on both lines'
+        states: a line end that ends (or doesn't end) a sentence, how full the line is, and the indent, which may change behind a paragraph's
+        first line but not within; a paragraph of one full line costs more than a longer one.
+        """
+        if not lines:
+            return []
         full = statistics.median([len(x) for x in lines if not _MARKED.match(x)] or [80])
-        cost = [0.0, math.inf]  # line 0 starts a paragraph
-        choice: list[tuple[int, int]] = []
+        start, second, on = range(3)
+        cost, steps = [0.0, math.inf, math.inf], []
         for a, b in zip(lines, lines[1:]):
-            ended = bool(re.search(r"[.!?。:][\"'”’)\]]*\s*$", a))
-            wrap, stop = 0.0, 0.0
-            if not b.strip() or not a.strip() or _MARKED.match(b) or a.lstrip().startswith(("#", "|")):
-                wrap = 50.0
-            else:
-                wrap += 3.0 if ended and len(a) < 0.7 * full else 0.5 if ended else 0.0
-                stop += 0.5 if ended else 3.0
-                stop += 2.0 if b[:1].islower() else 0.0
-                stop += 4.0 if re.search(r"[^\W\d_][-¬]\s*$", a) else 0.0
-            least = min(cost)
-            choice.append((0 if cost[0] <= cost[1] else 1,) * 2)
-            cost = [least + stop, least + wrap]
-        marks, k = [], 0 if cost[0] <= cost[1] else 1
-        for i in range(len(lines) - 1, 0, -1):
-            marks.append(k)
-            k = choice[i - 1][k]
-        groups, marks = [[lines[0]]] if lines else [], marks[::-1]
-        for line, k in zip(lines[1:], marks):
-            if k:
-                groups[-1].append(line)
-            else:
-                groups.append([line])
-        return groups
+            hard = not b.strip() or not a.strip() or _MARKED.match(b) or a.lstrip().startswith(("#", "|"))
+            ended, moved = bool(_SENTENCE_END.search(a)), len(b) - len(b.lstrip()) - len(a) + len(a.lstrip())
+            wrap = 50.0 if hard else (3.0 if ended and len(a) < 0.7 * full else 0.5 if ended else 0.0)
+            stop = 0.0 if hard else (0.5 if ended else 3.0) + (2.0 if b[:1].islower() else 0.0) + (4.0 if _HYPHENED.search(a) else 0.0)
+            short = 0.0 if hard or len(a) < 0.7 * full else 0.5
+            options = (
+                # (cost, from) of each state of the line b
+                min((cost[start] + stop + short, start), (cost[second] + stop - (0.5 if moved > 0 and not hard else 0.0), second), (cost[on] + stop - (0.5 if moved > 0 and not hard else 0.0), on)),
+                (cost[start] + wrap + (0.0 if moved <= 0 else 0.5), start),
+                min((cost[second] + wrap + (1.0 if moved else 0.0), second), (cost[on] + wrap + (1.0 if moved else 0.0), on)),
+            )
+            cost = [c for c, _ in options]
+            steps.append([k for _, k in options])
+        k = cost.index(min(cost))
+        starts = []
+        for i in range(len(lines) - 1, -1, -1):
+            if k == start:
+                starts.append(i)
+            if i:
+                k = steps[i - 1][k]
+        starts = starts[::-1]
+        return [lines[i:j] for i, j in zip(starts, [*starts[1:], len(lines)])]
 
     def repair(self, text: str, dropped: set[str]) -> str:
         """The text as continuous paragraphs, without the lines in ``dropped``; program code stays as it is."""
@@ -406,6 +453,20 @@ class Decoder:
         return "\n".join(out).strip()
 
 
+def decoder_of(words: Lexicon) -> Decoder:
+    """The decoder of a lexicon; the tasks of one Python worker share it, since a worker unpacks what was broadcast once."""
+    if "decoder" not in words.__dict__:
+        words.__dict__["decoder"] = Decoder(words)
+    return words.__dict__["decoder"]
+
+
+def rival(words: Lexicon, word: str, times: int) -> bool:
+    """Whether a word below the lexicon's share is still too frequent to be a misreading of the lexicon word that it resembles."""
+    decoder = decoder_of(words)
+    _, cost, changed = decoder.read(word)
+    return changed and decoder.log_total - math.log(times) <= cost
+
+
 def scanned_rows(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pages and blocks in one form: src, row_id, pdf_path, page_num, text; rows without a visible character are left out."""
     a = pages.select(F.lit("pages").alias("src"), F.col("page_id").alias("row_id"), "pdf_path", "page_num", F.col("markdown").alias("text"))
@@ -425,12 +486,13 @@ def noise(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     Null, empty and blank texts have none. Repeated rows give repeated findings only under different keys. Extra columns are ignored.
     """
     rows = spread(scanned_rows(pages, blocks).select("src", "row_id", "text"), "row_id")
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon(rows.select("text")))
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon(rows.select("text"), rival))
 
     def run(batches):
-        decoder = Decoder(sent.value)
+        decoder = decoder_of(sent.value)
         for batch in batches:
-            found = [decoder.kinds(t) for t in batch["text"]]
+            texts = batch["text"].tolist()
+            found = [x for k in range(0, len(texts), 512) for x in decoder.kinds_of(texts[k : k + 512])]
             yield pd.DataFrame({"src": batch["src"], "row_id": batch["row_id"], "hyphen": [h for h, _ in found], "misread": [m for _, m in found]})
 
     flags = rows.mapInPandas(run, "src string, row_id bigint, hyphen boolean, misread boolean")
@@ -444,12 +506,12 @@ def noise(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 def repaired(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """src, row_id and the text as continuous paragraphs, without running lines and page numbers; rows without visible text are left out."""
     rows = scanned_rows(pages, blocks).select("src", "row_id", "text")
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon(rows.select("text")))
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon(rows.select("text"), rival))
     lines = running(pages, blocks).where("is_header OR is_number").groupBy("src", "row_id").agg(F.collect_set(F.trim("line")).alias("dropped"))
     joined = rows.join(lines, ["src", "row_id"], "left")
 
     def run(batches):
-        decoder = Decoder(sent.value)
+        decoder = decoder_of(sent.value)
         for batch in batches:
             drop = [{canonical(x).strip() for x in d} if d is not None else set() for d in batch["dropped"]]
             yield pd.DataFrame({"src": batch["src"], "row_id": batch["row_id"], "text": [decoder.repair(t, d) for t, d in zip(batch["text"], drop)]})
