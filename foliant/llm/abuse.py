@@ -2,16 +2,18 @@
 
 Passages are the sentences and lines of a document, read after undoing the usual disguises (look-alike letters, letters set apart or
 masked, figures for letters, stretched letters). A chain of linear models scores, one after the other, insult, threat, hate, sexual and, last,
-abuse; each sees the passage's words, pairs of neighbouring words and lexicon hits, and the probabilities of the links before it. While the
-chain is trained those probabilities are out-of-fold, so that a link learns from predictions as uncertain as it will meet. A document's score is
+abuse; each sees the passage's words, their beginnings, pairs of neighbouring words and stems, and the probabilities of the links before it. While
+the chain is trained those probabilities are out-of-fold, so that a link learns from predictions as uncertain as it will meet. A document's score is
 its worst passage's.
 
-The chain is fitted on a bounded sample: at most ``LABELLED`` labelled documents, ``OTHERS`` other short ones and ``NEGATIVES`` of
-their passages without a seed hit (documented bounds, taken by hash). Category labels of sample passages come from seed patterns with cues of mention (forbidding, reporting,
-quoting, medical and technical use). Where reviewers agree, their labels set the target of the last link, as the probability that the
-document is abusive given the votes and the seed hits: how often a reviewer errs is taken from the pairs that disagree, so two that agree decide
-and a lone label has the weight it earns. In an abusive document without a seed hit a passage is found by multiple-instance fitting. Scoring
-reads every text whole.
+What is abusive is learned from the review labels: in a document that reviewers call abusive some passage is, so the passage that scores best
+carries the label (multiple-instance fitting), if the document is more likely abusive than not given the votes, the stems and the
+out-of-fold score of that passage. How often a reviewer errs is taken from the pairs that disagree, so two that agree decide and a lone label has
+the weight it earns. Categories aren't reviewed: passages with general stems of a category, and without cues of mention, stand for them.
+
+The chain is fitted on a bounded sample of passages, cut out on the executors: at most ``LABELLED`` labelled documents, about ``OTHERS`` others of any
+length, ``BAD_EACH``, ``CLEAN_EACH`` and ``OTHER_EACH`` passages of at most ``LONGEST`` characters of an abusive, clean or other document, and ``PASSAGES``
+in all. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -28,44 +30,40 @@ from foliant.llm.lookalikes import canonical
 from foliant.session import spread
 
 LINKS = ("insult", "threat", "hate", "sexual", "abuse")
-#: Bounds of the training sample: labelled documents, other documents, and passages without a seed hit that are kept.
-LABELLED, OTHERS, NEGATIVES = 1_500, 3_000, 8_000
+#: Bounds of the training sample: documents, passages of each kind of document, characters of a passage, passages in all and without a stem.
+LABELLED, OTHERS, BAD_EACH, CLEAN_EACH, OTHER_EACH, LONGEST, PASSAGES, NEGATIVES = 6_000, 2_000, 300, 6, 2, 400, 60_000, 14_000
+#: Log odds from which on a passage of a clean document is trained on although it was left out.
+HARD = -1.5
+#: How many log odds a passage's out-of-fold score may move the chance that its document is abusive.
+EVIDENCE = 5.0
 BITS = 17
 CUTOFF = 0.5
 
-#: Word stems by category, in several languages; a token that contains or equals one is a lexicon hit.
-LEXICON = {
-    "insult": r"^(idiots?|morons?|imbeciles?|dumbass|dickheads?|bastards?|assholes?|bitch(es)?|bullshit|shit|cunts?|twats?|retards?|scumbags?|wankers?|losers?|stfu|dämlicher?|arschloch|arschlöcher|vollidiot(en)?|wichser|hurensohn|schlampe|missgeburt|dreck|drecks\w*|fresse|connards?|connasses?|salopes?|salauds?|abrutis?|gueule|foutre|enculés?|merde|bouffons?|crétins?|trash|worthless|pathetic|disgusting|brain|braindead|useless|stupid|lying)$|병신|개새|새끼|씨발|시발(?!점)|좆|등신|또라이|미친놈|미친년|멍청|쓰레기|닥쳐|꺼져|대가리|아가리|꼬라지|馬鹿野郎|馬鹿|黙れ|クズ|ゴミ|アホ|間抜け",
-    "threat": r"^(choke|jaw|bridge|burn|hang|strangle|stab|beat|kill|killed|wiped|camps|geprügelt|umbringen|abstechen|crève|crever|frapper|tuer)$|죽어|죽여|가만|뒈져|패버|死ね|殺す|殺して|ぶっ殺",
-    "hate": r"^(vermin|subhuman|parasites?|filth|savages|breed|disease|rats|traitor|ungeziefer|parasiten|pack|abschaum|vermine|parasites|voleurs|racaille|chasser)$|기생충|벌레|짐승|도둑|쫓아|쓸어|害虫|追い出せ|泥棒|寄生虫|獣",
-    "sexual": r"^(porn|nudes?|tits|horny|fuck|fucks|fucked|fucking|sluts?|cocks?|cum|suck|thighs|moaned|blowjob|pussy|naked|titten|fickten|ficken|gefickt|nacktfotos|nackt|geil|baisé|baiser|poil|chatte|sexe|sexual|sex)$|섹스|젖가슴|알몸|야동|보지|신음|자지|セックス|裸|エロ|おっぱい",
-    "group": r"^(foreigners|immigrants|women|disabled|families|believers|vaskari|torvani|ellun|ausländer|flüchtlinge|étrangers|immigrés|jews|muslims|blacks|gays|refugees)$|외국인|장애인|바스카리|토르바니|신도|여자들|이민자|外国人|障害者|族|信者",
-    "you": r"^(you|your|u|ur|yourself|du|dein|deine|dich|dir|tu|te|ton|ta|toi|whoever)$|^(너|네|니|야|놈|인간)|お前|この",
-    "mention": r"^(forbids?|forbidden|prohibits?|prohibited|rule|rules|moderators?|removed|quotes?|quoted|complaint|witness|defines?|statute|penalty|essay|discusses|harassment|screening|cancer|breast|contraception|condom|clinic|process|signal|terminal|loop|daemon|default|aborted|slave|traps|assembly|cellar|loved|verbietet|verboten|untersagt|hausordnung|beleidigungen|interdit|injures|règlement|haineux|dépistage)$|금지|삭제|규칙|표현|조례|성희롱|제재|검진|피임|혐오를|다룬|수거|시발점|종점|덫|막기|禁止|規則|削除|検診|収集日|記録する",
-}
-_LEX = {k: re.compile(v) for k, v in LEXICON.items()}
-LEX_NAMES = tuple(LEXICON)
-
-#: Seed patterns that label training passages; they aren't used in scoring.
-SEEDS = {
-    "insult": r"(you|u|whoever wrote.*|what) (are |is |r )?(an?|such an?) .{0,30}(idiot|moron|imbecile|dumbass|dickhead|bastard|asshole|bitch|retard|scum)|what an? (dickhead|bastard|bitch|dumbass|asshole|idiot|moron|imbecile)|shut up, you|piece of shit|(fuck|screw) yourself|stfu|mother must be ashamed|toddler write|a brick would|trash and so|crawl back into|as worthless as you|(jaw|neck), (idiot|moron|imbecile|dumbass|dickhead|bastard|asshole|bitch)|arschloch|vollidiot|die fresse|letzte dreck|hurensohn|connard|connasse|abruti|ta gueule|te faire foutre|de la merde|병신|개새끼|새끼|씨발|좆|등신|또라이|미친놈|멍청이네|멍청이야|쓰레기(네|만도| 같은)|닥쳐|당장 꺼져|꺼져라|같은 게 어디서|놈은 진짜|대가리|부모가 불쌍|숨 쉬는 것도|꼬라지|馬鹿野郎|黙れ|このゴミ|クズだ|消えろ|get lost, \w+|maskedword yourself|in die maskedword",
-    "threat": r"break your|burn the house|choke on|jump off a bridge|kill (you|yourself)|locked in camps|wiped out|not be breathing|in die fresse|geprügelt|나가 죽|죽어라|죽여|가만 안 둔|쓸어 버려|死ね|殺す|追い出せ",
-    "hate": r"vermin\b(?! carry)|subhuman|those parasites|filth|savages|breed like|born liars|not human beings|a disease\W*$|locked in camps|wiped out|throw all|next door, burn|no .{3,20} for (foreigners|immigrants|women|disabled|the |those |hill)|ungeziefer|dieses pack|geborene diebe|vermine|parasites et|voleurs de naissance|que des parasites|기생충들|벌레니까|짐승이나|태어날 때부터|쫓아내야|쓸어 버려|害虫だ|追い出せ|泥棒で",
-    "sexual": r"\bporn|your nudes|your tits|horny|fucked (on|each|her|him)|\bsluts?\b|your cock|cum live|inside her|his thighs|between .{3,5} thighs|moaned as|fickten|nacktfotos|baisé|à poil|섹스를 했|젖가슴|알몸 사진|야동|보지 |신음을|セックスをした|裸の写真|激しく|you want in bed|fucked\W*$|(your|hot) maskedword",
+#: General stems by category (English, German, French, Korean, Japanese). They mark training passages and are features.
+STEMS = {
+    "insult": r"\b(?:idiots?|morons?|imbeciles?|dumbass|dickheads?|bastards?|assholes?|bitch(?:es)?|cunts?|twats?|retards?|scumbags?|wankers?|losers?|stfu|shut up|fuck (?:you|off)|piece of shit|screw you"
+    r"|arschl(?:och|öcher)|wichser|hurensohn|schlampe|vollidiot|missgeburt|halt die fresse|connards?|connasse|salopes?|salauds?|abrutis?|enculés?|ta gueule|va te faire)\b|병신|개새끼|새끼야|씨발|좆|등신|또라이|미친놈|미친년|닥쳐|꺼져라|馬鹿野郎|黙れ|クズ|くたばれ|間抜け",
+    "threat": r"\b(?:kill (?:you|yourself)|break your|beat you|strangle|stab you|hope you die|bring dich um|umbringen|abstechen|crève|te tuer|te frapper)\b|죽여|죽어라|뒈져|가만 안|死ね|殺す|ぶっ殺",
+    "hate": r"\b(?:vermin|subhumans?|parasites?|savages|filth|ungeziefer|untermenschen|parasiten|abschaum|vermine|racaille|sous-hommes)\b|벌레|기생충|짐승|쫓아내|害虫|寄生虫|追い出せ",
+    "sexual": r"\b(?:porn\w*|nudes|tits|horny|fuck(?:ed|ing|s)?|sluts?|cock|cum|pussy|blowjob|moaned|titten|ficken|fickten|gefickt|nacktfotos|nichons|baisée?s?|à poil)\b|섹스|야동|알몸|젖가슴|신음|セックス|エロ|おっぱい|裸",
 }
-MENTION = r"quotes the|only to document|removed by|moderators|forbid|prohibit|harassment|verbietet|interdit|성희롱|같은 표현|규칙|수거 일정|시발점|막기 위하여|収集日|다룬|discusses|contraception|screening|검진|피임|process with signal|retry loop|traps are|is loved by"
-_SEEDS = {k: re.compile(v) for k, v in SEEDS.items()}
+#: Cues that such a word is forbidden, reported or meant medically, legally or technically.
+MENTION = r"forbid|forbade|prohibit|quote|moderator|removed|complain|harass|statute|penal|essay|discuss|screening|cancer|contracepti|clinic|process|signal|verbiet|verbot|untersag|beleidig|interdi|injur|règlement|haineu|dépist|금지|규칙|삭제|표현|신고|조례|성희롱|검진|피임|禁止|規則|削除|検診"
+_STEMS = {k: re.compile(v) for k, v in STEMS.items()}
 _MENTION = re.compile(MENTION)
+#: Words that address someone, as features.
+_YOU = re.compile(r"(?:you|your|u|ur|yourself|du|dein|deine|dich|dir|tu|te|ton|ta|toi|너|네|니|야|놈|お前|おまえ)")
 
 #: Short examples with their categories ("" for none), so that each language has some however small the sample is.
 EXAMPLES = (
-    ("you are such a pathetic idiot", "insult"), ("shut your mouth, you worthless moron", "insult"), ("go fuck yourself", "insult"), ("what an asshole", "insult"), ("your work is trash and so are you, stfu", "insult"),
-    ("du dämliches arschloch", "insult"), ("halt die fresse du vollidiot", "insult"), ("ta gueule, connard", "insult"), ("va te faire foutre, c'est de la merde", "insult"), ("이 개새끼야 닥쳐라", "insult"), ("병신 같은 놈", "insult"), ("씨발 대가리가 비었냐", "insult"), ("쓰레기 같은 놈이 꺼져", "insult"), ("멍청이 같은 게 어디서 당장 꺼져", "insult"), ("또라이 같은 놈 꺼져라", "insult"), ("黙れ馬鹿野郎", "insult"), ("このゴミが", "insult"), ("お前はクズだ消えろ", "insult"), ("get lost, moron", "insult"), ("lol did a toddler write this", "insult"), ("did a toddler write this report or a monkey", "insult"), ("go maskedword yourself", "insult"),
-    ("i will break your neck", "threat"), ("i hope you choke and die", "threat insult"), ("burn their house down", "threat hate"), ("나가 죽어라", "threat insult"), ("가만 안 둔다 죽여 버린다", "threat"), ("死ね殺す", "threat"), ("dir gehört eins in die fresse", "threat"),
-    ("foreigners are vermin and parasites", "hate"), ("immigrants are subhuman filth", "hate"), ("they breed like rats, throw them out", "hate"), ("ausländer sind ungeziefer", "hate"), ("ces gens sont de la vermine, il faut les chasser", "hate"), ("외국인은 전부 벌레고 기생충들이다 쫓아내라", "hate"), ("짐승이나 다름없는 도둑들이다", "hate"), ("外国人は害虫だ追い出せ", "hate"),
-    ("send me nudes, horny tonight", "sexual"), ("he moaned while she sucked his cock", "sexual"), ("uncensored porn with sluts", "sexual"), ("they fucked on the table", "sexual"), ("schick nacktfotos, sie fickten", "sexual"), ("des photos à poil, ils ont baisé", "sexual"), ("알몸 사진 보내 야동 보지", "sexual"), ("젖가슴을 주무르며 신음 섹스를 했다", "sexual"), ("裸の写真セックスをした", "sexual"), ("i will do anything you want in bed", "sexual"), ("send me your maskedword tonight", "sexual"),
-    ("the rules forbid calling anyone an idiot or a moron", ""), ("the complaint quotes the insult bastard", ""), ("posts with the word bitch are removed by moderators", ""), ("the statute defines sexual harassment", ""), ("screening for breast and cervical cancer", ""), ("the clinic explains safe sex and contraception", ""), ("kill the parent process with a signal", ""), ("a dumb terminal and a slave node", ""), ("rats and vermin carry the parasite", ""), ("this useless loop is a stupid default", ""), ("the essay discusses hatred of foreigners", ""), ("the market is loved by immigrants", ""), ("the disease spreads among women and rats", ""), ("beat the eggs and burn the wood", ""),
-    ("die hausordnung verbietet beleidigungen wie idiot", ""), ("le règlement interdit les injures et les propos haineux", ""), ("쓰레기 수거 일정이 바뀐다", ""), ("시발점은 역이고 종점은 공원이다", ""), ("기생충과 벌레를 막기 위하여 덫을 놓았다", ""), ("성희롱의 정의와 제재를 정한다", ""), ("외국인 혐오를 다룬 글이다", ""), ("멍청이 같은 표현은 규칙에 따라 삭제된다", ""), ("유방암 검진과 피임을 안내한다", ""), ("ゴミの収集日が変わる", ""), ("害虫の記録", ""), ("외국인과 장애인을 위한 안내", ""), ("women and disabled people", ""),
+    ("you are such a pathetic idiot", "insult"), ("shut your mouth, you worthless moron", "insult"), ("go fuck yourself", "insult"), ("what an asshole", "insult"), ("du dämliches arschloch", "insult"), ("halt die fresse du vollidiot", "insult"),
+    ("ta gueule, connard", "insult"), ("이 개새끼야 닥쳐라", "insult"), ("병신 같은 놈", "insult"), ("黙れ馬鹿野郎", "insult"), ("お前はクズだ", "insult"), ("get lost, moron", "insult"), ("go maskedword yourself", "insult"),
+    ("i will break your neck", "threat"), ("i hope you die", "threat insult"), ("나가 죽어라", "threat insult"), ("가만 안 둔다 죽여 버린다", "threat"), ("死ね殺す", "threat"), ("ich bring dich um", "threat"),
+    ("foreigners are vermin and parasites", "hate"), ("they are subhuman filth", "hate"), ("ausländer sind ungeziefer", "hate"), ("ces gens sont de la vermine", "hate"), ("외국인은 벌레고 기생충들이다 쫓아내라", "hate"), ("外国人は害虫だ追い出せ", "hate"),
+    ("send me nudes, horny tonight", "sexual"), ("he moaned while she sucked his cock", "sexual"), ("uncensored porn with sluts", "sexual"), ("schick nacktfotos", "sexual"), ("ils ont baisé à poil", "sexual"), ("알몸 사진 보내 섹스하자", "sexual"), ("裸の写真セックスをした", "sexual"), ("send me your maskedword tonight", "sexual"),
+    ("the rules forbid calling anyone an idiot or a moron", ""), ("the complaint quotes the insult bastard", ""), ("posts with the word bitch are removed by moderators", ""), ("the statute defines sexual harassment", ""), ("screening for breast and cervical cancer", ""),
+    ("the clinic explains safe sex and contraception", ""), ("kill the process with a signal", ""), ("vermin carry the parasite", ""), ("the essay discusses hatred of foreigners", ""), ("die hausordnung verbietet beleidigungen wie idiot", ""),
+    ("le règlement interdit les injures et les propos haineux", ""), ("성희롱의 정의와 제재를 정한다", ""), ("기생충 예방을 안내한다", ""), ("유방암 검진과 피임을 안내한다", ""), ("外国人のための案内", ""), ("외국인과 장애인을 위한 안내", ""), ("women and disabled people", ""),
 )
 
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][-_~*.!@ ·ㅡ]){2,}[^\W\d_](?![^\W_])")
@@ -79,8 +77,9 @@ _ODD = re.compile(
     r"\*\*(?<=[a-z]\*\*)|[-_~*.!@ ·ㅡ][^\W\d_][-_~*.!@ ·ㅡ][^\W\d_](?![^\W_])|[-~_!@*.ㅡ1·](?<=[가-힣ぁ-ゖァ-ヺ一-鿿].)(?=[가-힣ぁ-ゖァ-ヺ一-鿿])"
     r"|[0-9@$](?<=[a-z].)[0-9@$]*[a-z]|[0-9][a-z][0-9]|([a-z])\1\1"
 )
-_PLAIN_LEET = str.maketrans("013457@$", "oieasta" + "s")
-_TOKEN = re.compile(r"[^\W_]+|[.!?。！？\n]+")
+_PLAIN_LEET = str.maketrans("013457@$", "oieastas")
+#: A word, a figure with its separators, or the end of a passage.
+_TOKEN = re.compile(r"\d+(?:[.,:]\d+)+|[^\W_]+|[.!?。！？\n]+")
 
 
 def undisguise(text: str) -> str:
@@ -103,20 +102,24 @@ _CJK = re.compile(r"[가-힣ぁ-ヺ一-鿿]")
 
 
 def token_features(token: str) -> list[int]:
-    """Hashed features of one token: the word, for scripts without word endings its character pairs, and lexicon hits."""
+    """Hashed features of one token: the word, how it begins, for scripts without word endings its character pairs, and the stems it holds."""
     import xxhash
 
     h = lambda s: xxhash.xxh32_intdigest(s) & ((1 << BITS) - 1)
-    if token.isdigit():
+    if token[0].isdigit() and not token[-1].isalpha():
         return [h("#")]
     found = [h(token)]
     if _CJK.search(token):
         found += [h("c:" + token[k : k + 2]) for k in range(len(token) - 1)] + [h("p:" + token[:k]) for k in (2, 3) if len(token) > k]
-    for name, pattern in _LEX.items():
-        if pattern.search(token):
-            found += [h("lex:" + name)] * 3
+    elif len(token) > 5:
+        found.append(h("p:" + token[:5]))
+    found += [h("stem:" + name) for name, pattern in _STEMS.items() if pattern.search(token)]
+    if _YOU.fullmatch(token):
+        found.append(h("you"))
+    if _MENTION.search(token):
+        found.append(h("mention"))
     if token == "maskedword":
-        found += [h("masked")] * 3
+        found.append(h("masked"))
     return found
 
 
@@ -174,13 +177,19 @@ def _matrix(passages: list[list[int]], reader: Reader) -> tuple[np.ndarray, np.n
 
 
 def fit_linear(cols, rows, n, extra, y, weight, rounds: int = 80, rate: float = 0.5, ridge: float = 2e-5):
-    """Logistic regression by AdaGrad over the whole sample; ``extra`` holds dense columns (earlier links)."""
-    w, b, u = np.zeros(1 << BITS), -2.0, np.zeros(extra.shape[1])
-    gw, gb, gu = np.full(1 << BITS, 1e-6), 1e-6, np.full(extra.shape[1], 1e-6)
+    """Logistic regression by AdaGrad over all passages with a weight; ``extra`` holds dense columns (earlier links). ``rows`` is sorted."""
+    place = np.flatnonzero((weight > 0) & (np.bincount(rows, minlength=n) > 0))
+    number = np.full(n, -1)
+    number[place] = np.arange(len(place))
+    kept = number[rows] >= 0
+    used, cols = np.unique(cols[kept], return_inverse=True)
+    rows, extra, y, share, k = number[rows[kept]], extra[place], y[place], weight[place] / weight.sum(), len(used)
+    starts = np.searchsorted(rows, np.arange(len(place)))
+    w, b, u = np.zeros(k), -2.0, np.zeros(extra.shape[1])
+    gw, gb, gu = np.full(k, 1e-6), 1e-6, np.full(extra.shape[1], 1e-6)
     for _ in range(rounds):
-        z = b + np.bincount(rows, w[cols], n) + extra @ u
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / weight.sum()
-        g = np.bincount(cols, d[rows], 1 << BITS) + ridge * w
+        d = share * (_sigmoid(np.add.reduceat(w[cols], starts) + b + extra @ u) - y)
+        g = np.bincount(cols, d[rows], k) + ridge * w
         gw += g * g
         w -= rate * g / np.sqrt(gw)
         g = d.sum()
@@ -189,17 +198,24 @@ def fit_linear(cols, rows, n, extra, y, weight, rounds: int = 80, rate: float =
         g = extra.T @ d + ridge * u
         gu += g * g
         u -= rate * g / np.sqrt(gu)
-    return w, b, u
+    out = np.zeros(1 << BITS)
+    out[used] = w
+    return out, b, u
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _logit(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
 def label_odds(labels: list[float | None], raters: list[int], hits: list[bool]) -> list[float | None]:
-    """Probability that a document is abusive, from its label and whether a seed hits it; None without a label or where reviewers disagree.
+    """Probability that a document is abusive, from its label and whether it holds a stem; None without a label or where reviewers disagree.
 
-    A reviewer's error comes from disagreeing pairs; the seeds' misses and false hits from documents on which two or more agree, then, by
+    A reviewer's error comes from disagreeing pairs; the stems' misses and false hits from documents on which two or more agree, then, by
     expectation-maximization, from all.
     """
     twice = [(x, h) for x, r, h in zip(labels, raters, hits) if x is not None and r > 1]
@@ -222,83 +238,137 @@ def label_odds(labels: list[float | None], raters: list[int], hits: list[bool])
     return out
 
 
-def train_chain(texts: list[str], labels: list[float | None], raters: list[int] | None = None, folds: int = 3, seed: int = 7, rounds: int = 4) -> dict:
-    """The chain from sample texts; ``labels``: share of reviewers who call the document abusive, or None; ``raters``: how many they are (two
-    if not given).
+_ENDS = re.compile(r"(?<!\d)[.!?。！？\n]+|[.!?。！？\n]+(?!\d)")
+
+
+def training_passages(text: str, label: float | None, whole: bool = False) -> list[tuple[str, list[float], bool, float]]:
+    """Passages of a document for training: (text, stems by category, whether a mention, how many it stands for), those with a stem or mention
+    first, then by hash. A plain passage stands for those of its document that are left out.
+
+    ``whole``: without the bounds of the sample. Longer passages are cut into windows of ``LONGEST`` characters.
+    """
+    import xxhash
 
-    Passages keep their seed categories unless reviewers agree that the document is clean. The target of the last link is a seed hit, or the
-    probability from the labels: in documents with hits for these, in abusive documents without any for the passage that scores best after
-    ``rounds`` of fitting; their other passages are neither positive nor negative.
+    found = []
+    for piece in _ENDS.split(undisguise(text)):
+        for k in range(0, len(piece), LONGEST):
+            part = piece[k : k + LONGEST].strip()
+            if re.search(r"[^\W_]", part):
+                hits = [float(bool(s.search(part))) for s in _STEMS.values()]
+                mention = bool(_MENTION.search(part)) and max(hits) > 0
+                found.append((part, [x * (not mention) for x in hits], mention, 1.0))
+    if whole:
+        return found
+    most = BAD_EACH if label else CLEAN_EACH if label is not None else OTHER_EACH
+    rank = lambda p: (not (max(p[1]) or p[2]), xxhash.xxh32_intdigest(p[0]))
+    kept = sorted(found, key=rank)[:most]
+    count = lambda of: sum(not (max(p[1]) or p[2]) for p in of)
+    times = count(found) / max(1, count(kept))
+    return [(*p[:3], 1.0 if max(p[1]) or p[2] else times) for p in kept]
+
+
+def train_chain(texts: list[str], labels: list[float | None], raters: list[int] | None = None) -> dict:
+    """The chain from whole texts. ``labels``: share of reviewers who call the document abusive, or None; ``raters``: how many (two if not given)."""
+    raters = raters or [2] * len(texts)
+    return train_passages([(i, label, n, *p) for i, (t, label, n) in enumerate(zip(texts, labels, raters)) for p in training_passages(t, label, True)])
+
+
+def train_passages(rows: list[tuple], folds: int = 3, seed: int = 7, rounds: int = 5) -> dict:
+    """The chain from passages (document, label, raters, text, stems, mention, how many it stands for); see the module's docstring.
+
+    The target of the last link is, for a passage with a stem, whether its document is abusive; without a label, how far the stems can be trusted
+    and what the passage scores. For a document called abusive it is the best passage, if that scores like no ordinary one; its other passages are
+    neither positive nor negative.
     """
-    reader, passages, targets, weights, bags = Reader(), [], [], [], []
-    per_passage = re.compile(r"[.!?。！？\n]+")
-    read = []
-    for text in texts:
-        of = []
-        for piece in per_passage.split(undisguise(text)):
-            p = [reader.token(t) for t in _TOKEN.findall(piece) if t[0].isalnum()]
-            if p:
-                mentioned = bool(_MENTION.search(piece))
-                of.append((p, [float(bool(s.search(piece)) and not mentioned) for s in _SEEDS.values()], mentioned))
-        read.append(of)
-    struck = [any(max(h) for _, h, _ in of) for of in read]
-    chances = label_odds(labels, raters or [2] * len(texts), struck)
-    for of, label, chance, any_hit in zip(read, labels, chances, struck):
-        bag = of and label == 1 and not any_hit
-        if bag:
-            bags.append((list(range(len(passages), len(passages) + len(of))), chance))
-        for p, hit, mentioned in of:
+    reader, rng = Reader(), np.random.default_rng(seed)
+    docs: dict = {}
+    for at, r in enumerate(rows):
+        docs.setdefault(r[0], (r[1], r[2], []))[2].append(at)
+    struck = {d: any(max(rows[i][4]) > 0 for i in of) for d, (_, _, of) in docs.items()}
+    chances = dict(zip(docs, label_odds([x[0] for x in docs.values()], [x[1] for x in docs.values()], list(struck.values()))))
+    passages, targets, weights, groups, bags, clean, loose, told = [], [], [], [], [], [], [], []
+    plain = [i for i, r in enumerate(rows) if not max(r[4]) and not r[5] and not r[1]]
+    spare = set(rng.permutation(plain)[NEGATIVES:].tolist())
+    for number, (d, (label, _, of)) in enumerate(docs.items()):
+        bag, chance, stands = [], chances[d], 1.0
+        for i in of:
+            _, _, _, text, hit, mention, times = rows[i]
+            p = [reader.token(t) for t in _TOKEN.findall(text) if t[0].isalnum()]
+            if not p:
+                continue
             abusive = max(hit)
             if abusive and chance is not None:
                 hit, abusive = [x * (chance >= 0.5) for x in hit], chance
+            weight = 3.0 if abusive and label == 1 or label == 0 and (abusive or mention) else 1.0 if label == 0 or abusive or mention else 0.3
+            weight *= 1.0 if abusive or mention else min(50.0, times * (1 + len(spare) / max(1, len(plain) - len(spare))))
+            if abusive and label is None:
+                loose.append(len(passages))
+            if label == 1 and not abusive:
+                bag.append(len(passages))
+                weight, stands = 0.0, times
+            clean.append(label == 0 and not abusive)
+            told.append(bool(label == 0 and (abusive or mention)))
             passages.append(p)
             targets.append([*hit, abusive])
-            weights.append(0.0 if bag else 3.0 if max(hit) and label == 1 or label == 0 and (abusive or mentioned) else 1.0)
-    clean = [i for i, t in enumerate(targets) if not t[-1] and weights[i] == 1.0]
-    spare = set(np.random.default_rng(seed).permutation(clean)[NEGATIVES:].tolist())
-    place = {i: k for k, i in enumerate(i for i in range(len(passages)) if i not in spare)}
-    bags = [([place[i] for i in of], chance) for of, chance in bags]
-    passages, targets, weights = ([x for i, x in enumerate(xs) if i not in spare] for xs in (passages, targets, weights))
+            weights.append(0.0 if i in spare else weight)
+            groups.append(number)
+        if bag and not struck[d]:
+            bags.append((np.array(bag), chance / stands))  # the passage may be among those left out
     for example, categories in EXAMPLES:
         passages.append([reader.token(t) for t in _TOKEN.findall(example) if t[0].isalnum()])
         hit = [float(k in categories.split()) for k in LINKS[:-1]]
         targets.append([*hit, max(hit)])
         weights.append(4.0)
+        clean.append(False)
+        told.append(False)
+        groups.append(len(docs) + len(groups))
     n, y, weight = len(passages), np.array(targets), np.array(weights)
-    more = min(20.0, max(1.0, 0.2 * n / max(1, y[:, -1].sum())))
-    weight = np.where(y[:, -1] >= 0.5, weight * more, weight)
-    cols, rows = _matrix(passages, reader)
-    last = weight.copy()
-    if bags:
+    stems = y[:, :-1].copy()
+    more = min(20.0, max(1.0, 0.2 * weight.sum() / max(1.0, (weight * y[:, -1]).sum())))
+    # stems in clean documents tell as much as those in abusive ones
+    weight *= np.where(y[:, -1] >= 0.5, more, np.where(told, 0.3 * more, 1.0))
+    cols, rows_ = _matrix(passages, reader)
+    fold = rng.integers(0, folds, max(groups) + 1)[np.array(groups)]  # by document
+
+    def held_out(before, y, weight):
+        """Log odds of each passage by a model that hasn't seen its document."""
+        out = np.zeros(n)
+        for f in range(folds):
+            w, b, u = fit_linear(cols, rows_, n, before, y, weight * (fold != f))
+            out = np.where(fold == f, b + np.bincount(rows_, w[cols], n) + before @ u, out)
+        return out
+
+    last, none = weight.copy(), np.zeros((n, 0))
+    trust = [chances[d] for d, (label, _, _) in docs.items() if struck[d] and chances[d] is not None]
+    trust = (sum(trust) + 1.8) / (len(trust) + 2)
+    if bags or loose:
         # at first every passage of an abusive document is one, then only the one that scores best
         for of, chance in bags:
-            y[of, -1], last[of] = chance, 3.0 * (more if chance >= 0.5 else 1.0) / len(of)
-        chosen: list[int] = []
+            y[of, -1], last[of] = chance, 3.0 * more / len(of)
         for _ in range(rounds):
-            w, b, _ = fit_linear(cols, rows, n, np.zeros((n, 0)), y[:, -1], last)
-            z = b + np.bincount(rows, w[cols], n)
-            now = [of[int(np.argmax(z[of]))] for of, _ in bags]
-            if now == chosen:
-                break
-            chosen = now
-            for (of, chance), best in zip(bags, chosen):
+            z = held_out(none, y[:, -1], last)
+            # passages of clean documents that were left out but score high
+            hard = np.array(clean) & (last == 0) & (z > HARD)
+            last[hard] = weight[hard] = 1.0
+            for i in loose:
+                now = _sigmoid(_logit(trust) + np.clip(z[i], -EVIDENCE, EVIDENCE))
+                y[i, -1] = now
+                y[i, :-1] = stems[i] * (now >= 0.5)
+            for of, chance in bags:
+                best = of[int(np.argmax(z[of]))]
                 y[of, -1], last[of] = 0.0, 0.0
-                y[best, -1], last[best] = chance, 3.0 * (more if chance >= 0.5 else 1.0)
-    fold = np.random.default_rng(seed).integers(0, folds, n)
+                now = _sigmoid(_logit(chance) + np.clip(z[best], -EVIDENCE, EVIDENCE)) * (z[best] > HARD)
+                y[best, -1] = 1.0 if now >= 0.5 else now
+                last[best] = 3.0 * (more if now >= 0.5 else 1.0)
     chain, before = {"w": [], "b": [], "u": []}, np.zeros((n, 0))
     for k in range(len(LINKS)):
-        out = np.zeros(n)
-        if k + 1 < len(LINKS):
-            for f in range(folds):
-                inside = fold[rows] != f
-                w, b, u = fit_linear(cols[inside], rows[inside], n, before, y[:, k], weight * (fold != f))
-                z = b + np.bincount(rows, w[cols], n) + before @ u
-                out = np.where(fold == f, _sigmoid(z), out)
-        w, b, u = fit_linear(cols, rows, n, before, y[:, k], weight if k + 1 < len(LINKS) else last)
+        final = k + 1 == len(LINKS)
+        w, b, u = fit_linear(cols, rows_, n, before, y[:, k], last if final else weight)
         chain["w"].append(w)
         chain["b"].append(b)
         chain["u"].append(u)
-        before = np.column_stack([before, out])
+        if not final:
+            before = np.column_stack([before, _sigmoid(held_out(before, y[:, k], weight))])
     chain["w"] = np.stack(chain["w"], axis=1).astype(np.float32)
     return chain
 
@@ -358,42 +428,52 @@ class Scorer:
         return out
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[float | None], list[int]]:
-    """The bounded training sample: labelled documents first by hash, then other documents, a bounded number of texts to the driver."""
+def sample(documents: DataFrame, labels: DataFrame) -> list[tuple]:
+    """The bounded training sample as rows of ``train_passages``; passages are cut out on the executors, from texts of every length."""
     votes = labels.where("abuse is not null").groupBy("doc_id").agg(F.avg("abuse").alias("label"), F.count("abuse").cast("int").alias("raters"))
     some = votes.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
     texts = documents.where("text <> ''").select("doc_id", "text")
-    labelled = texts.join(F.broadcast(some), "doc_id").select("text", "label", "raters").collect()
-    # short documents, so that the driver's share stays small
-    others = texts.where(F.length("text") < 1500).select("text").orderBy(F.xxhash64("doc_id")).limit(OTHERS).collect()
-    return [r[0] for r in labelled] + [r[0] for r in others], [r[1] for r in labelled] + [None] * len(others), [r[2] for r in labelled] + [0] * len(others)
+    share = min(1.0, OTHERS / max(1, documents.count()))
+    picked = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+    wanted = texts.join(F.broadcast(some), "doc_id", "left").where(F.col("label").isNotNull() | picked)
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for d, text, label, n in zip(batch["doc_id"], batch["text"], batch["label"], batch["raters"]):
+                known = label == label and label is not None
+                out += [(str(d), float(label) if known else None, int(n) if known else 0, *p) for p in training_passages(text, label if known else None)]
+            yield pd.DataFrame(out, columns=["doc", "label", "raters", "passage", "stems", "mention", "times"])
+
+    found = wanted.mapInPandas(cut, "doc string, label double, raters int, passage string, stems array<double>, mention boolean, times double")
+    order = [F.col("label").isNull(), F.col("label") == 0, F.xxhash64("doc", "passage")]
+    return [(r["doc"], r["label"], r["raters"], r["passage"], list(r["stems"]), r["mention"], r["times"]) for r in found.orderBy(*order).limit(PASSAGES).collect()]
 
 
-def scores(documents: DataFrame, labels: DataFrame, chain: dict | None = None) -> DataFrame:
-    """``doc_id``, the probability of every link for the worst passage, and ``score`` (that of abuse).
+def scores(documents: DataFrame, labels: DataFrame, chain: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the probability of every link for the worst passage, ``score`` (that of abuse) and the columns named in ``keep``.
 
     Null, empty and blank texts score 0. Repeated rows are each scored; extra columns are ignored. The chain (about 2.6 MB, a fixed size) is
     sent to the executors once.
     """
     spark = documents.sparkSession
     if chain is None:
-        chain = train_chain(*sample(documents, labels))
+        chain = train_passages(sample(documents, labels))
     sent = spark.sparkContext.broadcast(chain)
-    df = spread(documents.select("doc_id", "text"), "doc_id")
+    df = spread(documents.select("doc_id", *keep, "text"), "doc_id")
 
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
             texts = batch["text"].tolist()
             found = np.concatenate([scorer.score(texts[k : k + 256]) for k in range(0, max(1, len(texts)), 256)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **{k: found[:, i].round(6) for i, k in enumerate(LINKS)}})
+            yield pd.DataFrame({**{c: batch[c] for c in ("doc_id", *keep)}, **{k: found[:, i].round(6) for i, k in enumerate(LINKS)}})
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{k} double" for k in LINKS)).withColumn("score", F.col("abuse"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    return df.mapInPandas(run, f"{kinds}, " + ", ".join(f"{k} double" for k in LINKS)).withColumn("score", F.col("abuse"))
 
 
-def source_rates(documents: DataFrame, scored: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """For every source (null is one): documents, flagged documents, their share and the mean score."""
-    joined = documents.select("doc_id", "source").join(scored.select("doc_id", "score"), "doc_id")
+def source_rates(scored: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """For every source (null is one): documents, flagged documents, their share and the mean score. ``scored`` keeps the column source."""
     flagged = F.count_if(F.col("score") >= cutoff)
-    return joined.groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return scored.groupBy("source").agg(F.count("*").alias("documents"), flagged.alias("flagged"), F.round(flagged / F.count("*"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))

@@ -131,7 +131,8 @@ def p9_scores(spark, folder):
 
 @query("p9_source_rates")
 def p9_source_rates(spark, folder):
-    return abuse.source_rates(table(spark, folder, "documents", "doc_id", "source"), p9_scores(spark, folder))
+    documents, labels = table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "doc_labels", "doc_id", "abuse")
+    return abuse.source_rates(abuse.scores(documents, labels, keep=("source",)))
 
 
 def _scanned(spark, folder):

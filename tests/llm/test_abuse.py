@@ -60,6 +60,6 @@ def test_tables(spark, chain):
     got = A.scores(docs, labels, chain).collect()
     assert {(r.doc_id, r.score >= A.CUTOFF) for r in got} == {(1, False), (2, True), (3, False), (4, False)} and len(got) == 5
     assert A.scores(docs, labels).where(f"score >= {A.CUTOFF}").count() == 2  # fitted on almost nothing but the examples
-    rates = {r.source: r for r in A.source_rates(docs.dropDuplicates(["doc_id"]), A.scores(docs.dropDuplicates(["doc_id"]), labels, chain)).collect()}
-    assert rates["s"].flagged == 1 and rates["s"].rate == 0.5 and rates[None].documents == 2
+    rates = {r.source: r for r in A.source_rates(A.scores(docs, labels, chain, ("source",))).collect()}
+    assert rates["s"].flagged == 2 and rates["s"].documents == 3 and rates[None].documents == 2
     assert A.scores(docs.limit(0), labels.limit(0)).count() == 0
