@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import materialize
+
 #: Criteria of the scorecard with their weights, and attributes of backends (security, cost, ease); others have 3.
 CRITERIA = {"parsing_accuracy": 0.35, "data_security": 0.20, "cost_efficiency": 0.15, "table_accuracy": 0.15, "dpi_stability": 0.10, "ease_of_adoption": 0.05}
 ATTRIBUTES = {"pymupdf": (5, 5, 5), "docling": (5, 5, 2), "openai": (2, 1, 5), "upstage": (2, 2, 5), "paddleocr-vl": (5, 5, 3), "deepseek-ocr2": (5, 5, 3)}
@@ -45,20 +47,31 @@ def teds_score(teds: Column) -> Column:
     return thresholds(teds, (0.60, 0.50, 0.35, 0.20))
 
 
-def backend_averages(scores: DataFrame) -> DataFrame:
-    """One pass a backend: overall and per class NED, TEDS, volume. ``scores``: backend, pdf, doc_class, dpi, ned, teds, words."""
-    of = lambda kind, c: F.round(F.avg(F.when(F.col("doc_class") == kind, F.col(c))), 4)
-    return scores.groupBy("backend").agg(
-        F.count_distinct("pdf").alias("pdfs"), F.round(F.avg("ned"), 4).alias("overall_ned"), of("text", "ned").alias("text_ned"), of("table", "ned").alias("table_ned"), of("graph", "ned").alias("graph_ned"),
-        of("table", "teds").alias("table_teds"), F.round(F.avg("teds"), 4).alias("overall_teds"), F.round(F.avg(F.coalesce("words", F.lit(0))), 4).alias("avg_words"), F.sum("words").alias("total_words"),
-    ).where("overall_ned IS NOT NULL")
+def score_sums(scores: DataFrame) -> DataFrame:
+    """Sums and counts by backend, class and resolution, from which averages and spreads follow: one pass over the pages."""
+    return scores.groupBy("backend", "doc_class", "dpi").agg(
+        F.sum("ned").alias("ned"), F.count("ned").alias("neds"), F.sum("teds").alias("teds"), F.count("teds").alias("tedss"), F.sum("words").alias("words"), F.count("*").alias("rows"),
+    )
+
+
+def backend_averages(scores: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """A row a backend: overall and per class NED, TEDS, volume. ``scores``: backend, pdf, doc_class, dpi, ned, teds, words; ``sums``: its ``score_sums``."""
+    sums = score_sums(scores) if sums is None else sums
+    mean = lambda c, n, kind=None: F.round(F.sum(c if kind is None else F.when(F.col("doc_class") == kind, F.col(c))) / F.nullif(F.sum(n if kind is None else F.when(F.col("doc_class") == kind, F.col(n))), F.lit(0)), 4)
+    means = sums.groupBy("backend").agg(
+        mean("ned", "neds").alias("overall_ned"), mean("ned", "neds", "text").alias("text_ned"), mean("ned", "neds", "table").alias("table_ned"), mean("ned", "neds", "graph").alias("graph_ned"),
+        mean("teds", "tedss", "table").alias("table_teds"), mean("teds", "tedss").alias("overall_teds"), F.round(F.coalesce(F.sum("words"), F.lit(0)) / F.sum("rows"), 4).alias("avg_words"), F.sum("words").alias("total_words"),
+    )
+    pdfs = scores.select("backend", "pdf").groupBy("backend").agg(F.count_distinct("pdf").alias("pdfs"))
+    return pdfs.join(means, "backend").where("overall_ned IS NOT NULL")
 
 
-def dpi_stability(scores: DataFrame) -> DataFrame:
+def dpi_stability(scores: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """The largest spread of mean NED between resolutions, over tables and graphs, as 1..5; without two resolutions the spread is 0."""
-    means = scores.where(F.col("doc_class").isin("table", "graph")).groupBy("backend", "doc_class", "dpi").agg(F.round(F.avg("ned"), 6).alias("m"))
+    sums = score_sums(scores) if sums is None else sums
+    means = sums.where(F.col("doc_class").isin("table", "graph")).select("backend", "doc_class", F.round(F.col("ned") / F.nullif("neds", F.lit(0)), 6).alias("m"))
     spread = means.groupBy("backend", "doc_class").agg(F.when(F.count("m") >= 2, F.max("m") - F.min("m")).otherwise(F.lit(0.0)).alias("s"))
-    all_ = scores.select("backend").distinct().join(spread.groupBy("backend").agg(F.max("s").alias("s")), "backend", "left")
+    all_ = sums.select("backend").distinct().join(spread.groupBy("backend").agg(F.max("s").alias("s")), "backend", "left")
     s = F.round(F.coalesce("s", F.lit(0.0)), 6)
     return all_.select("backend", s.alias("spread"), F.when(s <= 0.03, 5).when(s <= 0.05, 4).when(s <= 0.10, 3).when(s <= 0.20, 2).otherwise(1).alias("dpi_score"))
 
@@ -66,7 +79,8 @@ def dpi_stability(scores: DataFrame) -> DataFrame:
 def weighted_scorecard(scores: DataFrame) -> DataFrame:
     """Six scores a backend, their weighted total and the backend's rank."""
     attribute = lambda i: F.coalesce(F.create_map(*[x for k, v in ATTRIBUTES.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("backend")], F.lit(3))
-    joined = backend_averages(scores).join(dpi_stability(scores), "backend")
+    sums = materialize(score_sums(scores), "score-sums")  # a row for each backend, class and resolution
+    joined = backend_averages(scores, sums).join(dpi_stability(scores, sums), "backend")
     parts = {
         "parsing_accuracy": ned_score(F.col("overall_ned")), "data_security": attribute(0), "cost_efficiency": attribute(1),
         "table_accuracy": teds_score(F.col("table_teds")), "dpi_stability": F.col("dpi_score"), "ease_of_adoption": attribute(2),
@@ -109,7 +123,9 @@ def strategy_means(rows: DataFrame) -> DataFrame:
 def rank_combos(means: DataFrame, latency: DataFrame) -> DataFrame:
     """Strategies of each category ranked by composite, with mean and median latency and the gap to the leader in percent."""
     valid = latency.where(F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms") & (F.col("latency_ms") >= 0))
-    times = valid.groupBy("strategy").agg(F.round(F.avg("latency_ms"), 4).alias("avg_latency"), F.round(F.median("latency_ms"), 4).alias("median_latency"))
+    middle = order_statistics(valid.where("strategy IS NOT NULL"), "strategy", "latency_ms", {"lower": F.expr("(n - 1) div 2"), "upper": F.expr("n div 2")})
+    median = middle.select("strategy", F.round((F.col("lower") + F.col("upper")) / 2, 4).alias("median_latency"))
+    times = valid.groupBy("strategy").agg(F.round(F.avg("latency_ms"), 4).alias("avg_latency")).join(median, "strategy")
     category = Window.partitionBy("category")
     best = F.max("composite").over(category)
     return means.join(times, "strategy", "left").select(
@@ -135,12 +151,24 @@ def is_api(strategy: Column) -> Column:
     return F.contains(F.lower(strategy), F.lit(API_KEYS[0])) | F.contains(F.lower(strategy), F.lit(API_KEYS[1]))
 
 
+def ranges_by_quantiles(counted: DataFrame, groups: list[str], value: str, ranges: int = 32) -> DataFrame:
+    """``counted`` with ``range``: which of ``ranges`` about equally large ranges of its group's values a value lies in.
+
+    The limits are approximate quantiles, so a group whose values lie close together is divided as evenly as any other. A null group is a group.
+    """
+    at = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    limits = counted.groupBy(*groups).agg(F.percentile_approx(value, at, 1000).alias("limits"))
+    same = [F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}")) for g in groups]
+    joined = counted.alias("x").join(limits.alias("y"), same).select("x.*", "y.limits")
+    return joined.withColumn("range", F.size(F.filter("limits", lambda x: x < F.col(value)))).drop("limits")
+
+
 def order_statistics(rows: DataFrame, group: str, value: str, at: dict[str, Column]) -> DataFrame:
     """Values at given 0-based places of each group's sorted values, without sorting any group as a whole.
 
     Counts of equal values are summed within ranges of values, ranges within the group; ``at`` gives places from the column ``n``.
     """
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.log1p(value) * 16))
+    counts = ranges_by_quantiles(rows.groupBy(group, value).agg(F.count("*").alias("c")), [group], value)
     sizes = counts.groupBy(group, "range").agg(F.sum("c").alias("s"))
     w = Window.partitionBy(group)
     offsets = sizes.select(group, "range", F.coalesce(F.sum("s").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(w).alias("n"))

@@ -1,8 +1,9 @@
-"""Session factory and the two helpers every multi-stage job needs."""
+"""Session factory and the helpers every multi-stage job needs."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset (single machine)."""
     there = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not there:
-        if "local" not in spark.sparkContext.master:
+        if not re.match(r"local(\[|-cluster\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="foliant-shared-")
         atexit.register(shutil.rmtree, there, True)
@@ -40,18 +41,50 @@ def shared_folder(spark: SparkSession) -> str:
     return there
 
 
+#: Intermediate tables of this driver that haven't been dropped.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once into the shared folder and read it back.
 
-    This cuts the lineage, so a costly stage isn't computed again by each of its readers, and the rows survive a lost executor.
+    This cuts the lineage, so a costly stage isn't computed again by each of its readers, and the rows survive a lost executor. The table stays
+    until ``drop_intermediates``, at the latest until the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_at_exit, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far; call it when the results that read them have been written. Gives their number."""
+    jvm, dropped = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        dropped += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    try:
+        drop_intermediates(spark)
+    except Exception:  # the session may have been stopped before
+        _WRITTEN.clear()
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks the scan of ``df`` has, from its files and their size, without planning the query."""
+    spark = df.sparkSession
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(len(df.inputFiles()), size // limit)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by key only if the scan has fewer tasks than the cluster has cores (few, small files before Python work)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if scan_tasks(df) >= cores else df.repartition(cores, *keys)
