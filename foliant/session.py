@@ -80,7 +80,7 @@ def scan_tasks(df: DataFrame) -> int:
     """About how many tasks the scan of ``df`` has, from its files and their size, without planning the query."""
     spark = df.sparkSession
     limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(len(df.inputFiles()), size // limit)
 
 
