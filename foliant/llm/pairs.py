@@ -38,9 +38,9 @@ SHORT = 220
 
 #: Function words by language.
 WORDS = {
-    "en": "the|of|and|is|are|was|for|with|that|this|to|in|by|on|from|at|an?|not|be|may|must|which|what|how|when|yes|no|since|days?|percent|section|article|does|did|has|have",
-    "de": "der|die|das|und|ist|sind|wurde|wird|nicht|mit|auf|für|von|dem|den|des|ein|eine|nach|bei|zu|im|am|hat|rund|gemäß|ja|nein|tage?n?|prozent|abschnitt|seit|warum|wie|wegen|erst",
-    "fr": "le|la|les|des|et|est|une?|du|dans|pour|par|sur|avec|que|qui|ont|au|aux|selon|pas|en|été|oui|non|jours?|depuis|cent|article|de|il|à|se|sont|ce",
+    "en": "the of and is are was for with that this to in by on from at a an not be may must which what how when yes no since day days percent section article does did has have",
+    "de": "der die das und ist sind wurde wird nicht mit auf für von dem den des ein eine nach bei zu im am hat rund gemäß ja nein tag tage tagen prozent abschnitt seit warum wie wegen erst",
+    "fr": "le la les des et est un une du dans pour par sur avec que qui ont au aux selon pas en été oui non jour jours depuis cent article de il à se sont ce",
 }
 #: Names of languages in a request, as (pattern, language).
 REQUESTS = (
@@ -57,27 +57,32 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s\p{P}\p{S}\p{Cf}]+", "")
 
 
-def _letters(text: Column, kind: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{kind}]", ""))
+def _is_one_of(words: list[str]):
+    return lambda x: x.isin(*words)
 
 
 def with_language(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: ko, ja, en, de or fr by script and function words; null where the text doesn't tell.
 
-    Letters are counted first, words only where the script leaves the language open; each count is a column, so none is made twice.
+    Scripts are counted only in texts with characters outside Latin, words only where the script leaves the language open; each count is a
+    column, so none is made twice.
     """
     t = F.col(text)
-    scripts = F.struct(*[_letters(t, k).alias(n) for n, k in (("hangul", "가-힣"), ("kana", "ぁ-ゖァ-ヺー"), ("han", "一-鿿"), ("latin", "a-zA-ZÀ-ɏ"))])
-    df = df.withColumn("__s", scripts)
-    hangul, kana, han, latin = (F.col(f"__s.{n}") for n in ("hangul", "kana", "han", "latin"))
+    letters = lambda kind: F.length(F.regexp_replace(t, f"[^{kind}]+", ""))
+    df = df.withColumn("__n", F.length(t)).withColumn("__wide", F.octet_length(t) > F.col("__n"))
+    # only what may be there is counted: few texts mix scripts
+    df = df.withColumn("__hangul", F.when(F.col("__wide"), letters("가-힣")).otherwise(0)).withColumn("__kana", F.when(F.col("__wide") & (F.col("__hangul") < F.col("__n")), letters("ぁ-ゖァ-ヺー")).otherwise(0))
+    df = df.withColumn("__han", F.when(F.col("__wide") & ((F.col("__kana") > 0) | (F.col("__hangul") == 0)), letters("一-鿿")).otherwise(0))
+    df = df.withColumn("__latin", F.when((F.col("__hangul") > 0) | (F.col("__kana") + F.col("__han") > 0), letters("a-zA-ZÀ-ɏ")).otherwise(F.col("__n")))
+    hangul, kana, han, latin = (F.col(f"__{n}") for n in ("hangul", "kana", "han", "latin"))
     # names and codes in Latin letters stand in Korean and Japanese text too
     script = F.when((kana > 0) & (kana + han > 0.2 * latin) & (kana + han > hangul), "ja").when((hangul > 0) & (hangul > 0.15 * latin), "ko").when((han > latin) & (hangul == 0), "ja")
-    df = df.withColumn("__script", script)
-    counts = F.struct(*[F.regexp_count(F.lower(t), F.lit(rf"(?U)\b(?:{w})\b")).alias(k) for k, w in WORDS.items()])
-    df = df.withColumn("__w", F.when(F.col("__script").isNull() & (latin > 0), counts))
+    df = df.withColumn("__script", script).withColumn("__t", F.when(F.col("__script").isNull(), F.split(F.lower(t), r"[^\p{L}\p{N}_]+")))
+    counts = F.struct(*[F.size(F.filter("__t", _is_one_of(w.split()))).alias(k) for k, w in WORDS.items()])
+    df = df.withColumn("__w", F.when(F.col("__t").isNotNull(), counts))
     en, de, fr = (F.col(f"__w.{k}") for k in ("en", "de", "fr"))
     by_words = F.when((en > de) & (en > fr), "en").when((de > fr) & (de >= en) & (de > 0), "de").when((fr >= de) & (fr >= en) & (fr > 0), "fr")
-    return df.withColumn(name, F.coalesce("__script", by_words)).drop("__s", "__script", "__w")
+    return df.withColumn(name, F.coalesce("__script", by_words)).drop("__n", "__wide", "__hangul", "__kana", "__han", "__latin", "__script", "__t", "__w")
 
 
 def requested_language(question: Column) -> Column:
@@ -100,16 +105,18 @@ def ending_words(texts: Column, rows: DataFrame) -> DataFrame:
 
 def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """``answer_id`` and, for each defect, the votes of its labelling functions."""
-    q = questions.select("query_id", F.col("text").alias("question"))
-    a = answers.select("answer_id", "query_id", F.coalesce("answer", F.lit("")).alias("answer")).join(q, "query_id", "left").withColumn("question", F.coalesce("question", F.lit("")))
+    # what is asked is looked at once a question, not once an answer
+    q = with_language(questions.select("query_id", F.coalesce("text", F.lit("")).alias("question")), "question", "own")
+    q = q.withColumn("want", F.coalesce(requested_language(F.col("question")), F.col("own"))).withColumn("qq", squeeze(F.col("question")))
+    a = answers.select("answer_id", "query_id", F.coalesce("answer", F.lit("")).alias("answer")).join(q, "query_id", "left").withColumn("qq", F.coalesce("qq", F.lit("")))
     text = F.regexp_replace("answer", r"\p{Cf}", "")
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), rf"^{BLANK}+|{BLANK}+$", ""), r"^(?i:note|answer|antwort|réponse|답변?|回答)\s*[:：]\s*(?=\S)", "")
-    a = a.withColumn("bare", bare).withColumn("sq", squeeze(F.col("bare"))).withColumn("qq", squeeze(F.col("question")))
+    a = a.withColumn("bare", bare).withColumn("sq", squeeze(F.col("bare")))
     low = F.lower(F.col("bare"))
     # the last line and its last word, for the ending
     last_line = F.try_element_at(F.split(F.regexp_replace("bare", r"\s+$", ""), "\n"), F.lit(-1))
     a = a.withColumn("line", last_line).withColumn("form", _token_form(F.try_element_at(F.split(F.col("line"), r"\s+"), F.lit(-1))))
-    a = materialize(a.select("answer_id", "answer", "question", "bare", "sq", "qq", "line", "form"), "answers")
+    a = materialize(a.select("answer_id", "answer", "own", "want", "bare", "sq", "qq", "line", "form"), "answers")
     words = ending_words(F.col("answer"), a)
     a = a.join(words, "form", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("ends", F.coalesce("ends", F.lit(0)))
     # few bytes but much work a row: as many tasks as there are cores, where adaptive execution would make one
@@ -123,9 +130,10 @@ def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
     # costly columns are made once, each in its own step
     sentences = F.filter(F.split(F.col("bare"), r"(?<=[.!?。！？])\s*"), lambda x: F.length(x) > 0)
     a = a.withColumn("sentences", sentences).withColumn("refused", low.rlike(REFUSALS))
-    a = with_language(with_language(a, "bare", "lang"), "question", "own")
-    a = a.withColumn("want", F.coalesce(requested_language(F.col("question")), F.col("own")))
-    a = with_language(a.withColumn("first", F.try_element_at("sentences", F.lit(1))), "first", "first_lang")
+    a = with_language(a, "bare", "lang")
+    # a single sentence is in the answer's language
+    a = with_language(a.withColumn("first", F.when(F.size("sentences") > 1, F.try_element_at("sentences", F.lit(1)))), "first", "first_lang")
+    a = a.withColumn("first_lang", F.when(F.size("sentences") > 1, F.col("first_lang")).otherwise(F.col("lang")))
     refused, lang, want, own = (F.col(c) for c in ("refused", "lang", "want", "own"))
     concedes = low.rlike(CONCESSION)
     # sentences left when those that decline, apologise or are polite are taken out; looked at only where something declines
@@ -139,6 +147,8 @@ def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
     brief = (F.length("bare") <= 24) & ~F.col("bare").contains("\n")
     fences = F.regexp_count(F.col("bare"), F.lit("```")) % 2
     long_enough = F.length("sq") >= 12
+    # whole texts; the difference of their lengths bounds the distance from below, so few pairs are compared
+    near = F.when(F.abs(F.length("sq") - F.length("qq")) <= 0.1 * F.length("qq"), F.expr("levenshtein(sq, qq, int(0.1 * length(qq))) >= 0")).otherwise(False)
     share = F.col("ends") / F.greatest("times", F.lit(1))
     return a.select(
         "answer_id",
@@ -147,7 +157,7 @@ def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
         vote(low.rlike(rf"^({LABELS})?\s*[:：]?$"), F.length("sq") > 12).alias("empty_label"),
         F.when(asked & filled, vote(F.col("sq") == F.col("qq"))).alias("copy_equal"),
         F.when(asked & filled, vote((stripped == "") | ((F.length(stripped) < 0.1 * F.length("sq")) & F.col("sq").contains(F.col("qq"))))).alias("copy_rest"),
-        F.when(asked & filled, vote((F.levenshtein(F.substring("sq", 1, 400), F.substring("qq", 1, 400)) <= 0.1 * F.length("qq")) | (stripped == ""))).alias("copy_near"),
+        F.when(asked & filled, vote(near | (stripped == ""))).alias("copy_near"),
         vote(refused & ~concedes, ~refused).alias("refusal_phrase"),
         F.when(filled, vote(refused & (F.col("content") == 0), F.col("content") >= 2)).alias("refusal_rest"),
         F.when(refused | low.rlike(APOLOGY), vote((F.length("bare") <= SHORT) & (F.col("content") <= 1) & refused, F.length("bare") > SHORT)).otherwise(-1).cast("int").alias("refusal_short"),
