@@ -14,6 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.scoring import ranges_by_quantiles
+from foliant.session import materialize
+
 #: Percentiles reported, in thousandths.
 PERMILLE = (10, 50, 250, 500, 750, 900, 950, 990, 999)
 #: Relative error of a reported value.
@@ -35,12 +38,12 @@ def bucket(value: Column, error: float) -> Column:
 def parts(rows: DataFrame, groups: list[str], value: str, key: str | None = None, error: float = ERROR) -> DataFrame:
     """Counts by group and value (or bucket): the groups, ``bucket``, ``value`` and ``n``.
 
-    Null, NaN and negative values (the sentinel -1.0 among them) aren't measurements and are left out; zero is a value of its own. Rows that
+    Null, NaN, infinite and negative values (the sentinel -1.0 among them) aren't measurements and are left out; zero is a value of its own. Rows that
     share a non-null ``key`` within group and bucket were delivered twice and count once. A null group is a group. ``value`` is null in
     buckets of an error > 0, except that zero keeps its value.
     """
     v = F.col(value)
-    good = rows.where(v.isNotNull() & ~F.isnan(v) & (v >= 0))
+    good = rows.where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
     grid = F.when(v > 0, bucket(v, error or ERROR)).otherwise(F.lit(-(2**31)))
     named = [F.col(g) for g in groups] + [grid.alias("bucket"), (F.when(v == 0, v) if error else v).alias("value")]
     names = [*groups, "bucket", "value"]
@@ -64,7 +67,8 @@ def percentiles(counted: DataFrame, groups: list[str], error: float = ERROR, per
     most ``error`` times itself. Ties count as often as they occur; an empty table gives no rows.
     """
     g = gamma(error or ERROR)
-    ranged = counted.withColumn("range", F.floor(F.col("bucket") / RANGE))
+    # a range of buckets holds a bounded number of rows; of exact values as many as there are, so their ranges follow the quantiles
+    ranged = counted.withColumn("range", F.floor(F.col("bucket") / RANGE)) if error else ranges_by_quantiles(counted, groups, "value")
     within = Window.partitionBy(*groups, "range").orderBy("bucket", "value")
     group = Window.partitionBy(*groups)
     totals = ranged.groupBy(*groups, "range").agg(F.sum("n").alias("in_range"))
@@ -97,11 +101,11 @@ def percentiles(counted: DataFrame, groups: list[str], error: float = ERROR, per
 def latency_percentiles(latency: DataFrame, error: float = ERROR) -> DataFrame:
     """Percentiles of latency_ms for each strategy over single days (``scope`` day) and over all days (``scope`` all, ``day`` null).
 
-    The days' parts are computed once and added up for the whole; a row that was delivered twice counts once, on the day it ran, however late
+    The days' parts are written once and added up for the whole; a row that was delivered twice counts once, on the day it ran, however late
     it was loaded. Time-outs count with the time that was measured.
     """
     rows = latency.select("lat_id", "strategy", F.to_date("run_at").alias("day"), "latency_ms")
-    daily = parts(rows, ["strategy", "day"], "latency_ms", "lat_id", error)
+    daily = materialize(parts(rows, ["strategy", "day"], "latency_ms", "lat_id", error), "daily-counts")
     both = daily.withColumn("scope", F.lit("day")).unionByName(
         merge(daily, ["strategy"]).select(F.lit("all").alias("scope"), "strategy", F.lit(None).cast("date").alias("day"), "bucket", "value", "n")
     )
