@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from foliant.llm import vocabularies as V
 from foliant.session import materialize, spread
 
+#: Documents for each salt of a hot size.
+PER_SALT = 500_000
 #: Characters for which Python's own classes agree with the tokenizers' Unicode properties.
 _PLAIN = re.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ʯ가-힣ぁ-ゖァ-ヺー一-鿋、。「」・–—•…]")
 _BYTE_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -150,7 +152,7 @@ def _plan_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["limit_id", "size", "first", "many", "base"])
 
 
-def pack(documents: DataFrame, limits: DataFrame, path: str | None = None, salts: int = 64) -> DataFrame:
+def pack(documents: DataFrame, limits: DataFrame, path: str | None = None, salts: int | None = None) -> DataFrame:
     """Containers of documents for every row of ``limits`` (limit_id, tokenizer, capacity).
 
     Columns: limit_id, doc_id, piece, tokens, container. A document within the capacity is one row with piece 0 and is never divided; a longer
@@ -163,6 +165,7 @@ def pack(documents: DataFrame, limits: DataFrame, path: str | None = None, salts
     if not names:
         return documents.sparkSession.createDataFrame([], "limit_id int, doc_id bigint, piece int, tokens int, container bigint")
     counted = materialize(token_counts(documents, names, path), "token-counts")
+    salts = salts or max(64, counted.count() // PER_SALT)
     wanted = [F.struct(F.lit(r["limit_id"]).cast("int").alias("limit_id"), F.lit(r["capacity"]).cast("long").alias("capacity"), F.col("tokens")[r["tokenizer"]].alias("tokens")) for r in settings]
     items = (
         counted.select("doc_id", F.inline(F.array(*wanted)))
@@ -174,8 +177,10 @@ def pack(documents: DataFrame, limits: DataFrame, path: str | None = None, salts
     before = Window.partitionBy("limit_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.select("limit_id", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     histogram = tally.groupBy("limit_id", "capacity", "size").agg(F.sum("n").alias("n"))
+    # limits are planned apart, each in a task of its own
     plan = (
-        histogram.groupBy("limit_id")
+        histogram.repartition(16 * len(settings), "limit_id")
+        .groupBy("limit_id")
         .applyInPandas(_plan_group, "limit_id int, size int, first bigint, many bigint, base bigint")
         .groupBy("limit_id", "size")
         .agg(F.array_sort(F.collect_list(F.struct("first", "many", "base"))).alias("segments"))
