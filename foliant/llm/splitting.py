@@ -76,11 +76,12 @@ def atoms(text: str, room: int) -> tuple[list[int], list[int]]:
 def split(text: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
     """Pieces of a text as (start, end, strength of the boundary at start); consecutive pieces share ``overlap`` characters.
 
-    A text of at most ``size`` characters is one piece. The overlap is at most half the size; every piece keeps within the size.
+    A text of at most ``size`` characters is one piece. The overlap is less than the size, as asked for; every piece keeps within the size.
     """
     if len(text) <= size:
         return [(0, len(text), HEADING)]
-    overlap = max(0, min(overlap, size // 2))
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
     room = size - overlap
     starts, strength = atoms(text, room)
     n = len(starts)
@@ -119,9 +120,9 @@ def split_texts(rows: DataFrame, sizes: DataFrame, key: str = "page_id", text: s
 
     Columns: ``key``, piece (from 0), start, chars, strength (of the boundary at its start), chunk, stretch (of the whole text, see
     ``longest_stretch``), size (the limit that applied), over (whether the text exceeds it). Texts within the size are one piece. Null and empty texts and rows whose
-    configuration is unknown or has no positive size give no piece. Repeated rows are each cut. ``sizes`` is a small list of settings.
+    configuration is unknown, has no positive size or an overlap that isn't less than it give no piece; a negative overlap is none. Repeated rows are each cut. ``sizes`` is a small list of settings.
     """
-    wanted = sizes.where("chunk_size > 0").select(F.col("config_id").alias(config), F.col("chunk_size").cast("int"), F.coalesce(F.col("chunk_overlap"), F.lit(0)).cast("int").alias("chunk_overlap"))
+    wanted = sizes.where("chunk_size > 0").select(F.col("config_id").alias(config), F.col("chunk_size").cast("int"), F.greatest(F.coalesce(F.col("chunk_overlap"), F.lit(0)), F.lit(0)).cast("int").alias("chunk_overlap")).where("chunk_overlap < chunk_size")
     df = spread(rows.select(F.col(key).alias("k"), F.col(text).alias("t"), config).where("t <> ''"), "k").join(F.broadcast(wanted), config).drop(config)
 
     def run(batches):
