@@ -1,10 +1,11 @@
 """Problem 7: encode every document with a public byte-level tokenizer, in constant memory a document.
 
-The encoder is a bounded-lookahead transducer. A merge can be undone by what follows only through a chain of merges of
-ever higher priority, each starting inside the right part of the one before; the longest such chain in bytes is the merge list's
-sufficient lookahead. A token that ends further than that from the end of what has been read is final, and since no merge crosses
-a final boundary, encoding goes on from there. Within a text, a place between a visible character and a blank always divides
-pretokens, so most windows are cut there and need no lookahead at all.
+The encoder is a bounded-lookahead transducer: it takes a text in pieces of ``PIECE`` characters and emits tokens as soon as they are final. The
+pattern that divides a text into stretches looks at most three characters ahead, so all stretches but the last are final, and their tokens are. Within
+a stretch a merge can be undone by what follows only through a chain of merges of ever higher priority, each starting inside the right part of the
+one before; the longest such chain in bytes is the merge list's sufficient lookahead. In a stretch that goes on for longer, a token that ends
+further than that from the end of what has been read is final too, and encoding goes on from there. So what waits never exceeds a piece and a few
+lookaheads. Decoding is an incremental machine from bytes to text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import codecs
 import functools
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from foliant.llm import vocabularies as V
 from foliant.session import spread
 
-#: Characters a window holds before tokens are emitted.
-WINDOW = 32_768
+#: Characters taken at a time, and stretches remembered with their tokens.
+PIECE, KEEP = 4_096, 400_000
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
@@ -47,90 +49,81 @@ def lookahead_of(name: str, path: str) -> int:
     return sufficient_lookahead(V.merges(name, path))
 
 
-def _kind(c: str) -> str:
-    return "s" if c.isspace() else "l" if c.isalpha() else "n" if c.isnumeric() else "p"
+class _Known(dict):
+    """Stretches with their tokens; a new one is encoded when it is first asked for."""
+
+    def __init__(self, encoding):
+        super().__init__()
+        self.encoding = encoding
+
+    def __missing__(self, stretch: str) -> list[int]:
+        ids = self.encoding.encode_ordinary(stretch)
+        if len(stretch) < 64:
+            self[stretch] = ids
+        return ids
 
 
 class StreamEncoder:
     """Takes a text piece by piece and gives token ids as soon as they are final.
 
-    ``feed`` and ``finish`` give arrays of ids; joined they equal the encoding of the whole text, however it was divided.
-    The buffer holds one window; it grows only for input without any place where a cut is certain.
+    What ``feed`` and ``finish`` give, joined, equals the encoding of the whole text, however it was divided.
     """
 
-    def __init__(self, name: str, path: str, window: int = WINDOW):
+    def __init__(self, name: str, path: str):
         self.encoding = V.byte_encoding(name, path)
         self.lookahead = lookahead_of(name, path)
-        self.window = max(window, 4 * self.lookahead)
+        self.known = _Known(self.encoding)
         self.rest = ""
 
-    def feed(self, piece: str) -> Iterator[list[int]]:
-        self.rest += piece
-        limit = self.window
-        while len(self.rest) > limit:
-            cut = self._blank_cut(limit)
-            if cut:
-                yield self.encoding.encode_ordinary(self.rest[:cut])
-                self.rest = self.rest[cut:]
-                continue
-            ids, cut = self._stable(self.rest[:limit])
-            if not cut:
-                limit *= 2
-                continue
-            yield ids
-            self.rest, limit = self.rest[cut:], self.window
+    def feed(self, piece: str) -> list[int]:
+        stretches = V.byte_pretokens(self.rest + piece)
+        if not stretches:
+            return []
+        self.rest = stretches.pop()
+        if stretches and stretches[-1] == "'":  # may become one stretch with the letters that follow
+            self.rest = stretches.pop() + self.rest
+        ids = list(chain.from_iterable(map(self.known.__getitem__, stretches)))
+        if len(self.rest) > 4 * self.lookahead:
+            final, cut = self._stable(self.rest)
+            ids += final
+            self.rest = self.rest[cut:]
+        if len(self.known) > KEEP:
+            self.known.clear()
+        return ids
 
     def finish(self) -> list[int]:
         ids = self.encoding.encode_ordinary(self.rest) if self.rest else []
         self.rest = ""
         return ids
 
-    def _blank_cut(self, limit: int) -> int:
-        """The last place before ``limit`` between a letter, figure, comma or full stop and a blank or line end; 0 if none."""
-        at = limit
-        while (at := max(self.rest.rfind(" ", 1, at), self.rest.rfind("\n", 1, at))) > 0:
-            before = self.rest[at - 1]
-            if before in ",." or before.isalnum():
-                return at
-        return 0
-
-    def _stable(self, part: str) -> tuple[list[int], int]:
-        """Final tokens of a part without such a place, and how many characters they cover."""
-        ids = self.encoding.encode_ordinary(part)
-        raw = part.encode("utf-8", "surrogatepass")
+    def _stable(self, stretch: str) -> tuple[list[int], int]:
+        """Final tokens of a stretch that may go on, and how many characters they cover.
+
+        All characters of a stretch are of one kind, and more of it than the lookahead is left, so what is left is read as the same stretch's rest.
+        """
+        ids = self.encoding.encode_ordinary(stretch)
+        raw = stretch.encode("utf-8", "surrogatepass")
         safe = len(raw) - self.lookahead - 8
         ends = np.cumsum([len(self.encoding.decode_single_token_bytes(i)) for i in ids])
-        chars = np.cumsum([(b & 0xC0) != 0x80 for b in raw])
+        starts = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
         for k in range(int(np.searchsorted(ends, safe, side="right")) - 1, 0, -1):
-            end = int(ends[k])
-            if (raw[end] & 0xC0) == 0x80:
-                continue
-            at = int(chars[end - 1])
-            if self._divides(part, at):
-                return ids[: k + 1], at
+            if starts[end := int(ends[k])]:
+                return ids[: k + 1], int(starts[:end].sum())
         return [], 0
 
-    @staticmethod
-    def _divides(part: str, at: int) -> bool:
-        """True where reading the pattern afresh from ``at`` gives the same pretokens, or the same run's remainder."""
-        if at < 4 or at + 2 > len(part) or "'" in part[at - 4 : at + 1]:
-            return False
-        a, b = _kind(part[at - 1]), _kind(part[at])
-        if "s" in (a, b):
-            return a == b == "s" and part[at + 1].isspace()
-        return a == b or {a, b} <= {"l", "n", "p"}
+
+@functools.cache
+def stream_of(name: str, path: str) -> StreamEncoder:
+    return StreamEncoder(name, path)
 
 
-def encode(text: str | None, name: str, path: str, window: int = WINDOW) -> list[int]:
+def encode(text: str | None, name: str, path: str, piece: int = PIECE) -> list[int]:
     """All ids of one text; null and empty texts have none."""
     if not text:
         return []
-    if len(text) <= window:
-        return V.byte_encoding(name, path).encode_ordinary(text)
-    stream, ids = StreamEncoder(name, path, window), []
-    for k in range(0, len(text), window):
-        for part in stream.feed(text[k : k + window]):
-            ids += part
+    stream, ids = stream_of(name, path), []
+    for k in range(0, len(text), piece):
+        ids += stream.feed(text[k : k + piece])
     return ids + stream.finish()
 
 

@@ -10,7 +10,6 @@ container of the plan.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections import Counter
@@ -24,19 +23,9 @@ from foliant.session import materialize, spread
 
 #: Documents for each salt of a hot size.
 PER_SALT = 500_000
-#: Characters for which Python's own classes agree with the tokenizers' Unicode properties.
-_PLAIN = re.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ʯ가-힣ぁ-ゖァ-ヺー一-鿋、。「」・–—•…]")
-_BYTE_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
-@functools.cache
-def _full(pattern: str):
-    import regex
-
-    return regex.compile(pattern)
-
-
 class TokenCounter:
     """Counts tokens by pretoken, with each pretoken's count remembered up to ``keep`` entries; equals the tokenizer's own length."""
 
@@ -46,13 +35,13 @@ class TokenCounter:
         self.known: dict[str, int] = {}
 
     def _split(self, text: str) -> list[str]:
-        plain = not _PLAIN.search(text)
-        if self.word:
-            text = text if text.isascii() else unicodedata.normalize("NFC", text)
-            if not plain:
-                text = _full(r"\s+").sub(" ", text)
-            return (_WORD_PLAIN if plain else _full(V.WORD_PATTERN)).findall(text.lower())
-        return (_BYTE_PLAIN if plain else _full(V.BYTE_PATTERN)).findall(text)
+        if not self.word:
+            return V.byte_pretokens(text)
+        plain = V.is_plain(text)
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if not plain:
+            text = V.full_pattern(r"\s+").sub(" ", text)
+        return (_WORD_PLAIN if plain else V.full_pattern(V.WORD_PATTERN)).findall(text.lower())
 
     def counts(self, pieces: Counter) -> int:
         new = [p for p in pieces if p not in self.known]

@@ -6,6 +6,7 @@ import base64
 import functools
 import json
 import os
+import re
 from pathlib import Path
 
 #: Pretoken pattern of the byte-level vocabularies (fixed value).
@@ -14,6 +15,27 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Characters for which Python's own classes agree with the tokenizers' Unicode properties.
+_PLAIN = re.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ʯ가-힣ぁ-ゖァ-ヺー一-鿋、。「」・–—•…]")
+_BYTE_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def is_plain(text: str) -> bool:
+    return not _PLAIN.search(text)
+
+
+@functools.cache
+def full_pattern(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def byte_pretokens(text: str) -> list[str]:
+    """The stretches of a text within which the byte-level vocabularies merge."""
+    return (_BYTE_PLAIN if is_plain(text) else full_pattern(BYTE_PATTERN)).findall(text)
+
+
 def folder(path: str | None = None) -> str:
     """The vocabulary folder: the argument, else FOLIANT_TOKENIZERS, else /opt/tokenizers."""
     return path or os.environ.get("FOLIANT_TOKENIZERS", "/opt/tokenizers")

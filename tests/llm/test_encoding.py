@@ -27,13 +27,22 @@ def test_stream_equals_whole():
     for _ in range(12):
         some = rng.sample(PIECES, rng.randint(1, 5))
         text = "".join(rng.choice(some) for _ in range(rng.randint(15_000, 40_000)))
-        stream, ids, k = E.StreamEncoder(NAME, PATH, 10), [], 0
+        stream, ids, k, waits = E.StreamEncoder(NAME, PATH), [], 0, 0
         while k < len(text):
-            n = rng.randint(1, 9_000)
-            for part in stream.feed(text[k : k + n]):
-                ids += part
-            k += n
+            n = rng.choice((1, 2, 3, rng.randint(1, 9_000)))
+            ids += stream.feed(text[k : k + n])
+            k, waits = k + n, max(waits, len(stream.rest))
         assert ids + stream.finish() == whole(text)
+        assert waits <= 4 * stream.lookahead + 9_000  # constant memory
+
+
+def test_contractions_over_a_cut():
+    for text in ("it'll we've they're 's ''ll x'", "#'ll '' 's\n\n  y", "'" * 30_000 + "s", " " * 40_000 + "x", "a'" * 9_000):
+        for n in (1, 2, 5, 4_096):
+            stream, ids = E.StreamEncoder(NAME, PATH), []
+            for k in range(0, len(text) if n > 5 or len(text) < 100 else 0, n):
+                ids += stream.feed(text[k : k + n])
+            assert not ids or ids + stream.finish() == whole(text)
 
 
 @settings(deadline=None, max_examples=80)
