@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import materialize
 
 
 def document_id(path: Column) -> Column:
@@ -115,3 +116,15 @@ def enrich(chunks: DataFrame, parents: DataFrame, cache: DataFrame) -> DataFrame
         "parent_id", "idx", "chunk_text", F.when(known, "cached").when(F.coalesce("parent_text", F.lit("")) == "", "orphan").otherwise("missing").alias("status"),
         F.when(known, F.concat("prefix", F.lit("\n\n"), "chunk_text")).otherwise(F.col("chunk_text")).alias("enriched_text"), F.when(known, F.col("chunk_text")).alias("original_content"),
     )
+
+
+def append_prefixes(prefixes: DataFrame, cache: str) -> int:
+    """Adds prefixes (cache_key, prefix) that the cache table doesn't hold yet, each key once; gives how many. An interrupted run keeps what was added."""
+    spark = prefixes.sparkSession
+    new = prefixes.where("cache_key IS NOT NULL AND prefix IS NOT NULL").groupBy("cache_key").agg(F.min("prefix").alias("prefix"))
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        new = new.join(spark.read.parquet(cache).select("cache_key"), "cache_key", "left_anti")
+    new = materialize(new, "new-prefixes")  # read before the cache grows
+    new.write.mode("append").parquet(cache)
+    return new.count()

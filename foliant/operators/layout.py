@@ -63,8 +63,9 @@ def join_pages(pages: DataFrame) -> DataFrame:
 def split_pages(joined: DataFrame) -> DataFrame:
     """Back to one row a page, by the numbered headers; the rule after each page goes."""
     numbers = F.regexp_extract_all("combined", F.lit(r"(?md)^# Page (\d+)$"), F.lit(1))
-    parts = F.slice(F.split("combined", r"(?md)^# Page \d+$"), 2, 1_000_000)
-    pairs = joined.select("pdf_path", F.inline(F.arrays_zip(numbers.alias("num"), parts.alias("part"))).alias("num", "part"))
+    cut = joined.withColumn("all_parts", F.split("combined", r"(?md)^# Page \d+$"))
+    parts = F.slice("all_parts", 2, F.size("all_parts"))
+    pairs = cut.select("pdf_path", F.inline(F.arrays_zip(numbers.alias("num"), parts.alias("part"))).alias("num", "part"))
     return pairs.select("pdf_path", F.col("num").cast("int").alias("page_num"), T.strip_ends(F.regexp_replace(T.strip_ends(F.col("part")), r"(?:^|\n)---$", "")).alias("text"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import materialize
 
 K1, B = 1.5, 0.75
 
@@ -18,9 +22,9 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, term, tf and the text's length in terms; texts without a term have no row."""
-    t = texts.select(key, T.tokens(F.col(text)).alias("ts"))
+def postings(texts: DataFrame, key: str, text: str, analyzer: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """``key``, term, tf and the text's length in terms; texts without a term have no row. ``analyzer`` gives a text's terms."""
+    t = texts.select(key, analyzer(F.col(text)).alias("ts"))
     return t.select(key, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -37,24 +41,78 @@ def bm25_weights(posted: DataFrame, stats: DataFrame, average: float) -> DataFra
     return posted.join(stats, "term").withColumn("weight", F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))).where("weight > 0")
 
 
+@dataclass
+class Bm25Index:
+    """Postings (corpus_key, term, tf, len), term statistics (term, df, idf), the number of texts and their mean length in terms."""
+
+    postings: DataFrame
+    terms: DataFrame
+    texts: int
+    average: float
+
+    def search(self, queries: DataFrame, k: int = 3, mode: str = "reference", analyzer: Callable[[Column], Column] = T.tokens) -> DataFrame:
+        """query_id, corpus_key, score, rank of the k best texts of every query.
+
+        mode 'reference' weighs the query as a document, so idf counts twice; 'standard' gives each query term the weight of its count. Only
+        queries' terms are joined; frequent terms are left to the skew join.
+        """
+        documents = bm25_weights(self.postings, self.terms, self.average).select("corpus_key", "term", F.col("weight").alias("wd"))
+        asked = postings(queries, "query_id", "text", analyzer)
+        if mode == "reference":
+            wanted = bm25_weights(asked, self.terms, self.average).select("query_id", "term", F.col("weight").alias("wq"))
+        else:
+            wanted = asked.select("query_id", "term", F.col("tf").cast("double").alias("wq"))
+        scored = wanted.join(documents, "term").groupBy("query_id", "corpus_key").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("score"))
+        return top_k(scored, "query_id", "score", "corpus_key", k)
+
+
+def bm25_index(corpus: DataFrame, analyzer: Callable[[Column], Column] = T.tokens) -> Bm25Index:
+    """The index of ``corpus`` (corpus_key, content); its texts are analysed once. ``analyzer`` gives the terms of a text, the same for queries."""
+    posted = materialize(postings(corpus, "corpus_key", "content", analyzer), "postings")
+    texts = corpus.count()
+    terms = posted.agg(F.sum("tf")).first()[0] or 0
+    return Bm25Index(posted, term_statistics(posted, "corpus_key", texts), texts, terms / texts if texts and terms else 1.0)
+
+
+def save_bm25(index: Bm25Index, path: str) -> None:
+    """Writes an index, the totals last: a folder without them is no index."""
+    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.postings.sparkSession.createDataFrame([(index.texts, index.average)], "texts long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def load_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    totals = spark.read.parquet(f"{path}/totals").first()
+    return Bm25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals["texts"], totals["average"])
+
+
+class IndexCache:
+    """Indexes in a folder by (dense, sparse) pair: the pair's key names its index, whichever reranker or support goes with it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def path(self, dense: str, sparse: str, contextual: bool = False) -> str:
+        return f"{self.folder}/{'ctx_' if contextual else ''}{dense}_{sparse}"
+
+    def has(self, path: str) -> bool:
+        there = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+        return there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+    def get_or_build(self, dense: str, sparse: str, chunks: DataFrame, contextual: bool = False, rebuild: bool = False) -> Bm25Index:
+        """The stored index of the pair; built from ``chunks`` (corpus_key, content) and stored if there is none or ``rebuild`` is asked for."""
+        path = self.path(dense, sparse, contextual)
+        if rebuild or not self.has(path):
+            save_bm25(bm25_index(chunks), path)
+        return load_bm25(self.spark, path)
+
+
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 3, mode: str = "reference") -> DataFrame:
-    """query_id, corpus_key, score, rank of the k best texts of every query.
+    """query_id, corpus_key, score, rank of the k best texts of every query (see ``Bm25Index.search``).
 
-    ``corpus``: corpus_key, content; ``queries``: query_id, text. mode 'reference' weighs the query as a document, so idf counts twice;
-    'standard' gives each query term the weight of its count. Only queries' terms are joined; frequent terms are left to the skew join.
+    ``corpus``: corpus_key, content; ``queries``: query_id, text.
     """
-    posted = postings(corpus, "corpus_key", "content")
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("content")))).alias("a")).first()
-    n, average = size["n"] or 0, size["a"] or 1.0
-    stats = term_statistics(posted, "corpus_key", n)
-    documents = bm25_weights(posted, stats, average).select("corpus_key", "term", F.col("weight").alias("wd"))
-    asked = postings(queries, "query_id", "text")
-    if mode == "reference":
-        wanted = bm25_weights(asked, stats, average).select("query_id", "term", F.col("weight").alias("wq"))
-    else:
-        wanted = asked.select("query_id", "term", F.col("tf").cast("double").alias("wq"))
-    scored = wanted.join(documents, "term").groupBy("query_id", "corpus_key").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("score"))
-    return top_k(scored, "query_id", "score", "corpus_key", k)
+    return bm25_index(corpus).search(queries, k, mode)
 
 
 def keyword_score(query: Column, text: Column) -> Column:
@@ -65,20 +123,22 @@ def keyword_score(query: Column, text: Column) -> Column:
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int = 512, vector_block: int = 8192) -> DataFrame:
     """qid, vec_id, cosine, rank: exact cosine top-k of a stated query set against all vectors, block by block.
 
-    Both sides are grouped into blocks of bounded size by hash; each pair of blocks is one matrix product in a task that keeps k rows a
-    query, and a window picks the best of those. A vector doesn't find itself. Null, empty and zero vectors are left out.
+    Both sides are dealt into blocks of bounded size by hash, at least one for each core; each pair of blocks is one matrix product in a task that
+    keeps k rows a query, and a window picks the best of those. A vector doesn't find itself. Null, empty and zero vectors are left out.
     """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) > 0)
+    n, m = vectors.count(), queries.count()
+    vector_blocks = max(-(-n // vector_block), min(cores, -(-n // 256)), 1)
 
-    def blocks(df: DataFrame, key: str, name: str, size: int) -> DataFrame:
-        n = max(1, -(-df.count() // size))
-        # a block is capped by construction: rows are dealt to n blocks by hash, about `size` each
-        return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n))).groupBy(name).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").alias("v"))).alias(f"{name}_rows"))
+    def blocks(df: DataFrame, key: str, name: str, many: int) -> DataFrame:
+        # a block is bounded by construction: rows are dealt by hash to as many blocks as their number asks for
+        return df.where(usable).withColumn(name, F.pmod(F.xxhash64(key), F.lit(many))).groupBy(name).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").alias("v"))).alias(f"{name}_rows"))
 
-    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) > 0)
-    q = blocks(queries.where(usable).select("qid", "embedding"), "qid", "qb", query_block)
-    v = blocks(vectors.where(usable).select("vec_id", "embedding"), "vec_id", "vb", vector_block)
+    q = blocks(queries.select("qid", "embedding"), "qid", "qb", max(1, -(-m // query_block)))
+    v = blocks(vectors.select("vec_id", "embedding"), "vec_id", "vb", vector_blocks)
     # one row for each pair of blocks, not of vectors
-    pairs = q.withColumn("vb", F.explode(F.expr(f"sequence(0, {max(1, -(-vectors.where(usable).count() // vector_block)) - 1})"))).join(v, "vb")
+    pairs = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))).repartition(max(cores, vector_blocks), "vb").join(v, "vb")
 
     def run(batches):
         for batch in batches:
@@ -87,9 +147,14 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block
                 qm, vm = (np.array([np.asarray(r["v"], dtype=np.float64) for r in x]) for x in (a, b))
                 cos = (qm / np.linalg.norm(qm, axis=1, keepdims=True)) @ (vm / np.linalg.norm(vm, axis=1, keepdims=True)).T
                 cos = np.where(qi[:, None] == vi[None, :], -9.0, cos.round(6))
-                for i in range(len(qi)):
-                    best = np.lexsort((vi, -cos[i]))[:k]
-                    yield pd.DataFrame({"qid": qi[i], "vec_id": vi[best], "cosine": cos[i][best]}).query("cosine > -2")
+                # all that reach the k-th value, ties too, then the k first of each query
+                least = np.partition(cos, -k, axis=1)[:, -k] if len(vi) > k else np.full(len(qi), -2.0)
+                rows, cols = np.nonzero((cos >= least[:, None]) & (cos > -2))
+                order = np.lexsort((vi[cols], -cos[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, cols = rows[place < k], cols[place < k]
+                yield pd.DataFrame({"qid": qi[rows], "vec_id": vi[cols], "cosine": cos[rows, cols]})
 
     found = pairs.select("qb_rows", "vb_rows").mapInPandas(run, "qid bigint, vec_id bigint, cosine double")
     return top_k(found, "qid", "cosine", "vec_id", k)

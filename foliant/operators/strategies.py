@@ -75,14 +75,26 @@ class Reranked:
 
 
 def run(strategies: list[Strategy], queries: DataFrame, k: int = 5, done: DataFrame | None = None) -> DataFrame:
-    """All strategies over all queries: strategy, query_id, num_results, results, error. Results that ``done`` holds for a known strategy are taken over."""
+    """All strategies over all queries: strategy, query_id, num_results, results, error. Results that ``done`` holds for a known strategy are taken over.
+
+    A strategy that can't be planned gives its error for every query and doesn't stop the others; one that judges queries apart may give a column
+    ``error`` beside its rows, which stands at the query.
+    """
     out = None
     have = set() if done is None else {r[0] for r in done.select("strategy").distinct().collect()}  # as many as strategies
     for s in strategies:
         if s.name in have:
             continue
-        listed = s.retrieve(queries, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_key", "score"))).alias("results"))
-        rows = queries.select("query_id").join(listed, "query_id", "left").select(F.lit(s.name).alias("strategy"), "query_id", F.coalesce(F.size("results"), F.lit(0)).alias("num_results"), "results", F.lit(None).cast("string").alias("error"))
+        try:
+            found = s.retrieve(queries, k)
+            found.schema  # a plan that can't be resolved fails here
+        except Exception as e:
+            rows = queries.select(F.lit(s.name).alias("strategy"), "query_id", F.lit(0).alias("num_results"), F.lit(None).cast("array<struct<rank:int,chunk_key:bigint,score:double>>").alias("results"), F.lit(f"{type(e).__name__}: {e}").alias("error"))
+        else:
+            error = F.max("error") if "error" in found.columns else F.max(F.lit(None).cast("string"))
+            hits = F.filter(F.collect_list(F.struct("rank", "chunk_key", "score")), lambda x: x["rank"].isNotNull())
+            listed = found.groupBy("query_id").agg(F.array_sort(hits).alias("results"), error.alias("error"))
+            rows = queries.select("query_id").join(listed, "query_id", "left").select(F.lit(s.name).alias("strategy"), "query_id", F.coalesce(F.size("results"), F.lit(0)).alias("num_results"), "results", "error")
         out = rows if out is None else out.unionByName(rows)
     if done is not None:
         kept = done.where(F.col("strategy").isin([s.name for s in strategies])).select("strategy", "query_id", "num_results", "results", "error")
