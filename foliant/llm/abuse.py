@@ -260,7 +260,9 @@ def training_passages(text: str, label: float | None, whole: bool = False) -> li
     if whole:
         return found
     most = BAD_EACH if label else CLEAN_EACH if label is not None else OTHER_EACH
-    rank = lambda p: (not (max(p[1]) or p[2]), xxhash.xxh32_intdigest(p[0]))
+    # by a hash of the passage in its document, so that a passage that many documents share is drawn from some of them
+    seed = xxhash.xxh32_intdigest(text)
+    rank = lambda p: (not (max(p[1]) or p[2]), xxhash.xxh32_intdigest(p[0], seed))
     kept = sorted(found, key=rank)[:most]
     count = lambda of: sum(not (max(p[1]) or p[2]) for p in of)
     times = count(found) / max(1, count(kept))
@@ -324,9 +326,9 @@ def train_passages(rows: list[tuple], folds: int = 3, seed: int = 7, rounds: int
         groups.append(len(docs) + len(groups))
     n, y, weight = len(passages), np.array(targets), np.array(weights)
     stems = y[:, :-1].copy()
-    more = min(20.0, max(1.0, 0.2 * weight.sum() / max(1.0, (weight * y[:, -1]).sum())))
+    more = min(8.0, max(1.0, 0.2 * weight.sum() / max(1.0, (weight * y[:, -1]).sum())))
     # stems in clean documents tell as much as those in abusive ones
-    weight *= np.where(y[:, -1] >= 0.5, more, np.where(told, 0.3 * more, 1.0))
+    weight *= np.where(y[:, -1] >= 0.5, more, np.where(told, 0.4 * more, 1.0))
     cols, rows_ = _matrix(passages, reader)
     fold = rng.integers(0, folds, max(groups) + 1)[np.array(groups)]  # by document
 
@@ -345,7 +347,7 @@ def train_passages(rows: list[tuple], folds: int = 3, seed: int = 7, rounds: int
         # at first every passage of an abusive document is one, then only the one that scores best
         for of, chance in bags:
             y[of, -1], last[of] = chance, 3.0 * more / len(of)
-        for _ in range(rounds):
+        for at in range(rounds):
             z = held_out(none, y[:, -1], last)
             # passages of clean documents that were left out but score high
             hard = np.array(clean) & (last == 0) & (z > HARD)
@@ -357,9 +359,10 @@ def train_passages(rows: list[tuple], folds: int = 3, seed: int = 7, rounds: int
             for of, chance in bags:
                 best = of[int(np.argmax(z[of]))]
                 y[of, -1], last[of] = 0.0, 0.0
-                now = _sigmoid(_logit(chance) + np.clip(z[best], -EVIDENCE, EVIDENCE)) * (z[best] > HARD)
+                now = _sigmoid(_logit(chance) + np.clip(z[best], -EVIDENCE, EVIDENCE))
                 y[best, -1] = 1.0 if now >= 0.5 else now
-                last[best] = 3.0 * (more if now >= 0.5 else 1.0)
+                # what scores like any ordinary passage tells nothing, but may come back
+                last[best] = 0.0 if at + 1 == rounds and z[best] < HARD else 3.0 * (more if now >= 0.5 else 1.0)
     chain, before = {"w": [], "b": [], "u": []}, np.zeros((n, 0))
     for k in range(len(LINKS)):
         final = k + 1 == len(LINKS)
