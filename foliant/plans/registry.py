@@ -6,7 +6,7 @@ import importlib.util
 
 from foliant.plans import base
 
-for _module in ("text_queries", "retrieval_queries", "analytics_queries", "metric_queries", "element_queries"):
+for _module in ("text_queries", "retrieval_queries", "analytics_queries", "metric_queries", "element_queries", "storage_queries"):
     if importlib.util.find_spec(f"foliant.plans.{_module}"):
         importlib.import_module(f"foliant.plans.{_module}")
 

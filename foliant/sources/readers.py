@@ -141,7 +141,7 @@ def folder_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_texts(worker_output: Column) -> Column:
     """A worker's JSON object of page number to text as a map."""
-    return F.from_json(worker_output, "MAP<INT, STRING>")
+    return F.transform_keys(F.from_json(worker_output, "MAP<STRING, STRING>"), lambda k, _: k.cast("int"))
 
 
 def judged_corpus(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

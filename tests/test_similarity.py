@@ -49,3 +49,17 @@ def test_tree_distance_against_recursion():
     for _ in range(60):
         a, b = tree(2), tree(2)
         assert S.tree_distance(a, b) == pytest.approx(brute(a, b))
+
+
+def test_bleu_by_counts_equals_bleu_by_row(spark):
+
+    from foliant.operators import ngrams
+
+    rng = random.Random(4)
+    words = "the a cat dog sat on mat big".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14))), " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for i in range(120)]
+    rows += [(900, None, "a cat"), (901, "", ""), (902, "a cat", None), (903, "the cat sat on the mat", "the cat sat on the mat"), (904, "x " * 500, "x")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k long, p string, g string, n int")
+    got = {r.k: r.bleu for r in ngrams.bleu_scores(df, "k", "p", "g").collect()}
+    assert len(got) == len(rows) and all(abs(got[k] - S.bleu(p, g)) <= 0.011 for k, p, g in rows) and got[903] == 100.0
+    assert ngrams.bleu_scores(df.limit(0), "k", "p", "g").count() == 0

@@ -82,3 +82,24 @@ def test_stream_drops_repeats(spark, tmp_path):
     put(tmp_path / "in/2.json", "\n".join(json.dumps(row | {"lat_id": i}) for i in (2, 3)))
     collector.collect(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(r.lat_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_stored_rows(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "a"), (2, "b")], "run_id int, strategy string")
+    readers.append_run(runs.where("run_id = 1"), str(tmp_path / "runs"))
+    readers.append_run(runs.where("run_id = 2"), str(tmp_path / "runs"))
+    assert [r.strategy for r in readers.latest_run(spark, str(tmp_path / "runs")).collect()] == ["b"]
+    readers.write_table(runs, str(tmp_path / "sets/one"), "strategy")
+    assert (tmp_path / "sets/one/_SUCCESS").exists() and spark.read.parquet(str(tmp_path / "sets/one")).count() == 2
+    put(tmp_path / "size/x/f", "1234567890" * 100)
+    assert [(r.name, r.mb) for r in readers.folder_sizes(spark, str(tmp_path / "size")).collect()] == [("x", 0.001)]
+
+
+def test_worker_output_and_sets(spark):
+    df = spark.createDataFrame([('{"2": "two", "1": null}',), ("{not json",), (None,)], "o string")
+    assert [r[0] for r in df.select(readers.page_texts(F.col("o"))).collect()] == [{2: "two", 1: None}, None, None]
+    corpus = spark.createDataFrame([(2, "d", "t", "later"), (1, "d", "t", "first"), (3, "e", None, "x")], "corpus_key long, doc_id string, title string, text string")
+    queries = spark.createDataFrame([("q", "?"), ("r", " ")], "query_id string, text string")
+    qrels = spark.createDataFrame([("q", "d", 1), ("q", "d", 1), ("q", "absent", 1), ("r", "d", 1), ("q", "e", None)], "query_id string, doc_id string, score int")
+    first, asked, kept = readers.judged_corpus(corpus, queries, qrels)
+    assert {r.text for r in first.collect()} == {"first", "x"} and [r.query_id for r in asked.collect()] == ["q"] and [tuple(r) for r in kept.select("query_id", "doc_id", "score").collect()] == [("q", "d", 1)]
