@@ -77,3 +77,22 @@ def overlap_ratio(a: list[str], b: list[str], over: str) -> Column:
     s, t = (ax1 - ax0) * (ay1 - ay0), (bx1 - bx0) * (by1 - by0)
     area = {"union": s + t - common, "small": F.least(s, t), "large": F.greatest(s, t)}[over]
     return F.when(area > 0, F.round(common / area, 6)).otherwise(F.lit(0.0))
+
+
+def overlapping(boxes: DataFrame, group: list[str], key: str, cell: float = 100.0) -> DataFrame:
+    """Pairs of boxes of a group (``key`` of the first less than of the second) that share an area, with their three overlap ratios.
+
+    Boxes (x0, y0, x1, y1) meet in the cells of a grid that they touch, and a pair counts in the cell that holds the corner of its common area, so no
+    pair arises twice and boxes that lie apart aren't compared. Boxes without an area or with a null meet none.
+    """
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    good = boxes.where("x1 > x0 AND y1 > y0").select(*group, key, "x0", "y0", "x1", "y1").select("*", cells("x0", "x1").alias("cx")).select("*", cells("y0", "y1").alias("cy"))
+    other = good.select(*group, "cx", "cy", F.col(key).alias("other"), *[F.col(c).alias(f"n{c}") for c in ("x0", "y0", "x1", "y1")])
+    corner = (F.floor(F.greatest("x0", "nx0") / cell) == F.col("cx")) & (F.floor(F.greatest("y0", "ny0") / cell) == F.col("cy"))
+    met = good.join(other, [*group, "cx", "cy"]).where((F.col(key) < F.col("other")) & corner).where("least(x1, nx1) > greatest(x0, nx0) AND least(y1, ny1) > greatest(y0, ny0)")
+    return met.select(*group, key, "other", *[overlap_ratio("x0 y0 x1 y1".split(), "nx0 ny0 nx1 ny1".split(), over).alias(f"over_{over}") for over in ("union", "small", "large")])
+
+
+def enclosing(boxes: DataFrame, group: list[str]) -> DataFrame:
+    """The smallest box around all boxes of a group."""
+    return boxes.groupBy(*group).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("boxes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import html as H
 from foliant.operators import elements as E
+from foliant.operators import layout
 from foliant.operators import scoring as S
 from foliant.operators import specs
 from foliant.plans import metric_queries as M
@@ -227,3 +228,29 @@ def quality_or_efficiency(spark, folder):
     best = lambda by: F.min_by(F.struct("model", "params_m", "composite"), F.struct(-F.col(by), F.col("model")))
     pairs = scored.groupBy("category").agg(best("composite").alias("q"), best("efficiency").alias("w"))
     return pairs.select("category", F.col("q.model").alias("best_quality"), F.col("w.model").alias("best_efficiency"), (F.col("q.model") == F.col("w.model")).alias("same"), F.round(F.col("q.params_m") / F.col("w.params_m"), 4).alias("size_ratio"), F.col("w.composite").alias("composite"))
+
+
+_BOXES = "b AS (SELECT pdf_path, page_num, min(block_key) AS block_key, block_bbox[1] AS x0, block_bbox[2] AS y0, block_bbox[3] AS x1, block_bbox[4] AS y1 FROM blocks WHERE length(block_bbox) = 4 GROUP BY ALL)"
+
+
+def _boxes(spark, folder):
+    named = [F.col("block_bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    found = table(spark, folder, "blocks", "block_key", "pdf_path", "page_num", "block_bbox").where(F.size("block_bbox") == 4).select("pdf_path", "page_num", "block_key", *named)
+    return found.groupBy("pdf_path", "page_num", "x0", "y0", "x1", "y1").agg(F.min("block_key").alias("block_key"))
+
+
+@query(
+    "bbox_overlaps",
+    f"""WITH {_BOXES}, p AS (SELECT a.pdf_path, a.page_num, a.block_key, c.block_key AS other, (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS s, (c.x1 - c.x0) * (c.y1 - c.y0) AS t
+  FROM b a JOIN b c ON a.pdf_path = c.pdf_path AND a.page_num = c.page_num AND a.block_key < c.block_key AND least(a.x1, c.x1) > greatest(a.x0, c.x0) AND least(a.y1, c.y1) > greatest(a.y0, c.y0))
+SELECT pdf_path, page_num, block_key, other, round(i / (s + t - i), 6) AS over_union, round(i / least(s, t), 6) AS over_small, round(i / greatest(s, t), 6) AS over_large FROM p""",
+)
+def bbox_overlaps(spark, folder):
+    """Every pair of different boxes of a page that share an area; of equal boxes the smallest key stands for all."""
+    return layout.overlapping(_boxes(spark, folder), ["pdf_path", "page_num"], "block_key")
+
+
+@query("page_extents", f"WITH {_BOXES} SELECT pdf_path, page_num, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS boxes FROM b GROUP BY ALL")
+def page_extents(spark, folder):
+    """The box around everything on a page."""
+    return layout.enclosing(_boxes(spark, folder), ["pdf_path", "page_num"])

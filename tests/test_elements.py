@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import html as H
-from foliant.operators import chunking, elements, retrieval, specs, strategies
+from foliant.operators import chunking, elements, layout, retrieval, specs, strategies
 from foliant.session import drop_intermediates, materialize, scan_tasks
 
 TABLES = {
@@ -123,3 +123,16 @@ def test_intermediates(spark, tmp_path):
     path = df.inputFiles()[0]
     assert df.count() == 10 and scan_tasks(df) >= 1
     assert drop_intermediates(spark) >= 1 and not __import__("os").path.exists(path.removeprefix("file://")) and drop_intermediates(spark) == 0
+
+
+def test_overlaps_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(g, i, *(lambda x, y: (x, y, x + rng.choice((0.0, 5.0, 90.0, 400.0)), y + rng.choice((5.0, 120.0))))(rng.uniform(-50, 900), rng.uniform(0, 900))) for g in ("a", "b") for i in range(40)]
+    rows += [("a", 98, 0.0, 0.0, 100.0, 100.0), ("a", 99, 100.0, 0.0, 200.0, 100.0), ("a", 97, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.g, r.k, r.other) for r in layout.overlapping(df, ["g"], "k").collect())
+    box = {(r[0], r[1]): r[2:] for r in rows if r[2] is not None}
+    want = sorted((g, i, j) for (g, i), a in box.items() for (h, j), b in box.items() if g == h and i < j and min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1]) and a[2] > a[0] and b[2] > b[0])
+    assert got == want and layout.overlapping(df.limit(0), ["g"], "k").count() == 0
