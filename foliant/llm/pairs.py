@@ -24,14 +24,16 @@ PLACEHOLDERS = r"none|null|nil|nan|n/?a|tbd|todo|undefined|unknown|empty|no answ
 LABELS = r"(the )?answer|response|reply|a|antwort|réponse|답변?|대답|응답|回答|答え?"
 #: Phrases that decline.
 REFUSALS = (
-    r"(can ?not|can'?t|can’t|won'?t|won’t|unable to|not able to|must decline to|have to decline|decline to|not (be )?allow(ed)?( me)? to|do(es)? not allow me to|refuse to|not in a position to|(don'?t|do not) have enough information to)"
-    r" ?\w* ?(answer|help|assist|provide|comment|respond|discuss|share|say|guess|give|fulfil|comply|support)|can'?t help with that|something i won'?t|as an? (ai|language model)|no answer (can be|is) given"
+    r"\b(?:(can ?not|can'?t|can’t|won'?t|won’t|unable to|not able to|must decline to|have to decline|decline to|not (be )?allow(ed)?( me)? to|do(es)? not allow me to|refuse to|not in a position to|(don'?t|do not) have enough information to)"
+    r" ?\w* ?(answer|help|assist|provide|comment|respond|discuss|share|say|guess|give|fulfil|comply|support)|can'?t help with that|something i won'?t|as an? (ai|language model)|no answer (can be|is) given)"
     r"|(답변|도와|말씀|알려|안내|답)[을를은이가]? ?(드리|드릴|할|하|제공|해 드릴)?[^.]{0,8}(수(는)? 없|어렵|못|불가|곤란)|안내가 불가|답변할 수 없|언어 모델이기 때문"
     r"|(お答え|回答|お手伝い|お応え|お伝え)(は|が|を|する|すること|いた)?[^。]{0,8}(でき(ません|かね|ない)|控え|差し控え|しかね)|言語モデルのため"
-    r"|(kann|darf|möchte|werde|können|dürfen)( \w+)* (nicht|keine?)( \w+)* ?(beantworten|helfen|antworten|geben|sagen|weiterhelfen|äußern|mitteilen)|nicht beantworten|als sprachmodell"
-    r"|(ne (peux|puis|pouvons|suis)|refuse|impossible)[^.]{0,40}(répondre|aider|réponse|commenter|fournir|donner|prononcer)|en tant que modèle de langage|pas en mesure"
+    r"|\b(?:(kann|darf|möchte|werde|können|dürfen)( \w+)* (nicht|keine?)( \w+)* ?(beantworten|helfen|antworten|geben|sagen|weiterhelfen|äußern|mitteilen)|nicht beantworten|als sprachmodell)"
+    r"|\b(?:(ne (peux|puis|pouvons|suis)|refuse|impossible)[^.]{0,40}(répondre|aider|réponse|commenter|fournir|donner|prononcer)|en tant que modèle de langage|pas en mesure)"
 )
 APOLOGY = r"^(i'?m |i am |we are )?(so )?(sorry|afraid)|^unfortunately|^apolog|^thank you for|^죄송|^유감|^양해|^좋은 질문|^아쉽|^申し訳|^残念|^すみません|^leider|^es tut mir|^tut mir|^désolé|^je regrette|^malheureusement"
+#: No apology is longer; it stands at the beginning, so nothing behind it is looked at.
+LONGEST_APOLOGY = 40
 #: A concession, after which the answer comes.
 CONCESSION = r"\b(but|yet|however|though|still|aber|jedoch|dennoch|trotzdem|mais|cependant|toutefois)\b|지만|으나|は確認できないが|ですが、|だが、"
 SHORT = 220
@@ -98,9 +100,10 @@ def _token_form(token: Column) -> Column:
 
 def ending_words(texts: Column, rows: DataFrame) -> DataFrame:
     """For every word form: how often it occurs and how often it ends a sentence, over all texts."""
-    words = rows.select(F.explode(F.split(texts, r"\s+")).alias("w")).where("w <> ''")
-    formed = words.select(_token_form(F.col("w")).alias("form"), F.col("w").rlike(r"[.!?。][\"'”’)\]]*$").cast("int").alias("last"))
-    return formed.where("form <> ''").groupBy("form").agg(F.count("*").alias("times"), F.sum("last").alias("ends"))
+    # counted as they stand first, so that each is taken apart once
+    words = rows.select(F.explode(F.split(texts, r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    formed = words.select(_token_form(F.col("w")).alias("form"), F.when(F.col("w").rlike(r"[.!?。][\"'”’)\]]*$"), F.col("n")).otherwise(0).alias("last"), "n")
+    return formed.where("form <> ''").groupBy("form").agg(F.sum("n").alias("times"), F.sum("last").alias("ends"))
 
 
 def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
         F.when(asked & filled, vote(near | (stripped == ""))).alias("copy_near"),
         vote(refused & ~concedes, ~refused).alias("refusal_phrase"),
         F.when(filled, vote(refused & (F.col("content") == 0), F.col("content") >= 2)).alias("refusal_rest"),
-        F.when(refused | low.rlike(APOLOGY), vote((F.length("bare") <= SHORT) & (F.col("content") <= 1) & refused, F.length("bare") > SHORT)).otherwise(-1).cast("int").alias("refusal_short"),
+        F.when(refused | F.substring(low, 1, LONGEST_APOLOGY).rlike(APOLOGY), vote((F.length("bare") <= SHORT) & (F.col("content") <= 1) & refused, F.length("bare") > SHORT)).otherwise(-1).cast("int").alias("refusal_short"),
         F.when(long_enough & lang.isNotNull() & want.isNotNull(), vote(lang != want)).alias("language_whole"),
         F.when(long_enough & F.col("first_lang").isNotNull() & want.isNotNull(), vote(F.col("first_lang") != want)).alias("language_first"),
         F.when(long_enough & lang.isNotNull() & want.isNotNull() & (own == want), vote(lang != own)).alias("language_script"),
