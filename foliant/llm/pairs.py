@@ -22,15 +22,37 @@ BLANK = r"[\s­​-‏⁠﻿　 ]"
 #: Words that stand where an answer should, and labels without an answer.
 PLACEHOLDERS = r"none|null|nil|nan|n/?a|tbd|todo|undefined|unknown|empty|no answer|not available|keine( angabe)?|k\.? ?a\.?|aucune?|néant|없음|해당 ?없음|미정|답변 ?없음|무응답|なし|無し|該当なし|未定|回答なし"
 LABELS = r"(the )?answer|response|reply|a|antwort|réponse|답변?|대답|응답|回答|答え?"
-#: Phrases that decline.
-REFUSALS = (
-    r"\b(?:(can ?not|can'?t|can’t|won'?t|won’t|unable to|not able to|must decline to|have to decline|decline to|not (be )?allow(ed)?( me)? to|do(es)? not allow me to|refuse to|not in a position to|(don'?t|do not) have enough information to)"
-    r" ?\w* ?(answer|help|assist|provide|comment|respond|discuss|share|say|guess|give|fulfil|comply|support)|can'?t help with that|something i won'?t|as an? (ai|language model)|no answer (can be|is) given)"
-    r"|(답변|도와|말씀|알려|안내|답)[을를은이가]? ?(드리|드릴|할|하|제공|해 드릴)?[^.]{0,8}(수(는)? 없|어렵|못|불가|곤란)|안내가 불가|답변할 수 없|언어 모델이기 때문"
-    r"|(お答え|回答|お手伝い|お応え|お伝え)(は|が|を|する|すること|いた)?[^。]{0,8}(でき(ません|かね|ない)|控え|差し控え|しかね)|言語モデルのため"
-    r"|\b(?:(kann|darf|möchte|werde|können|dürfen)( \w+)* (nicht|keine?)( \w+)* ?(beantworten|helfen|antworten|geben|sagen|weiterhelfen|äußern|mitteilen)|nicht beantworten|als sprachmodell)"
-    r"|\b(?:(ne (peux|puis|pouvons|suis)|refuse|impossible)[^.]{0,40}(répondre|aider|réponse|commenter|fournir|donner|prononcer)|en tant que modèle de langage|pas en mesure)"
-)
+#: Phrases that decline, by language, each with words of which a text must hold one to hold such a phrase.
+REFUSALS = {
+    "en": (
+        ("can", "won", "unable", "able to", "decline", "allow", "refuse", "position to", "enough information", "language model", "as a", "no answer"),
+        r"\b(?:(can ?not|can'?t|can’t|won'?t|won’t|unable to|not able to|must decline to|have to decline|decline to|not (be )?allow(ed)?( me)? to|do(es)? not allow me to|refuse to|not in a position to|(don'?t|do not) have enough information to)"
+        r" ?\w* ?(answer|help|assist|provide|comment|respond|discuss|share|say|guess|give|fulfil|comply|support)|can'?t help with that|something i won'?t|as an? (ai|language model)|no answer (can be|is) given)",
+    ),
+    "ko": (("답", "도와", "말씀", "알려", "안내", "언어"), r"(답변|도와|말씀|알려|안내|답)[을를은이가]? ?(드리|드릴|할|하|제공|해 드릴)?[^.]{0,8}(수(는)? 없|어렵|못|불가|곤란)|안내가 불가|답변할 수 없|언어 모델이기 때문"),
+    "ja": (("答", "伝", "応", "モデル"), r"(お答え|回答|お手伝い|お応え|お伝え)(は|が|を|する|すること|いた)?[^。]{0,8}(でき(ません|かね|ない)|控え|差し控え|しかね)|言語モデルのため"),
+    "de": (
+        ("nicht", "kein", "sprachmodell"),
+        r"\b(?:(kann|darf|möchte|werde|können|dürfen)( \w+)* (nicht|keine?)( \w+)* ?(beantworten|helfen|antworten|geben|sagen|weiterhelfen|äußern|mitteilen)|nicht beantworten|als sprachmodell)",
+    ),
+    "fr": (
+        ("ne p", "ne suis", "refuse", "impossible", "langage", "mesure"),
+        r"\b(?:(ne (peux|puis|pouvons|suis)|refuse|impossible)[^.]{0,40}(répondre|aider|réponse|commenter|fournir|donner|prononcer)|en tant que modèle de langage|pas en mesure)",
+    ),
+}
+
+
+def declines(low: Column) -> Column:
+    """Whether a lower-case text holds a phrase that declines. A phrase is looked for only where one of its words stands, which is quickly seen."""
+    found = F.lit(False)
+    for words, pattern in REFUSALS.values():
+        held = F.lit(False)
+        for w in words:
+            held = held | F.contains(low, F.lit(w))
+        found = found | (held & low.rlike(pattern))
+    return found
+
+
 APOLOGY = r"^(i'?m |i am |we are )?(so )?(sorry|afraid)|^unfortunately|^apolog|^thank you for|^죄송|^유감|^양해|^좋은 질문|^아쉽|^申し訳|^残念|^すみません|^leider|^es tut mir|^tut mir|^désolé|^je regrette|^malheureusement"
 #: No apology is longer; it stands at the beginning, so nothing behind it is looked at.
 LONGEST_APOLOGY = 40
@@ -72,10 +94,16 @@ def with_language(df: DataFrame, text: str, name: str) -> DataFrame:
     t = F.col(text)
     letters = lambda kind: F.length(F.regexp_replace(t, f"[^{kind}]+", ""))
     df = df.withColumn("__n", F.length(t)).withColumn("__wide", F.octet_length(t) > F.col("__n"))
-    # only what may be there is counted: few texts mix scripts
-    df = df.withColumn("__hangul", F.when(F.col("__wide"), letters("가-힣")).otherwise(0)).withColumn("__kana", F.when(F.col("__wide") & (F.col("__hangul") < F.col("__n")), letters("ぁ-ゖァ-ヺー")).otherwise(0))
-    df = df.withColumn("__han", F.when(F.col("__wide") & ((F.col("__kana") > 0) | (F.col("__hangul") == 0)), letters("一-鿿")).otherwise(0))
-    df = df.withColumn("__latin", F.when((F.col("__hangul") > 0) | (F.col("__kana") + F.col("__han") > 0), letters("a-zA-ZÀ-ɏ")).otherwise(F.col("__n")))
+    # a count that can't change the answer isn't made: of a text that is half Hangul the rest can't outweigh it, and letters that suffice against
+    # all other characters suffice against the Latin ones
+    df = df.withColumn("__hangul", F.when(F.col("__wide"), letters("가-힣")).otherwise(0))
+    open_ = F.col("__wide") & (2 * F.col("__hangul") < F.col("__n"))
+    df = df.withColumn("__kana", F.when(open_, letters("ぁ-ゖァ-ヺー")).otherwise(0))
+    df = df.withColumn("__han", F.when(open_ & ((F.col("__kana") > 0) | (F.col("__hangul") == 0)), letters("一-鿿")).otherwise(0))
+    rest = F.col("__n") - F.col("__hangul") - F.col("__kana") - F.col("__han")
+    wide = F.col("__kana") + F.col("__han")
+    enough = ((F.col("__kana") > 0) & (wide > 0.2 * rest)) | ((F.col("__kana") == 0) & (F.col("__hangul") > 0.15 * rest))
+    df = df.withColumn("__latin", F.when(((F.col("__hangul") > 0) | (wide > 0)) & ~enough, letters("a-zA-ZÀ-ɏ")).otherwise(rest))
     hangul, kana, han, latin = (F.col(f"__{n}") for n in ("hangul", "kana", "han", "latin"))
     # names and codes in Latin letters stand in Korean and Japanese text too
     script = F.when((kana > 0) & (kana + han > 0.2 * latin) & (kana + han > hangul), "ja").when((hangul > 0) & (hangul > 0.15 * latin), "ko").when((han > latin) & (hangul == 0), "ja")
@@ -132,16 +160,17 @@ def votes(answers: DataFrame, questions: DataFrame) -> DataFrame:
     filled = F.length("sq") > 0
     # costly columns are made once, each in its own step
     sentences = F.filter(F.split(F.col("bare"), r"(?<=[.!?。！？])\s*"), lambda x: F.length(x) > 0)
-    a = a.withColumn("sentences", sentences).withColumn("refused", low.rlike(REFUSALS))
+    a = a.withColumn("sentences", sentences).withColumn("low", low).withColumn("refused", declines(F.col("low")))
     a = with_language(a, "bare", "lang")
     # a single sentence is in the answer's language
     a = with_language(a.withColumn("first", F.when(F.size("sentences") > 1, F.try_element_at("sentences", F.lit(1)))), "first", "first_lang")
     a = a.withColumn("first_lang", F.when(F.size("sentences") > 1, F.col("first_lang")).otherwise(F.col("lang")))
     refused, lang, want, own = (F.col(c) for c in ("refused", "lang", "want", "own"))
-    concedes = low.rlike(CONCESSION)
+    low = F.col("low")
+    concedes = F.when(refused, low.rlike(CONCESSION))
     # sentences left when those that decline, apologise or are polite are taken out; looked at only where something declines
     polite = APOLOGY + r"|^(is there|let me know|ほかに|다른 |gibt es|haben sie|avez-vous|thank)"
-    content = F.filter("sentences", lambda x: (F.length(squeeze(x)) > 0) & ~F.lower(x).rlike(REFUSALS) & ~F.lower(x).rlike(polite))
+    content = F.filter("sentences", lambda x: (F.length(squeeze(x)) > 0) & ~declines(F.lower(x)) & ~F.lower(x).rlike(polite))
     a = a.withColumn("content", F.when(refused, F.size(content)).otherwise(F.size("sentences")))
     stripped = F.when(F.length("qq") > 0, F.replace("sq", "qq", F.lit(""))).otherwise(F.col("sq"))
     asked = F.length("qq") >= 8
