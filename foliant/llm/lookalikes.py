@@ -5,14 +5,13 @@ holds the others (characters that change, or that may join the one before). Text
 others only the segments around unstable characters, from the starter before them on, are normalised and spliced back.
 
 Folded: width of letters and blanks, no-break and other blanks, hyphen code points, ligatures, composed and decomposed accents, conjoining
-jamo, invisible characters, and look-alike letters of Greek and Cyrillic. Kept, since a reader sees them: case, accents, line breaks,
+jamo, invisible characters, and look-alike letters of Greek, Cyrillic, Armenian and Cherokee. Kept, since a reader sees them: case, accents, line breaks,
 raised, circled or other figures, dashes, symbols.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 import sys
 import unicodedata
@@ -29,6 +28,8 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v",
     "ɡ": "g",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 #: Hyphen code points drawn as the ASCII one, and invisible code points outside category Cf.
 HYPHENS = "‐‑﹣"
@@ -71,8 +72,8 @@ def unstable_class() -> str:
         if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
             continue
         c = chr(cp)
-        # any Greek or Cyrillic letter may share a word with letters of another script
-        mixed = 0x370 <= cp <= 0x52F and c.isalpha()
+        # any letter of these scripts may share a word with letters of another script
+        mixed = (0x370 <= cp <= 0x58F or 0x13A0 <= cp <= 0x13FF) and c.isalpha()
         if mixed or unicodedata.combining(c) or 0x1100 <= cp <= 0x11FF or not unicodedata.is_normalized("NFC", c):
             bad.add(cp)
     spans = []
@@ -94,7 +95,7 @@ def _patterns():
 @functools.cache
 def _letters():
     back = {}
-    for script in ("CYRILLIC", "GREEK"):
+    for script in ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE"):
         back[script] = {v: k for k, v in LOOKALIKES.items() if unicodedata.name(k).startswith(script)}
     return back
 
@@ -111,9 +112,9 @@ def _fold_word(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in letters))
 
 
-#: A word with a letter of Greek, Cyrillic or one of the few others that are folded.
+#: A word with a letter of Greek, Cyrillic, Armenian, Cherokee or one of the few others that are folded.
 _MARKED = r"[^\W\d_]|[\u0300-\u036f]"
-_WORD = re.compile(rf"(?:{_MARKED})*[\u0370-\u052f\u0261](?:{_MARKED})*")
+_WORD = re.compile(rf"(?:{_MARKED})*[\u0370-\u058f\u13a0-\u13ff\u0261](?:{_MARKED})*")
 #: Between pictographs a joiner changes the picture.
 _JOINER = re.compile("(?<=[←-⯿️\U0001f000-\U0001faff])‍(?=[←-⯿\U0001f000-\U0001faff])")
 
@@ -166,23 +167,38 @@ def lookalike_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     is no pair with itself.
     """
 
-    @F.pandas_udf("binary")
-    def form(values: pd.Series) -> pd.Series:
+    import xxhash
+
+    def signed(data: bytes) -> int:
+        h = xxhash.xxh64_intdigest(data, 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    @F.pandas_udf("a bigint, b bigint, blank boolean")
+    def form(values: pd.Series) -> pd.DataFrame:
         def digest(t):
+            if t is None:
+                return None, None, None
             drawn = canonical(t)
-            return hashlib.md5(drawn.encode("utf-8", "surrogatepass")).digest() if drawn.strip() else b""
+            return signed(drawn.encode("utf-8", "surrogatepass")), signed(drawn[::-1].encode("utf-8", "surrogatepass")), not drawn.strip()
 
-        return values.map(digest, na_action="ignore")
+        found = list(zip(*[digest(t) for t in values])) or [(), (), ()]
+        # whole numbers beside nulls: never by way of floats
+        return pd.DataFrame({"a": pd.array(found[0], "Int64"), "b": pd.array(found[1], "Int64"), "blank": pd.array(found[2], "boolean")})
 
+    # 128 bits of a text, forwards and backwards, as two numbers: these are grouped and joined without sorting binaries
     t = F.col(text)
-    stored = F.unhex(F.md5(t.cast("binary")))
-    hashed = rows.where(t.rlike("\\S")).select(F.col(key).alias("id"), stored.alias("stored"), F.coalesce(form(F.when(may_be_unstable(t), t)), stored).alias("form"))
-    hashed = materialize(hashed.where(F.length("form") > 0), "lookalike-forms")
-    many = hashed.groupBy("form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("form")
-    kept = hashed.join(many, "form", "left_semi")
-    variants = kept.select("form", "stored").distinct()
-    pairs = variants.alias("x").join(variants.alias("y"), (F.col("x.form") == F.col("y.form")) & (F.col("x.stored") < F.col("y.stored")))
-    pairs = pairs.select(F.col("x.form").alias("form"), F.col("x.stored").alias("s"), F.col("y.stored").alias("u"))
-    left, right = kept.select("form", F.col("stored").alias("s"), F.col("id").alias("i")), kept.select("form", F.col("stored").alias("u"), F.col("id").alias("j"))
-    both = pairs.join(left, ["form", "s"]).join(right, ["form", "u"]).where("i <> j")
+    stored = F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.reverse(t)).alias("b"))
+    read = rows.where(t.rlike("\\S")).select(F.col(key).alias("id"), stored.alias("s"), form(F.when(may_be_unstable(t), t)).alias("f"))
+    hashed = read.where(~F.coalesce("f.blank", F.lit(False))).select("id", F.col("s.a").alias("s1"), F.col("s.b").alias("s2"), F.coalesce("f.a", "s.a").alias("f1"), F.coalesce("f.b", "s.b").alias("f2"))
+    hashed = materialize(hashed, "lookalike-forms")
+    # variants first: only forms with several are joined, whatever number of copies each variant has
+    variants = hashed.groupBy("f1", "f2", "s1", "s2").agg(F.lit(1).alias("one"))
+    many = variants.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
+    kept = materialize(hashed.join(many, ["f1", "f2"], "left_semi"), "lookalike-rows")
+    some = kept.select("f1", "f2", "s1", "s2").distinct()
+    x, y = some.alias("x"), some.alias("y")
+    pairs = x.join(y, (F.col("x.f1") == F.col("y.f1")) & (F.col("x.f2") == F.col("y.f2")) & ((F.col("x.s1") < F.col("y.s1")) | ((F.col("x.s1") == F.col("y.s1")) & (F.col("x.s2") < F.col("y.s2")))))
+    pairs = pairs.select("x.f1", "x.f2", "x.s1", "x.s2", F.col("y.s1").alias("u1"), F.col("y.s2").alias("u2"))
+    left, right = kept.withColumnRenamed("id", "i"), kept.select("f1", "f2", F.col("s1").alias("u1"), F.col("s2").alias("u2"), F.col("id").alias("j"))
+    both = pairs.join(left, ["f1", "f2", "s1", "s2"]).join(right, ["f1", "f2", "u1", "u2"]).where("i <> j")
     return both.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()

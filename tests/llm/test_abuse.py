@@ -63,3 +63,16 @@ def test_tables(spark, chain):
     rates = {r.source: r for r in A.source_rates(A.scores(docs, labels, chain, ("source",))).collect()}
     assert rates["s"].flagged == 2 and rates["s"].documents == 3 and rates[None].documents == 2
     assert A.scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    long_ = " ".join(f"Plain sentence number {i} of the register." for i in range(3000)) + " You pathetic idiot." + " x" * 5000
+    for label, most in ((1.0, A.BAD_EACH), (0.0, A.CLEAN_EACH), (None, A.OTHER_EACH)):
+        got = A.training_passages(long_, label)
+        assert len(got) == most and all(len(p[0]) <= A.LONGEST for p in got)
+        # what has a stem comes first; a plain passage stands for those left out
+        assert got[0][0] == "you pathetic idiot" and got[0][1][0] == 1.0 and got[0][3] == 1.0 and got[-1][3] > 1
+    docs = spark.createDataFrame([(i, long_ if i == 0 else CLEAN[i % 6].format(i)) for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, None)], "doc_id long, abuse int")
+    rows = A.sample(docs, labels)
+    assert len(rows) <= A.PASSAGES and {(r[1], r[2]) for r in rows if r[0] == "0"} == {(1.0, 2)} and {(r[1], r[2]) for r in rows if r[0] == "2"} <= {(None, 0)}

@@ -49,3 +49,10 @@ def test_pairs(spark):
     assert L.lookalike_pairs(many, "k", "t").count() == 0 and L.lookalike_pairs(df.limit(0), "k", "t").count() == 0
     folded = {r.k: (r.t, r.changed) for r in L.normalize_texts(df, "k", "t").collect()}
     assert folded[1] == ("Note one", True) and folded[2] == ("Note one", False) and folded[5] == (None, False) and folded[6] == ("", False)
+
+
+def test_other_scripts():
+    assert L.canonical("Ꮯompany") == "Company" and L.canonical("hօuse") == "house"
+    # a word of its own script stays, look-alikes in it too
+    for word in ("ᏣᎳᎩ", "հայոց", "Տուն"):
+        assert L.canonical(word) == word and L.canonical(L.canonical(word)) == word

@@ -131,3 +131,28 @@ def test_nulls_in_any_column(spark):
     b = spark.createDataFrame([(None,) * 7, (1, "a", 1, None, "text", "KX 12 Title AB-1234", None)], "block_key long, pdf_path string, page_num int, block_order int, block_label string, block_content string, backend string")
     assert {r.noise for r in scans.noise(p, b).collect()} >= {"misread"}
     assert cuts.judged(p, b).count() == 3 and scans.repaired(p, b).count() == 3
+
+
+def test_paragraphs_depend_on_both_lines(decoder):
+    full = "the registrar must deliver a certified copy of this contract within"
+    of = lambda *lines: [len(g) for g in decoder.paragraphs(list(lines))]
+    assert of(full, "seven days and every notice.", full, "seven days.") == [2, 2]
+    # an indent sets off a paragraph after a full line too, but is no end within an unfinished sentence
+    assert of("  " + full, full, full + ".", "  " + full, "seven days.") == [3, 2] and of(full, "  " + full, full) == [3]
+    assert of("# Head", full, "seven days.", "", full) == [1, 2, 1, 1] and of("a regis-", "trar must.") == [2] and of() == [] and of("") == [1]
+
+
+def test_sound_rare_words_stay(spark):
+    text = " ".join(["the"] * 4000 + ["clue"] * 900 + ["due"] * 30 + ["dlue"])
+    from foliant.llm.lexicon import lexicon as made
+
+    df = spark.createDataFrame([(text,)], "text string")
+    # "due" could be a misread "clue" (cl read as d), but stands too often for that
+    plain, known = made(df, share=0.05), made(df, scans.rival, share=0.05)
+    assert "due" not in plain and "due" in known and "dlue" not in known
+    assert scans.Decoder(plain).correction("due") == "clue" and scans.Decoder(known).correction("due") is None
+
+
+def test_kinds_in_batches(decoder):
+    texts = ["the certi-\nfied copy.", "every n0tice.", "", "the cert lfied copy.", "a well-\nknown notice.", "every n0tice"] * 3
+    assert decoder.kinds_of(texts) == [decoder.kinds(t) for t in texts] and decoder.kinds_of([]) == []
