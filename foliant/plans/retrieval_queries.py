@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chunking, retrieval
+from foliant.operators import chunking, retrieval, strategies
 from foliant.plans.base import query, strip
 from foliant.sources.tables import table
 
@@ -234,3 +234,18 @@ def ndcg_at_k(spark, folder):
     gains = _judged(spark, folder).groupBy("query_id").agg(F.sum(F.when(F.col("rank").isNull(), 0.0).otherwise(1 / F.log2(F.col("rank") + 1))).alias("dcg"), F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return gains.select("query_id", F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+
+
+@query(
+    "reranked_topk",
+    _STATS
+    + _TOP.format("wr", 20)
+    + f""", t AS (SELECT query_id, corpus_key, round(CAST(length(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B]+'), lambda w: w <> '' AND contains(lower(content), w))) AS DOUBLE) + score * 1e-9, 9) AS score FROM top JOIN queries USING (query_id) JOIN c USING (corpus_key))
+SELECT query_id, corpus_key AS chunk_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_key) AS INTEGER) AS rank FROM t QUALIFY rank <= {K}""",
+)
+def reranked_topk(spark, folder):
+    """A composed strategy: 20 candidates of the sparse one, reranked by the words of the query that a text contains."""
+    chunks = _corpus(spark, folder).select(F.col("corpus_key").alias("chunk_key"), "content")
+    composed = strategies.Reranked(strategies.SparseStrategy(), chunks)
+    composed.index(chunks)
+    return composed.retrieve(_queries(spark, folder), K).select("query_id", "chunk_key", "score", "rank")
