@@ -143,7 +143,7 @@ def test_paragraphs_depend_on_both_lines(decoder):
 
 
 def test_sound_rare_words_stay(spark):
-    text = " ".join(["the"] * 4000 + ["clue"] * 900 + ["due"] * 30 + ["dlue"])
+    text = " ".join(["the"] * 4000 + ["clue"] * 900 + ["due"] * 60 + ["dlue"])
     from foliant.llm.lexicon import lexicon as made
 
     df = spark.createDataFrame([(text,)], "text string")
