@@ -73,3 +73,43 @@ def test_strategies(spark):
         strategies.metrics("nope")
     filled = strategies.filled_answers(spark.createDataFrame([("a",), ("",), (None,)], "answer string")).collect()
     assert [r.answer for r in filled] == ["a", "No answer was generated.", "No answer was generated."]
+
+
+def test_bm25_in_blocks(spark):
+    # texts and queries in many blocks, equal texts (ties by key), keys that repeat with several lengths, null and empty texts
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[min(59, int(x))] for x in rng.exponential(9, n))
+    docs = [(i, text(int(rng.integers(1, 30)))) for i in range(300)]
+    docs += [(i + 300, t) for i, t in docs[:60]] + [(7, docs[7][1]), (8, text(5)), (900, None), (901, "")]
+    asked = [(f"q{i}", text(int(rng.integers(1, 7)))) for i in range(150)] + [("q1", "w0 w1 w2")]
+    corpus = spark.createDataFrame(docs, "corpus_key long, content string")
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    average = sum(len((t or "").split()) for _, t in docs) / len(docs)
+    entries = Counter((k, len(t.split()), w) for k, t in docs if t for w in t.split())
+    df = Counter(w for _, _, w in entries)
+    idf = {w: math.log((len(docs) - n + 0.5) / (n + 0.5) + 1) for w, n in df.items()}
+    weight = lambda c, n, w: idf[w] * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * n / average))
+    held = {}
+    for (key, n, w), c in entries.items():
+        held.setdefault(w, []).append((key, weight(c, n, w)))
+    for mode in ("reference", "standard"):
+        want = {}
+        for (q, n, w), c in Counter((q, len(t.split()), w) for q, t in asked for w in t.split()).items():
+            for key, x in held.get(w, []):
+                want.setdefault(q, Counter())[key] += x * (weight(c, n, w) if mode == "reference" else c)
+        best = {q: sorted(((-round(s, 6), key) for key, s in found.items()))[:4] for q, found in want.items()}
+        got = {}
+        index = retrieval.bm25_index(corpus, block_terms=200)
+        assert index.blocks.count() > 5
+        for r in index.search(queries, 4, mode).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.corpus_key))
+        assert got.keys() == best.keys()
+        assert all([k for _, k in got[q]] == [k for _, k in best[q]] and [s for s, _ in got[q]] == pytest.approx([s for s, _ in best[q]], abs=2e-6) for q in best)
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    corpus = spark.createDataFrame([(i, "alpha beta") for i in range(50)], "corpus_key long, content string")
+    queries = spark.createDataFrame([(f"q{i}", "alpha") for i in range(50)], "query_id string, text string")
+    plan = retrieval.bm25_search(corpus, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "Join Inner" not in plan and "MapInArrow" in plan
