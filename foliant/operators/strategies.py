@@ -38,18 +38,19 @@ class Strategy(Protocol):
 
 
 class SparseStrategy:
-    """BM25 over chunks (chunk_key, content)."""
+    """BM25 over chunks (chunk_key, content), or over an index ``stored`` that several strategies share."""
 
-    def __init__(self, name: str = "bm25", mode: str = "reference"):
-        self.name, self.mode, self.chunks = name, mode, None
+    def __init__(self, name: str = "bm25", mode: str = "reference", stored: retrieval.Bm25Index | None = None):
+        self.name, self.mode, self.chunks, self.stored = name, mode, None, stored
 
     def index(self, chunks: DataFrame) -> None:
-        self.chunks = chunks.where(F.length(F.trim("content")) > 0).select(F.col("chunk_key").alias("corpus_key"), "content")
+        self.chunks, self.stored = chunks.where(F.length(F.trim("content")) > 0).select(F.col("chunk_key").alias("corpus_key"), "content"), None
 
     def retrieve(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        if self.chunks is None:
+        if self.chunks is None and self.stored is None:
             raise ValueError(f"{self.name} has no index")
-        return retrieval.bm25_search(self.chunks, queries, k, self.mode).withColumnRenamed("corpus_key", "chunk_key").select("query_id", "chunk_key", "score", "rank")
+        index = self.stored or retrieval.bm25_index(self.chunks)
+        return index.search(queries, k, self.mode).withColumnRenamed("corpus_key", "chunk_key").select("query_id", "chunk_key", "score", "rank")
 
 
 class Reranked:

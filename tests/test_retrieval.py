@@ -113,3 +113,32 @@ def test_bm25_shuffles_no_pairs(spark):
     queries = spark.createDataFrame([(f"q{i}", "alpha") for i in range(50)], "query_id string, text string")
     plan = retrieval.bm25_search(corpus, queries)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" in plan and "Join Inner" not in plan and "MapInArrow" in plan
+
+
+def _tables(spark, folder):
+    """A small corpus with blank texts, queries and judgements as tables."""
+    corpus = [(i, f"d{i}", "t", f"red apple {'pie ' * (i % 3)}sky{i % 4}") for i in range(12)] + [(20, "d20", None, ""), (21, "d21", None, None), (22, "d22", "", "  ")]
+    spark.createDataFrame(corpus, "corpus_key long, doc_id string, title string, text string").write.parquet(f"{folder}/corpus.parquet")
+    spark.createDataFrame([(1, "q1", "red pie"), (2, "q2", "sky1 sky2 pie pie"), (3, "q3", "zebra"), (4, "q4", None)], "query_key long, query_id string, text string").write.parquet(f"{folder}/queries.parquet")
+    spark.createDataFrame([("q1", "d2", 1), ("q1", "d3", 1), ("q2", "d1", 2), ("q2", "d5", 0), ("q3", "d1", 1)], "query_id string, doc_id string, score int").write.parquet(f"{folder}/qrels.parquet")
+    return str(folder)
+
+
+def _same_as_sql(spark, folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    from foliant.plans import registry
+
+    con = duckdb.connect()
+    for t in ("corpus", "queries", "qrels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    found = registry.queries()[name](spark, folder)
+    want = con.sql(registry.oracle_sql()[name])
+    assert found.columns == want.columns and sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want.fetchall()))
+    return found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_benchmark_run_shares_an_index(spark, tmp_path, monkeypatch):
+    built, of = [], retrieval.bm25_index
+    monkeypatch.setattr(retrieval, "bm25_index", lambda *a, **k: built.append(1) or of(*a, **k))
+    plan = _same_as_sql(spark, _tables(spark, tmp_path), "benchmark_run")
+    assert len(built) == 1 and plan.count("Join Cross") == 2
