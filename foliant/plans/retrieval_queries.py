@@ -246,6 +246,7 @@ SELECT query_id, corpus_key AS chunk_key, score, CAST(row_number() OVER (PARTITI
 def reranked_topk(spark, folder):
     """A composed strategy: 20 candidates of the sparse one, reranked by the words of the query that a text contains."""
     chunks = _corpus(spark, folder).select(F.col("corpus_key").alias("chunk_key"), "content")
-    composed = strategies.Reranked(strategies.SparseStrategy(), chunks)
-    composed.index(chunks)
+    # texts without a word count among the texts, as the SQL has it
+    index = retrieval.bm25_index(chunks.withColumnRenamed("chunk_key", "corpus_key"))
+    composed = strategies.Reranked(strategies.SparseStrategy(stored=index), chunks)
     return composed.retrieve(_queries(spark, folder), K).select("query_id", "chunk_key", "score", "rank")

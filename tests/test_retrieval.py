@@ -142,3 +142,8 @@ def test_benchmark_run_shares_an_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval, "bm25_index", lambda *a, **k: built.append(1) or of(*a, **k))
     plan = _same_as_sql(spark, _tables(spark, tmp_path), "benchmark_run")
     assert len(built) == 1 and plan.count("Join Cross") == 2
+
+
+def test_reranked_topk_counts_blank_texts(spark, tmp_path):
+    plan = _same_as_sql(spark, _tables(spark, tmp_path), "reranked_topk")
+    assert plan.count("Join Cross") == 1
