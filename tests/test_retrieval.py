@@ -147,3 +147,10 @@ def test_benchmark_run_shares_an_index(spark, tmp_path, monkeypatch):
 def test_reranked_topk_counts_blank_texts(spark, tmp_path):
     plan = _same_as_sql(spark, _tables(spark, tmp_path), "reranked_topk")
     assert plan.count("Join Cross") == 1
+
+
+def test_stored_index_is_written_once(spark, tmp_path, monkeypatch):
+    made, of = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: made.append(name) or of(df, name))
+    plan = _same_as_sql(spark, _tables(spark, tmp_path), "stored_bm25_topk")
+    assert made == ["asked"] and plan.count("Join Cross") == 1
