@@ -154,3 +154,9 @@ def test_stored_index_is_written_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval, "materialize", lambda df, name: made.append(name) or of(df, name))
     plan = _same_as_sql(spark, _tables(spark, tmp_path), "stored_bm25_topk")
     assert made == ["asked"] and plan.count("Join Cross") == 1
+
+
+@pytest.mark.parametrize("name", ["bm25_topk_standard"])
+def test_judged_queries_shuffle_no_pairs(spark, tmp_path, name):
+    plan = _same_as_sql(spark, _tables(spark, tmp_path), name)
+    assert plan.count("Join Cross") == 1
