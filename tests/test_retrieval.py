@@ -156,7 +156,7 @@ def test_stored_index_is_written_once(spark, tmp_path, monkeypatch):
     assert made == ["asked"] and plan.count("Join Cross") == 1
 
 
-@pytest.mark.parametrize("name", ["bm25_topk_standard"])
+@pytest.mark.parametrize("name", ["bm25_topk_standard", "recall_at_k"])
 def test_judged_queries_shuffle_no_pairs(spark, tmp_path, name):
     plan = _same_as_sql(spark, _tables(spark, tmp_path), name)
     assert plan.count("Join Cross") == 1
