@@ -137,6 +137,11 @@ def _same_as_sql(spark, folder, name):
     return found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_reranked_topk_counts_blank_texts(spark, tmp_path):
+    plan = _same_as_sql(spark, _tables(spark, tmp_path), "reranked_topk")
+    assert plan.count("Join Cross") == 1
+
+
 def test_benchmark_run_shares_an_index(spark, tmp_path, monkeypatch):
     built, of = [], retrieval.bm25_index
     monkeypatch.setattr(retrieval, "bm25_index", lambda *a, **k: built.append(1) or of(*a, **k))
@@ -144,11 +149,6 @@ def test_benchmark_run_shares_an_index(spark, tmp_path, monkeypatch):
     assert len(built) == 1 and plan.count("Join Cross") == 2
 
 
-def test_reranked_topk_counts_blank_texts(spark, tmp_path):
-    plan = _same_as_sql(spark, _tables(spark, tmp_path), "reranked_topk")
-    assert plan.count("Join Cross") == 1
-
-
 def test_stored_index_is_written_once(spark, tmp_path, monkeypatch):
     made, of = [], retrieval.materialize
     monkeypatch.setattr(retrieval, "materialize", lambda df, name: made.append(name) or of(df, name))
@@ -156,7 +156,7 @@ def test_stored_index_is_written_once(spark, tmp_path, monkeypatch):
     assert made == ["asked"] and plan.count("Join Cross") == 1
 
 
-@pytest.mark.parametrize("name", ["bm25_topk_standard", "recall_at_k"])
+@pytest.mark.parametrize("name", ["bm25_topk_standard", "recall_at_k", "ndcg_at_k"])
 def test_judged_queries_shuffle_no_pairs(spark, tmp_path, name):
     plan = _same_as_sql(spark, _tables(spark, tmp_path), name)
     assert plan.count("Join Cross") == 1
