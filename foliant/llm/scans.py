@@ -73,7 +73,8 @@ _KANA = re.compile(r"(?<=[ァ-ヺー])[一力口二工夕卜八才](?=[ァ-ヺ
 _BROKEN_OFF = re.compile(r"([^\W\d_][\w'’@|-]*?)([-¬])$")
 _BROKEN_REST = re.compile(r"[^\W\d_][\w'’@|]*(?:-\w+)*")
 _MARKED = re.compile(r"\s*(?:#|[-*+•>]\s|\||\d+[.)]\s)")
-_INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,40}>|https?://\S+|--[\w-]+|\b\w+_\w+\b|(?<=[a-z])\.\w+(?=[ (=])")
+#: Inline code by what must stand in a text that holds it; the last kind is looked for beside any other.
+_INLINE = (("`", r"`[^`\n]*`"), ("<", r"<[^<>\n]{1,40}>"), ("://", r"https?://\S+"), ("--", r"--[\w-]+"), ("_", r"\b\w+_\w+\b"), ("", r"(?<=[a-z])\.\w+(?=[ (=])"))
 _SENTENCE_END = re.compile(r"[.!?。:][\"'”’)\]]*\s*$")
 _HYPHENED = re.compile(r"[^\W\d_][-¬]\s*$")
 _CLOSED = re.compile(r"[.!?。|`:;)\]\"'”’]\s*$")
@@ -82,6 +83,12 @@ _OWN_FIGURES = re.compile(r"(?<![^\W_])\d[\d.,:]*")
 _CODED_FENCE = re.compile(r"^[ \t]*(?:```|~~~)(?!markdown|md|[ \t]*$)\w+[ \t]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.S | re.M)
 
 
+@functools.cache
+def _inline(held: tuple[str, ...]) -> re.Pattern:
+    """Inline code of the kinds that a text with these marks can hold; the others could match nowhere."""
+    return re.compile("|".join(pattern for mark, pattern in _INLINE if mark in held))
+
+
 class Decoder:
     """Word decoding with one lexicon; verdicts on single words are remembered."""
 
@@ -276,7 +283,8 @@ class Decoder:
             text = _CODED_FENCE.sub("\n", text)
         if "<|" in text:
             text = edges._LEFTOVER.sub("", text)
-        return _INLINE.sub(" ", text) if "`" in text or "<" in text or "_" in text or "--" in text or "://" in text else text
+        held = tuple(mark for mark, _ in _INLINE if mark in text)
+        return _inline(held).sub(" ", text) if len(held) > 1 else text
 
     def chunk_is_misread(self, chunk: str) -> bool:
         """Whether a stretch without blanks holds a misread word or number; remembered, figures made alike where they stand alone."""
@@ -306,7 +314,11 @@ class Decoder:
         texts = [self.skipped(canonical(t)) for t in texts]
         chunks, numbers = [t.split() for t in texts], self.numbers
         lengths = np.array([len(c) for c in chunks], np.int64)
-        seq = np.fromiter((numbers[c] if c in numbers else self._learn(c) for cs in chunks for c in cs), np.int64, int(lengths.sum()))
+        flat = [c for cs in chunks for c in cs]
+        for c in set(flat):
+            if c not in numbers:
+                self._learn(c)
+        seq = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
         ends = np.cumsum(lengths)
         owner = np.repeat(np.arange(len(texts)), lengths)
         wrong = self.misread[seq]

@@ -56,3 +56,17 @@ def test_other_scripts():
     # a word of its own script stays, look-alikes in it too
     for word in ("ᏣᎳᎩ", "հայոց", "Տուն"):
         assert L.canonical(word) == word and L.canonical(L.canonical(word)) == word
+
+
+def test_long_stable_words_cost_little():
+    import time
+
+    from foliant.llm.lookalikes import _patterns, _segment, canonical
+
+    canonical("а ́")
+    began = time.process_time()
+    assert canonical("a" * 40_000 + " pаy") == "a" * 40_000 + " pay"
+    assert time.process_time() - began < 0.5
+    # the segments are those that a search from the left finds
+    for text in ("x́ý 1́ab́", ".́́aеb", "​​á", "á.́b1е", "각x ａ"):
+        assert canonical(text) == _patterns()[1].sub(lambda m: _segment(m[0]), text)
