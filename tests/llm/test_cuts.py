@@ -55,3 +55,12 @@ def test_tables(spark):
     assert [(r.row_id, r.cut) for r in got.orderBy("row_id").collect()] == [(3, False), (4, False)]
     assert [(r.src, r.backend, r.rows, r.cut) for r in cuts.cut_rates(got).collect()] == [("pages", None, 2, 0)]
     assert cuts.judged(pages.limit(0), blocks).count() == 0
+
+
+def test_long_last_line_costs_little():
+    import time
+
+    cuts.read_endings("а ́")
+    began = time.process_time()
+    assert cuts.read_endings("a" * 40_000 + " pаy")[0][2] == "pay"
+    assert time.process_time() - began < 1
