@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.session import materialize, spread
+from foliant.session import materialize, spread, write_tidily
 
 K1, B = 1.5, 0.75
 
@@ -256,7 +256,7 @@ def bm25_index(corpus: DataFrame, analyzer: Callable[[Column], Column] = T.token
         rows = spread(rows, "corpus_key")
     packed = _packed(rows.select("corpus_key", analyzer(F.col("content")).alias("ts")), block_terms)
     if path:
-        packed.write.mode("overwrite").parquet(f"{path}/blocks")
+        write_tidily(packed, f"{path}/blocks", "overwrite")
         blocks = spark.read.schema(packed.schema).parquet(f"{path}/blocks")
     else:
         blocks = materialize(packed, "blocks")
@@ -269,8 +269,8 @@ def bm25_index(corpus: DataFrame, analyzer: Callable[[Column], Column] = T.token
 def save_bm25(index: Bm25Index, path: str) -> None:
     """Writes an index (its blocks only if they don't stand there yet), the totals last: a folder without them is no index."""
     if index.stored != path:
-        index.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        write_tidily(index.blocks, f"{path}/blocks", "overwrite")
+    write_tidily(index.terms, f"{path}/terms", "overwrite")
     index.blocks.sparkSession.createDataFrame([(index.texts, index.average)], "texts long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from foliant.operators import chunking, ngrams, retrieval, strategies
 from foliant.plans import metric_queries as M
 from foliant.plans.base import SQL, query
 from foliant.plans.retrieval_queries import K, _STATS, _TOP, _corpus, _queries
-from foliant.session import shared_folder
+from foliant.session import new_folder
 from foliant.sources import readers
 from foliant.sources.tables import table
 
 
-def _place(spark, name: str) -> str:
-    """A new folder that all executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stored_bm25_topk", SQL["bm25_topk"])
 def stored_bm25_topk(spark, folder):
     """Search of an index that is built for its (dense, sparse) pair, stored and read again."""
-    cache = retrieval.IndexCache(spark, _place(spark, "indexes"))
+    cache = retrieval.IndexCache(spark, new_folder(spark, "indexes"))
     cache.get_or_build("bge-m3", "korean_bm25", _corpus(spark, folder))
     return cache.get_or_build("bge-m3", "korean_bm25", _corpus(spark, folder)).search(_queries(spark, folder), K).select("query_id", "corpus_key", "score", "rank")
 
@@ -49,7 +42,7 @@ def benchmark_run(spark, folder):
 @query("latest_run", "SELECT strategy, count(*) AS rows, count(error) AS errors FROM latency WHERE CAST(run_at AS DATE) = (SELECT max(CAST(run_at AS DATE)) FROM latency) GROUP BY strategy")
 def latest_run(spark, folder):
     """Every day's results appended as a run of its own; the newest run is read alone."""
-    path = _place(spark, "runs")
+    path = new_folder(spark, "runs")
     readers.append_run(table(spark, folder, "latency", "strategy", "error", "run_at").select("strategy", "error", F.to_date("run_at").alias("run_id")), path)
     return readers.latest_run(spark, path).groupBy("strategy").agg(F.count("*").alias("rows"), F.count("error").alias("errors"))
 
@@ -57,7 +50,7 @@ def latest_run(spark, folder):
 @query("stored_sets", "SELECT source_name, count(*) AS entries, count(DISTINCT doc_id) AS ids, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM corpus GROUP BY source_name")
 def stored_sets(spark, folder):
     """The corpus stored by set and read again."""
-    path = _place(spark, "sets")
+    path = new_folder(spark, "sets")
     readers.write_table(table(spark, folder, "corpus", "corpus_key", "doc_id", "text", "source_name"), path, "source_name")
     return spark.read.parquet(path).groupBy("source_name").agg(F.count("*").alias("entries"), F.count_distinct("doc_id").alias("ids"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
@@ -65,7 +58,7 @@ def stored_sets(spark, folder):
 @query("prefix_cache", "SELECT substring(sha256(text), 1, 16) AS cache_key, substring(min(text), 1, 80) AS prefix FROM corpus WHERE text IS NOT NULL GROUP BY cache_key")
 def prefix_cache(spark, folder):
     """Prefixes of all texts added to the cache in two runs; the second adds nothing."""
-    path = _place(spark, "prefixes")
+    path = new_folder(spark, "prefixes")
     rows = table(spark, folder, "corpus", "text").where("text IS NOT NULL").select(chunking.cache_key(F.col("text")).alias("cache_key"), F.substring("text", 1, 80).alias("prefix"))
     chunking.append_prefixes(rows, path)
     chunking.append_prefixes(rows, path)

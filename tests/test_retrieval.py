@@ -1,10 +1,13 @@
 import math
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliant import session
 from foliant.operators import retrieval, strategies
 
 DOCS = [(1, "red apple pie"), (2, "green apple"), (3, "blue sky and red sky"), (4, None), (5, "")]
@@ -160,3 +163,25 @@ def test_stored_index_is_written_once(spark, tmp_path, monkeypatch):
 def test_judged_queries_shuffle_no_pairs(spark, tmp_path, name):
     plan = _same_as_sql(spark, _tables(spark, tmp_path), name)
     assert plan.count("Join Cross") == 1
+
+
+def test_stored_index_leaves_no_disk(spark, tmp_path):
+    session.drop_intermediates(spark)
+    shared = Path(session.shared_folder(spark).removeprefix("file://"))
+    _same_as_sql(spark, _tables(spark, tmp_path), "stored_bm25_topk")
+    assert list(shared.glob("indexes-*"))
+    session.drop_intermediates(spark)
+    assert not list(shared.glob("indexes-*"))
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = held()
+    table = session.materialize(spark.range(100).repartition(3, "id"), "rows")
+    until = time.time() + 20
+    while (left := held() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and table.count() == 100
