@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.lookalikes import canonical
@@ -28,6 +28,14 @@ _MARKED = re.compile(r"^\s*(?:#|[-*+•>]\s|\||\d+[.)]\s|```|~~~)")
 _LEFTOVER = re.compile(r"<\|[A-Z_]+\d*\|>")
 _FIGURE = re.compile(r"\d|\b[ivxlcIVXLC]+\b")
 _CODE = re.compile(r"\b[A-Z]{1,4}-\d{2,6}\b")
+#: What any line must hold that ``WITH`` matches.
+_MAY_BE_WITH = re.compile(r"[|\t]|\.{4}|\s{3}")
+_LONE_FIGURES = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
+_NO_LETTER = re.compile(r"[^\w]+|_")
+#: No single letter is made alike to one that is itself replaced, so those go in one pass.
+_ALIKE_LETTERS, _ALIKE_PAIRS = str.maketrans({a: b for a, b in ALIKE if len(a) == 1}), [x for x in ALIKE if len(x[0]) > 1]
+#: Java's white space.
+SPACES = " \t\n\x0b\f\r"
 
 
 def value_of(number: str) -> int | None:
@@ -50,7 +58,7 @@ def page_number(line: str) -> tuple[int | None, str]:
     """The number a line prints and how it stands: 'alone', 'bare', 'with' (in a running line) or ''."""
     s = line.strip()
     for pattern, kind in ((ALONE, "alone"), (BARE, "bare"), (WITH, "with")):
-        m = pattern.search(s)
+        m = pattern.search(s) if kind != "with" or _MAY_BE_WITH.search(s) else None
         if m is None and kind == "alone" and any(c.isdigit() for c in s) and len(s) < 18:
             m = pattern.search(re.sub(r"(?<![^\W\d_])[\dOoIlZSbB]+(?![^\W\d_])", lambda x: x[0].translate(_FIGURE_FIX) if any(c.isdigit() for c in x[0]) else x[0], s))
         if m:
@@ -61,12 +69,19 @@ def page_number(line: str) -> tuple[int | None, str]:
 
 def key_of(line: str) -> str:
     """What two prints of one running line share."""
-    s = WITH.sub(" ", _LEFTOVER.sub("", canonical(line)).strip())
+    s = canonical(line)
+    s = (_LEFTOVER.sub("", s) if "<|" in s else s).strip()
+    s = WITH.sub(" ", s) if _MAY_BE_WITH.search(s) else s
     s = re.sub(r"^\s*#+\s*", "", s).split(" / ")[0].lower()
-    s = re.sub(r"(?<![^\W_])\d+(?![^\W_])", "", s)
-    for a, b in ALIKE:
+    s = _LONE_FIGURES.sub("", s).translate(_ALIKE_LETTERS)
+    for a, b in _ALIKE_PAIRS:
         s = s.replace(a, b)
-    return re.sub(r"[^\w]+|_", "", s)
+    return _NO_LETTER.sub("", s)
+
+
+def visible(text: Column) -> Column:
+    """Whether the text holds anything but Java's white space; no regular expression, so the text isn't decoded."""
+    return F.ltrim(text, F.lit(SPACES)) != ""
 
 
 def edge_lines(rows: DataFrame, src: str, key: str, text: str, whole: bool) -> DataFrame:
@@ -74,15 +89,16 @@ def edge_lines(rows: DataFrame, src: str, key: str, text: str, whole: bool) -> D
 
     ``whole``: the row is one block, so its line counts only if it is the only one. ``before`` is the line before it.
     """
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*(```|~~~)"))
-    base = rows.where(F.col(text).rlike(r"\S")).select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "pdf_path", "page_num", lines.alias("ls"))
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"^\s*+(?!```|~~~)\S"))
+    base = rows.where(visible(F.col(text))).select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "pdf_path", "page_num", lines.alias("ls"))
+    # a filter on the lines would be pushed below them, and the text split once more for it
     n = F.size("ls")
     if whole:
-        base = base.where((n == 1) & (F.length(F.col("ls")[0]) <= LONGEST))
-        return base.select("src", "row_id", "pdf_path", "page_num", F.lit(0).alias("place"), F.col("ls")[0].alias("line"), F.lit("").alias("before"))
+        only = F.array(F.struct(F.lit(0).alias("place"), F.get("ls", F.lit(0)).alias("line"), F.lit("").alias("before")))
+        return base.select("src", "row_id", "pdf_path", "page_num", F.inline(F.when((n == 1) & (F.length(F.get("ls", F.lit(0))) <= LONGEST), only)))
     at = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(2 * LINES)) - 1), lambda i: F.when(n <= 2 * LINES, i).when(i < LINES, i).otherwise(n - 2 * LINES + i))
     picked = F.transform(at, lambda i: F.struct(F.when((i < LINES) & ((i < n - i - 1) | (n > 2 * LINES)), i).otherwise(i - n).cast("int").alias("place"), F.get("ls", i).alias("line"), F.coalesce(F.get("ls", i - 1), F.lit("")).alias("before")))
-    return base.where(n > 0).select("src", "row_id", "pdf_path", "page_num", F.inline(picked)).where(F.length("line") <= LONGEST).where(may_run(F.col("line")))
+    return base.select("src", "row_id", "pdf_path", "page_num", F.inline(F.when(n > 0, picked))).where(F.length("line") <= LONGEST).where(may_run(F.col("line")))
 
 
 def may_run(line):

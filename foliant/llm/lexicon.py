@@ -32,7 +32,8 @@ _FIGURES = re.compile(r"\d[\d.,:-]*")
 
 def form(word: str) -> str:
     """Lower case with runs of figures made alike."""
-    return _FIGURES.sub("0", word.lower())
+    low = word.lower()
+    return low if low.isalpha() else _FIGURES.sub("0", low)
 
 
 @dataclass

@@ -483,7 +483,7 @@ def scanned_rows(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pages and blocks in one form: src, row_id, pdf_path, page_num, text; rows without a visible character are left out."""
     a = pages.select(F.lit("pages").alias("src"), F.col("page_id").alias("row_id"), "pdf_path", "page_num", F.col("markdown").alias("text"))
     b = blocks.select(F.lit("blocks").alias("src"), F.col("block_key").alias("row_id"), "pdf_path", "page_num", F.col("block_content").alias("text"))
-    return a.unionByName(b).where(F.col("text").rlike(r"\S"))
+    return a.unionByName(b).where(edges.visible(F.col("text")))
 
 
 def running(pages: DataFrame, blocks: DataFrame) -> DataFrame:

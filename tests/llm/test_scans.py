@@ -156,3 +156,16 @@ def test_sound_rare_words_stay(spark):
 def test_kinds_in_batches(decoder):
     texts = ["the certi-\nfied copy.", "every n0tice.", "", "the cert lfied copy.", "a well-\nknown notice.", "every n0tice"] * 3
     assert decoder.kinds_of(texts) == [decoder.kinds(t) for t in texts] and decoder.kinds_of([]) == []
+
+
+def test_edge_lines_split_a_text_once(spark):
+    # fences, blank lines of any kind, a text of fences alone, and a filter on the lines that mustn't be pushed below their making
+    texts = ["Title AB-12\n\n```\nx\n```\n \x0b\nlast line", "```md\n~~~", "  \n", None, "\n".join(f"line {i}" for i in range(9))]
+    pages = spark.createDataFrame([(i, "a.pdf", i, t) for i, t in enumerate(texts)], "page_id long, pdf_path string, page_num int, markdown string")
+    lines = edges.edge_lines(pages, "pages", "page_id", "markdown", False)
+    found = sorted((r.row_id, r.place, r.line, r.before) for r in lines.collect())
+    assert found == [(0, -2, "x", "Title AB-12"), (0, -1, "last line", "x"), (0, 0, "Title AB-12", "")] + [(4, k, f"line {k % 9}", f"line {k % 9 - 1}" if k else "") for k in (-3, -2, -1, 0, 1, 2)]
+    blocks = edges.edge_lines(pages, "blocks", "page_id", "markdown", True)
+    assert blocks.count() == 0
+    for df in (lines, blocks):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
