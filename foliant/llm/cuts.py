@@ -9,6 +9,7 @@ document goes on with the sentence. Only endings and beginnings leave the texts;
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -58,12 +59,17 @@ def ends_of(rows: DataFrame, src: str, key: str, text: str, order: str | None, l
         return texts.map(read_endings, na_action="ignore")
 
     t = F.col(text)
-    lines = F.filter(F.split(F.regexp_replace(t, r"^\s+", ""), r"\n\s*", edges.LINES + 3), lambda x: x.rlike(r"[^\s\uFEFF]") & ~x.rlike(r"^\s*(?:```|~~~)(?:markdown|md)?\s*$"))
-    tops = F.transform(lines, lambda x: F.struct(F.when(_may_drop(F.element_at(F.split(x, "\n", 2), 1)), F.trim(F.element_at(F.split(x, "\n", 2), 1))).alias("line"), F.regexp_extract(x, r"^\s*\S+\s?", 0).alias("begins")))
+    ends = lambda marks: functools.reduce(Column.__or__, [F.endswith(t, F.lit(m)) for m in marks])
+    # only the last piece may hold line ends; none begins with white space. Long pieces are never decoded as a whole, but for those in doubt
+    fence = lambda x: (F.startswith(x, F.lit("```")) | F.startswith(x, F.lit("~~~"))) & x.rlike(r"^(?:```|~~~)(?:markdown|md)?\s*$")
+    lines = F.filter(F.split(F.ltrim(t, F.lit(edges.SPACES)), r"\n\s*", edges.LINES + 3), lambda x: (F.ltrim(x, F.lit(edges.SPACES + "\ufeff")) != "") & ~fence(x))
+    heads = F.transform(lines, lambda x: F.struct(F.substring_index(x, "\n", 1).alias("line"), F.regexp_extract(F.substring_index(x, "\n", 2), r"^\s*\S+\s?", 0).alias("begins")))
+    tops = F.transform(heads, lambda x: F.struct(F.when(_may_drop(x["line"]), F.trim(x["line"])).alias("line"), x["begins"].alias("begins")))
     stays = F.array_position(F.transform("tops", lambda x: x["line"].isNull()), F.lit(True))
-    open_ = F.when(~t.rlike(r"[.!?。！？]\s*\z"), t)
+    closed = F.when(ends(".!?。！？"), True).when(~ends(edges.SPACES), False).otherwise(t.rlike(r"[.!?。！？]\s*\z"))
+    open_ = F.when(~closed, t)
     lone = F.substring_index(F.rtrim(t), " ", -2).rlike(r"[.!?。！？]\S*\s+[^\s.!?。！？]+[.!?。！？]\s*\z")
-    base = rows.where(t.rlike(r"\S")).select(
+    base = rows.where(edges.visible(t)).select(
         F.lit(src).alias("src"), F.col(key).alias("row_id"), "pdf_path", "page_num", "backend", (F.col(order) if order else F.lit(0)).alias("place"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"),
         F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), (F.length(t) - F.length(F.translate(t, STOPS, ""))).alias("stops"), tops.alias("tops"), lone.alias("lone"), endings_of(open_).alias("endings"),
     )

@@ -64,3 +64,15 @@ def test_long_last_line_costs_little():
     began = time.process_time()
     assert cuts.read_endings("a" * 40_000 + " pаy")[0][2] == "pay"
     assert time.process_time() - began < 1
+
+
+def test_texts_are_split_once(spark):
+    # what may be a long piece is neither split again for each look at its first line nor searched as a whole for its ending
+    texts = ["\n \n# A title\n\n```md\nfirst\nsecond\n\nthird line\nfourth\nfifth\nsixth\nseventh and more", "closed. \n", "open \n", "﻿\n", "```\n", "　a。\t", "One. Word.", None, " \x0b"]
+    pages, _ = tables(spark, texts)
+    df = cuts.ends_of(pages, "pages", "page_id", "markdown", None, None)
+    got = {r.row_id: r for r in df.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5, 6] and [(t.line, t.begins) for t in got[0].tops] == [("# A title", "# "), ("first", "first"), ("second", "second"), ("third line", "third ")]
+    assert {i for i in got if got[i].endings is None} == {1, 5, 6} and got[6].lone and not got[1].lone
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
